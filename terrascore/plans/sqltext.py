@@ -43,7 +43,7 @@ PREDICTIONS = """predictions AS (
 
 # clean_data over samples: de-duplicate, impute the one numeric column
 # with missing values (q1) by its median, fill the missing category.
-CLEAN = """dedup AS (SELECT DISTINCT * FROM samples),
+CLEAN = """dedup AS (SELECT DISTINCT * FROM {src}),
 med AS (SELECT median(q1) AS m1 FROM dedup),
 clean AS (
   SELECT sample_id, xcoord, ycoord, COALESCE(q1, med.m1) AS q1, q2, q3, q4, q5, lineament,
@@ -59,4 +59,51 @@ def with_(*ctes: str) -> str:
 
 S = with_(SAMPLES)
 SP = with_(SAMPLES, PREDICTIONS)
-SC = with_(SAMPLES, CLEAN)
+SC = with_(SAMPLES, CLEAN.format(src="samples"))
+# clean_data on a table holding every sample twice (exercises de-duplication)
+DOUBLED = "doubled AS (SELECT * FROM samples UNION ALL SELECT * FROM samples)"
+SDC = with_(SAMPLES, DOUBLED, CLEAN.format(src="doubled"))
+
+
+# Feature formulas of the TESTDATA preset as SQL over ``clean`` (raw values;
+# wrap in COALESCE(..., 0) for the reference's final clean-up).
+FEATURE_SQL = {
+    "alteration_index": "(q4 + q1) / NULLIF(q4 + q1 + q5 + q3, 0) * 100",
+    "ccpi_index": "(q1 + q3) / NULLIF(q1 + q3 + q5 + q4, 0) * 100",
+    "sericite_index": "q4 / NULLIF(q4 + q5 + 0.001, 0) * 100",
+    "silicification_index": "q2 / NULLIF(mn.m_q2, 0)",
+    "Au_As_ratio": "q1 / NULLIF(q2 + 0.001, 0)",
+    "Au_Sb_ratio": "q1 / NULLIF(q3 + 0.001, 0)",
+    "Cu_Pb_ratio": "q5 / NULLIF(q4 + 0.001, 0)",
+    "Zn_Pb_ratio": "q2 / NULLIF(q4 + 0.001, 0)",
+    "mafic_index": "(q1 + q3) / NULLIF(q2, 0)",
+    "alkalinity_ratio": "(q5 + q4) / NULLIF(q2, 0)",
+    "mag_gradient": "q3 / NULLIF(q5 + 1, 0)",
+    "LREE_sum": "(COALESCE(q1,0) + COALESCE(q2,0) + COALESCE(q3,0) + COALESCE(q4,0) + COALESCE(q5,0))",
+    "HREE_sum": "(COALESCE(q3,0) + COALESCE(q4,0) + COALESCE(q5,0) + COALESCE(q1,0) + COALESCE(q2,0)"
+                " + COALESCE(q3,0) + COALESCE(q4,0))",
+    "Eu_anomaly": "q1 / NULLIF(sqrt(q5 * q3 + 0.001), 0)",
+}
+FEATURE_SQL["LREE_HREE_ratio"] = f"{FEATURE_SQL['LREE_sum']} / NULLIF({FEATURE_SQL['HREE_sum']} + 0.001, 0)"
+
+BAND_SQL = ("CASE WHEN fault_dist > 0 AND fault_dist <= 500 THEN 'very_close' "
+            "WHEN fault_dist > 500 AND fault_dist <= 1000 THEN 'close' "
+            "WHEN fault_dist > 1000 AND fault_dist <= 2000 THEN 'moderate' "
+            "WHEN fault_dist > 2000 AND fault_dist <= 3000 THEN 'far' "
+            "WHEN fault_dist > 3000 THEN 'very_far' END")
+BAND_LABELS = ["very_close", "close", "moderate", "far", "very_far"]
+
+# Seven pathfinder tiers of the TESTDATA preset: element -> column
+PATHFINDERS = [("Au_ppb", "q1"), ("As_ppm", "q2"), ("Sb_ppm", "q3"), ("Bi_ppm", "q4"),
+               ("Cu_ppm", "q5"), ("Pb_ppm", "q4"), ("Zn_ppm", "q2")]
+QUANT_CTE = ("q AS (SELECT " + ", ".join(
+    f"quantile_cont({c}, 0.75) AS {c}_p75, quantile_cont({c}, 0.9) AS {c}_p90, "
+    f"quantile_cont({c}, 0.95) AS {c}_p95" for c in ["q1", "q2", "q3", "q4", "q5"]) + " FROM clean)")
+MEAN_CTE = "mn AS (SELECT avg(q2) AS m_q2 FROM clean)"
+DENS_CTE = ("dens AS (SELECT lineament, COUNT(*) AS lineament_density FROM clean "
+            "WHERE lineament IS NOT NULL GROUP BY lineament)")
+
+
+def tier_sql(c: str) -> str:
+    return (f"CASE WHEN {c} > {c}_p95 THEN 3 WHEN {c} > {c}_p90 THEN 2 "
+            f"WHEN {c} > {c}_p75 THEN 1 ELSE 0 END")
