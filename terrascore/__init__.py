@@ -7,7 +7,15 @@ split into ``fit_*`` (returns a small, bounded dict of statistics) and
 a scoring table or a stream.
 """
 
-from terrascore.session import get_session
+import sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions shipped to Python workers (Arrow-batch tasks) are pickled with
+# their code, so executors need no installed copy of this package.
+_cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from terrascore.session import get_session  # noqa: E402
 
 __all__ = ["get_session"]
 __version__ = "0.1.0"

@@ -171,47 +171,52 @@ def fit_feature_stats(df: DataFrame, p: Preset, exact: bool = True) -> dict:
 # ----------------------------------------------------------------- whole step
 
 
-def feature_expressions(p: Preset, st: dict, density_col: str | None = None
-                        ) -> list[tuple[str, Column]]:
+def feature_expressions(p: Preset, st: dict | None, density_col: str | None = None,
+                        build: bool = True) -> list[tuple[str, Column | None]]:
     """(name, expression) of F1-F21 in the reference order, guarded by
-    "all required columns present"."""
-    out: list[tuple[str, Column]] = []
+    "all required columns present".  ``build=False`` lists names only."""
+    out: list[tuple[str, Column | None]] = []
+
+    def add(name, fn):
+        out.append((name, fn() if build else None))
+
     if p.has("K2O_%", "Na2O_%", "CaO_%", "MgO_%"):
-        out.append(("alteration_index", alteration_index(p)))
+        add("alteration_index", lambda: alteration_index(p))
     if p.has("MgO_%", "Fe2O3_%", "K2O_%", "Na2O_%"):
-        out.append(("ccpi_index", ccpi_index(p)))
+        add("ccpi_index", lambda: ccpi_index(p))
     if p.has("K2O_%", "Na2O_%"):
-        out.append(("sericite_index", sericite_index(p)))
+        add("sericite_index", lambda: sericite_index(p))
     if p.has("SiO2_%"):
-        out.append(("silicification_index", mean_normalize(p.c("SiO2_%"), st["means"][p.c("SiO2_%")])))
+        add("silicification_index", lambda: mean_normalize(p.c("SiO2_%"), st["means"][p.c("SiO2_%")]))
     for name, num, den in ELEMENT_RATIOS:
         if p.has(num, den):
-            out.append((name, element_ratio(p.c(num), p.c(den))))
+            add(name, lambda num=num, den=den: element_ratio(p.c(num), p.c(den)))
     if p.has("MgO_%", "Fe2O3_%", "SiO2_%"):
-        out.append(("mafic_index", mafic_index(p)))
+        add("mafic_index", lambda: mafic_index(p))
     if p.has("Na2O_%", "K2O_%", "Al2O3_%"):
-        out.append(("alkalinity_ratio", alkalinity_ratio(p)))
+        add("alkalinity_ratio", lambda: alkalinity_ratio(p))
     if p.has("fault_dist"):
-        out.extend(band_one_hot(p.c("fault_dist")))
+        for i, lab in enumerate(DISTANCE_BAND_LABELS):
+            add(f"fault_cat_{lab}", lambda i=i: band_one_hot(p.c("fault_dist"))[i][1])
     if density_col:
-        out.append(("lineament_density", F.col(density_col)))
+        add("lineament_density", lambda: F.col(density_col))
     if p.has("mag_tail_t", "mag_depth"):
-        out.append(("mag_gradient", mag_gradient(p)))
+        add("mag_gradient", lambda: mag_gradient(p))
     tiers = []
     for e in anomaly_elements(p):
         src = p.c(e)
-        out.append((f"{e}_anomaly", anomaly_tier(src, *st["quantiles"][src])))
+        add(f"{e}_anomaly", lambda src=src: anomaly_tier(src, *st["quantiles"][src]))
         tiers.append(f"{e}_anomaly")
     if tiers:
-        out.append(("composite_anomaly_score", composite_anomaly(tiers)))
+        add("composite_anomaly_score", lambda: composite_anomaly(tiers))
     if p.has(*LREE):
-        out.append(("LREE_sum", lree_sum(p)))
+        add("LREE_sum", lambda: lree_sum(p))
     if p.has(*HREE):
-        out.append(("HREE_sum", hree_sum(p)))
+        add("HREE_sum", lambda: hree_sum(p))
     if p.has(*LREE, *HREE):
-        out.append(("LREE_HREE_ratio", safe_div(lree_sum(p), hree_sum(p) + F.lit(0.001))))
+        add("LREE_HREE_ratio", lambda: safe_div(lree_sum(p), hree_sum(p) + F.lit(0.001)))
     if p.has("Eu_ppm", "Sm_ppm", "Gd_ppm"):
-        out.append(("Eu_anomaly", eu_anomaly(p)))
+        add("Eu_anomaly", lambda: eu_anomaly(p))
     return out
 
 
@@ -252,9 +257,7 @@ def _zero_missing(df: DataFrame, c: str) -> Column:
 
 def created_features(p: Preset) -> list[str]:
     """Names ``engineer_features`` creates for a preset (29 when complete)."""
-    st = {"means": {p.c("SiO2_%"): 1.0} if p.has("SiO2_%") else {},
-          "quantiles": {p.c(e): [0.0, 0.0, 0.0] for e in anomaly_elements(p)}}
-    return [n for n, _ in feature_expressions(p, st, "x" if p.has("lineament") else None)]
+    return [n for n, _ in feature_expressions(p, None, "x" if p.has("lineament") else None, build=False)]
 
 
 def feature_categories(features: Sequence[str], groups: dict | None = None) -> list[tuple[str, str]]:
