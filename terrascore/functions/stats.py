@@ -54,45 +54,60 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
     Returns ``{col: [q(p) for p in probs]}``; an all-NULL column gives
     ``None`` for every p.
     """
-    cols, probs = list(cols), [float(p) for p in probs]
+    cols = list(cols)
     if not cols:
         return {}
-    spark = df.sparkSession
-    long = unpivot_columns(df, [], cols, key="k", value="v").where(F.col("v").isNotNull())
-    counts = long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-    cum = prefix_sum(counts, ["v"], ["n"], group_cols=["k"])  # n_cum inclusive
+    long = unpivot_columns(df, [], cols, key="k", value="v").withColumn("g", F.lit(0))
+    res = _long_quantiles(long, probs)
+    return {c: res.get((0, c), [None] * len(probs)) for c in cols}
 
-    totals = {r["k"]: r["n"] for r in cum.groupBy("k").agg(F.max("n_cum").alias("n")).collect()}
+
+def grouped_quantiles(df: DataFrame, group_col: str, cols: Sequence[str], probs: Sequence[float]
+                      ) -> dict[tuple, list[float | None]]:
+    """Exact quantiles per (group, column): ``{(group, col): [...]}``.
+
+    The result -- and the totals collected on the way -- hold one entry per
+    (group, column), so ``group_col`` must be a bounded category (bands,
+    top-k levels)."""
+    long = unpivot_columns(df, [group_col], list(cols), key="k", value="v").withColumnRenamed(group_col, "g")
+    return _long_quantiles(long, probs)
+
+
+def _long_quantiles(long: DataFrame, probs: Sequence[float]) -> dict[tuple, list[float | None]]:
+    spark = long.sparkSession
+    probs = [float(p) for p in probs]
+    long = long.where(F.col("v").isNotNull())
+    counts = long.groupBy("g", "k", "v").agg(F.count(F.lit(1)).alias("n"))
+    cum = prefix_sum(counts, ["v"], ["n"], group_cols=["g", "k"])  # n_cum inclusive
+
+    totals = {(r["g"], r["k"]): r["n"]
+              for r in cum.groupBy("g", "k").agg(F.max("n_cum").alias("n")).collect()}
     targets, plan = [], {}
-    for c in cols:
-        n = totals.get(c)
-        if not n:
-            continue
+    for key, n in totals.items():
         for p in probs:
             pos = p * (n - 1)
             lo = math.floor(pos)
             hi = min(lo + 1, n - 1)
-            plan[(c, p)] = (lo, hi, pos - lo)
-            targets.append((c, lo))
-            targets.append((c, hi))
+            plan[(key, p)] = (lo, hi, pos - lo)
+            targets.append((*key, lo))
+            targets.append((*key, hi))
     values = {}
     if targets:
-        tdf = spark.createDataFrame(sorted(set(targets)), T.StructType([
-            T.StructField("k", T.StringType(), False), T.StructField("r", T.LongType(), False)]))
-        hit = cum.join(F.broadcast(tdf), "k").where(
+        gtype = long.schema["g"].dataType
+        tdf = spark.createDataFrame(sorted(set(targets), key=str), T.StructType([
+            T.StructField("g", gtype, True), T.StructField("k", T.StringType(), False),
+            T.StructField("r", T.LongType(), False)]))
+        hit = cum.join(F.broadcast(tdf), (cum.g.eqNullSafe(tdf.g)) & (cum.k == tdf.k)).where(
             (F.col("n_cum") - F.col("n") <= F.col("r")) & (F.col("r") < F.col("n_cum")))
-        values = {(r["k"], r["r"]): r["v"] for r in hit.select("k", "r", "v").collect()}
+        values = {(r[0], r[1], r[2]): r[3] for r in hit.select(cum.g, cum.k, tdf.r, cum.v).collect()}
     out = {}
-    for c in cols:
+    for key in totals:
         res = []
         for p in probs:
-            if (c, p) not in plan:
-                res.append(None)
-                continue
-            lo, hi, frac = plan[(c, p)]
-            a, b = values[(c, lo)], values[(c, hi)]
+            lo, hi, frac = plan[(key, p)]
+            a, b = values[(*key, lo)], values[(*key, hi)]
             res.append(a if frac == 0 or a == b else a + (b - a) * frac)
-        out[c] = res
+        out[key] = res
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrascore.plans import queries_eval, queries_prep, queries_select  # noqa: F401  (registers)
+from terrascore.plans import queries_eval, queries_prep, queries_score, queries_select  # noqa: F401,E501
 from terrascore.plans.registry import ORACLE, QUERIES
 
 

@@ -1,0 +1,135 @@
+"""E10 / E11 and the two entries of the reference's main program.
+
+Training (entry A): clean -> features -> statistical selection -> split
+-> robust scaling (fitted on the training part) -> assemble -> tune the
+five classifiers -> ensembles -> evaluation.  Scoring (entry B): filter
+by known category and distance -> the same cleaning/features -> the
+training feature list and scaler -> best model -> rescale, class,
+bands.
+
+The fitted state (medians, feature statistics, feature list, scaler,
+vocabulary) is a small dict, so a scoring table or a stream is
+transformed with the training statistics; ``refit_on_score=True``
+recomputes medians/feature statistics on the scoring table instead, as
+the reference does.
+
+Assembled training and validation tables are written once to the shared
+checkpoint folder: cross-validation reads them many times, and a lost
+executor then re-reads files instead of recomputing the feature jobs.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from terrascore.config import TESTDATA, Preset
+from terrascore.operators import clean as C
+from terrascore.operators import features as FE
+from terrascore.operators import models as M
+from terrascore.operators import sample as SA
+from terrascore.operators import scale as SC
+from terrascore.operators import select as L
+from terrascore.session import materialize
+
+
+@dataclass
+class PrepState:
+    preset: Preset
+    medians: dict
+    feature_stats: dict
+    features: list
+    scaler: dict
+    extra: dict = field(default_factory=dict)
+
+
+@dataclass
+class Prepared:
+    state: PrepState
+    train: DataFrame
+    test: DataFrame
+
+
+def engineered(df: DataFrame, preset: Preset = TESTDATA, medians=None, feature_stats=None,
+               exact: bool = True):
+    """clean_data + engineer_features; returns (frame, medians, feature stats)."""
+    p = preset.available(df.columns)
+    medians = medians if medians is not None else C.fit_median_impute(C.drop_duplicates(df), exact=exact)
+    d = C.clean_data(df, p.exclude, p.target, medians=medians)
+    st = feature_stats if feature_stats is not None else FE.fit_feature_stats(d, p, exact)
+    return FE.engineer_features(d, p, st), medians, st
+
+
+def statistical_selection(x: DataFrame, cols, label: str, min_votes: int = 2, k: int = 30) -> list[str]:
+    """Variance + correlation + mutual-information votes (model-free)."""
+    spark = x.sparkSession
+    ch = (L.method_table(spark, "variance", L.select_variance(x, cols))
+          .unionByName(L.method_table(spark, "correlation", L.select_correlation(x, cols)))
+          .unionByName(L.method_table(spark, "univariate", L.select_univariate(x, cols, label, k))))
+    v = L.selection_votes(ch, cols, min_votes).where(F.col("selected")).orderBy("pos").collect()
+    return [r["feature"] for r in v]  # one row per feature
+
+
+def prepare_training(df: DataFrame, preset: Preset = TESTDATA, select: bool = True,
+                     include=(), exclude=(), exact: bool = True, folds: int = 5) -> Prepared:
+    """E10 load -> clean -> features -> (selection) -> split -> scale."""
+    p = preset
+    eng, medians, st = engineered(df, p, exact=exact)
+    cols = C.feature_columns(eng, p.exclude, p.target, p.id_col)
+    x = C.prepare_features(eng, cols, keep=[p.id_col, p.target])
+    if select:
+        x = materialize(x, "features")
+        cols = C.feature_override(statistical_selection(x, cols, p.target), include, exclude)
+        x = x.select(p.id_col, p.target, *cols)
+    flagged = SA.stratified_split(x, p.id_col, p.target)
+    train, test = SA.split(flagged)
+    train = SA.stratified_folds(train, p.id_col, p.target, k=folds)
+    scaler = SC.fit_robust_scaler(train, cols, exact=exact)
+    tr = M.assemble(SC.apply_robust_scaler(train, scaler), cols, p.target, keep=[p.id_col])
+    te = M.assemble(SC.apply_robust_scaler(test, scaler), cols, p.target, keep=[p.id_col])
+    tr = materialize(tr, "train")
+    te = materialize(te, "test")
+    return Prepared(PrepState(p, medians, st, cols, scaler), tr, te)
+
+
+def prepare_scoring(df: DataFrame, state: PrepState, refit_on_score: bool = False) -> DataFrame:
+    """E11 transform a scoring table with the training state (the
+    reference refits cleaning/feature statistics on it: ``refit_on_score``)."""
+    p = state.preset
+    if refit_on_score:
+        eng, _, _ = engineered(df, p)
+    else:
+        eng, _, _ = engineered(df, p, state.medians, state.feature_stats)
+    x = C.prepare_features(eng, state.features, keep=[c for c in (p.id_col, p.x, p.y, p.distance, p.target)
+                                                       if c in eng.columns])
+    scaled = SC.apply_robust_scaler(x, state.scaler)
+    return M.assemble(scaled, state.features, p.target, keep=[p.id_col, p.x, p.y, p.distance])
+
+
+def train_and_evaluate(prep: Prepared, names=M.MODEL_NAMES, grids=None, stacking: bool = True):
+    """Entry A after preparation: tune -> predict -> ensembles -> metrics.
+
+    Returns dict with ``tuned``, ``predictions`` (members + ensembles),
+    ``metrics``."""
+    from terrascore.operators import ensemble as N
+    from terrascore.operators import metrics as T
+
+    tuned, preds = M.train_all(prep.train, prep.test, names, grids)
+    preds = materialize(preds, "predictions")
+    ens = N.all_ensembles(preds)
+    if stacking:
+        ens = ens.unionByName(M.stack(prep.train, prep.test, tuned))
+    allp = preds.unionByName(ens)
+    metrics = T.evaluate_models(allp)
+    return {"tuned": tuned, "predictions": allp, "metrics": metrics}
+
+
+def score_table(model, assembled: DataFrame, id_col: str = "sample_id") -> DataFrame:
+    """C1/C2 raw P(class 1) keyed by sample id, with coordinates and distance."""
+    from pyspark.ml.functions import vector_to_array
+
+    out = model.transform(assembled)
+    keep = [c for c in assembled.columns if c not in ("features", "label")]
+    return out.select(*keep, vector_to_array("probability")[1].alias("raw_score"))
