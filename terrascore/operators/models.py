@@ -154,7 +154,7 @@ def tune_model(train: DataFrame, name: str, grid: Mapping | None = None, fold_co
     ev = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
     kw = dict(estimator=est, estimatorParamMaps=maps, evaluator=ev, parallelism=parallelism, seed=seed)
     if fold_col in train.columns:
-        cv = CrossValidator(foldCol=fold_col, **kw)
+        cv = CrossValidator(foldCol=fold_col, numFolds=folds, **kw)
     else:
         cv = CrossValidator(numFolds=folds, **kw)
     m = cv.fit(train)

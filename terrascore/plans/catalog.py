@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from terrascore.plans import queries_eval, queries_prep, queries_score, queries_select  # noqa: F401,E501
+from terrascore.plans import (queries_eval, queries_model, queries_prep,  # noqa: F401
+                              queries_score, queries_select)
 from terrascore.plans.registry import ORACLE, QUERIES
 
 

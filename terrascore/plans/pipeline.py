@@ -102,10 +102,14 @@ def prepare_scoring(df: DataFrame, state: PrepState, refit_on_score: bool = Fals
         eng, _, _ = engineered(df, p)
     else:
         eng, _, _ = engineered(df, p, state.medians, state.feature_stats)
-    x = C.prepare_features(eng, state.features, keep=[c for c in (p.id_col, p.x, p.y, p.distance, p.target)
-                                                       if c in eng.columns])
+    carry = [c for c in (p.x, p.y, p.distance) if c in eng.columns]
+    x = C.prepare_features(eng.select("*", *[F.col(c).alias(f"__keep_{c}") for c in carry]),
+                           state.features, keep=[p.id_col] + [f"__keep_{c}" for c in carry])
     scaled = SC.apply_robust_scaler(x, state.scaler)
-    return M.assemble(scaled, state.features, p.target, keep=[p.id_col, p.x, p.y, p.distance])
+    out = M.assemble(scaled, state.features, p.target, keep=[p.id_col] + [f"__keep_{c}" for c in carry])
+    for c in carry:
+        out = out.withColumnRenamed(f"__keep_{c}", c)
+    return out
 
 
 def train_and_evaluate(prep: Prepared, names=M.MODEL_NAMES, grids=None, stacking: bool = True):
