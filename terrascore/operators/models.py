@@ -39,7 +39,7 @@ MAX_TREE_DEPTH = 30  # deepest tree Spark grows; stands for "no limit"
 # Small grids used by default (the reference grids are a parameter:
 # ``config.HYPERPARAMETERS`` / ``EXTRA_TREES_GRID`` / ``GRADIENT_BOOSTING_GRID``).
 SMALL_GRIDS = {
-    "logistic_regression": {"C": [0.1, 1.0]},
+    "logistic_regression": {"C": [1.0]},
     "random_forest": {"n_estimators": [20], "max_depth": [5], "min_samples_leaf": [3],
                       "max_features": ["sqrt"]},
     "extra_trees": {"n_estimators": [20], "max_depth": [5], "min_samples_leaf": [3]},
