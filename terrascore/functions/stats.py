@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from terrascore.functions.expr import unpivot_columns
 from terrascore.operators.ranks import prefix_sum
+from terrascore.session import materialize
 
 
 def one_pass(df: DataFrame, aggs: dict[str, F.Column]) -> dict:
@@ -77,7 +78,9 @@ def _long_quantiles(long: DataFrame, probs: Sequence[float]) -> dict[tuple, list
     spark = long.sparkSession
     probs = [float(p) for p in probs]
     long = long.where(F.col("v").isNotNull())
-    counts = long.groupBy("g", "k", "v").agg(F.count(F.lit(1)).alias("n"))
+    # written once: the range partitioner samples it and the running-count
+    # pass reads it, so the upstream plan is not evaluated twice
+    counts = materialize(long.groupBy("g", "k", "v").agg(F.count(F.lit(1)).alias("n")), "counts")
     cum = prefix_sum(counts, ["v"], ["n"], group_cols=["g", "k"])  # n_cum inclusive
 
     totals = {(r["g"], r["k"]): r["n"]

@@ -122,7 +122,9 @@ def mi_scores(df: DataFrame, cols: Sequence[str], label: str, bins: int = MI_BIN
     t = cnt.select("feature", "n", tot.alias("n_all"), px.alias("nx"), py.alias("ny"))
     term = ((F.col("n") / F.col("n_all"))
             * F.log((F.col("n") * F.col("n_all")) / (F.col("nx") * F.col("ny"))))
-    return t.groupBy("feature").agg(F.sum(term).alias("score"))
+    # rounded to 12 decimals so equal scores stay equal whatever the
+    # summation order (ranks break ties by name)
+    return t.groupBy("feature").agg(F.round(F.sum(term), 12).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, score: str = "score") -> DataFrame:

@@ -23,7 +23,8 @@ def features_frame(spark, sf):
     eng = FE.engineer_features(clean_samples(spark, sf), TESTDATA)
     cols = C.feature_columns(eng)
     assert cols == FEATS, cols
-    return C.prepare_features(eng, cols, keep=["sample_id", "likely"])
+    from terrascore.session import materialize
+    return materialize(C.prepare_features(eng, cols, keep=["sample_id", "likely"]), "features")
 
 
 # ---------------------------------------------------------------- SQL text
@@ -66,7 +67,7 @@ MI = (BINNED + """,
 cn AS (SELECT feature, bin, y, COUNT(*) AS n FROM bl GROUP BY feature, bin, y),
 ct AS (SELECT feature, n, SUM(n) OVER (PARTITION BY feature) AS n_all,
               SUM(n) OVER (PARTITION BY feature, bin) AS nx, SUM(n) OVER (PARTITION BY feature, y) AS ny FROM cn),
-mi AS (SELECT feature, SUM((CAST(n AS DOUBLE) / n_all) * ln((CAST(n AS DOUBLE) * n_all) / (CAST(nx AS DOUBLE) * ny))) AS score
+mi AS (SELECT feature, ROUND(SUM((CAST(n AS DOUBLE) / n_all) * ln((CAST(n AS DOUBLE) * n_all) / (CAST(nx AS DOUBLE) * ny))), 12) AS score
        FROM ct GROUP BY feature),
 mrank AS (SELECT feature, score, row_number() OVER (ORDER BY score DESC, feature) AS rank FROM mi),
 usel AS (SELECT fp.feature, COALESCE(mrank.rank <= """ + str(MI_K) + """, false) AS selected
