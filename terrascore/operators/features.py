@@ -161,11 +161,19 @@ def composite_anomaly(tier_cols: Sequence[str]) -> Column:
 
 
 def fit_feature_stats(df: DataFrame, p: Preset, exact: bool = True) -> dict:
-    """All statistics F1-F21 need, in one mean pass + one quantile pass."""
+    """All statistics F1-F21 need: one mean pass, one quantile pass and the
+    group counts of the density feature (a table with one row per key,
+    written to the checkpoint folder so later frames -- a scoring table,
+    stream micro-batches -- join the same counts)."""
+    from terrascore.session import materialize
+
     means = stats.means(df, [p.c("SiO2_%")]) if p.has("SiO2_%") else {}
     elems = anomaly_elements(p)
     q = fit_anomaly_stats(df, [p.c(e) for e in elems], exact) if elems else {}
-    return {"means": means, "quantiles": q}
+    out = {"means": means, "quantiles": q}
+    if p.has("lineament"):
+        out["group_counts"] = materialize(group_counts(df, p.c("lineament")), "group_counts")
+    return out
 
 
 # ----------------------------------------------------------------- whole step
@@ -231,6 +239,8 @@ def engineer_features(df: DataFrame, p: Preset, st: dict | None = None, exact: b
     dens = None
     if p.has("lineament"):
         dens = "__density"
+        if density_counts is None:
+            density_counts = st.get("group_counts")
         base = group_density(df, p.c("lineament"), dens, density_counts)
         if density_counts is not None and dens not in base.columns:
             base = base.withColumnRenamed(density_counts.columns[-1], dens)
