@@ -29,7 +29,6 @@ from pyspark.sql import types as T
 
 from terrascore.functions.expr import unpivot_columns
 from terrascore.operators.ranks import prefix_sum
-from terrascore.session import materialize
 
 
 def one_pass(df: DataFrame, aggs: dict[str, F.Column]) -> dict:
@@ -48,8 +47,8 @@ def null_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     return one_pass(df, {c: F.count_if(F.col(c).isNull()) for c in cols})
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
-                    ) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    window_max_rows: int | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of every column, NULLs ignored.
 
     Returns ``{col: [q(p) for p in probs]}``; an all-NULL column gives
@@ -59,32 +58,36 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
     if not cols:
         return {}
     long = unpivot_columns(df, [], cols, key="k", value="v").withColumn("g", F.lit(0))
-    res = _long_quantiles(long, probs)
+    res = _long_quantiles(long, probs, window_max_rows)
     return {c: res.get((0, c), [None] * len(probs)) for c in cols}
 
 
-def grouped_quantiles(df: DataFrame, group_col: str, cols: Sequence[str], probs: Sequence[float]
-                      ) -> dict[tuple, list[float | None]]:
+def grouped_quantiles(df: DataFrame, group_col: str, cols: Sequence[str], probs: Sequence[float],
+                      window_max_rows: int | None = None) -> dict[tuple, list[float | None]]:
     """Exact quantiles per (group, column): ``{(group, col): [...]}``.
 
     The result -- and the totals collected on the way -- hold one entry per
     (group, column), so ``group_col`` must be a bounded category (bands,
     top-k levels)."""
     long = unpivot_columns(df, [group_col], list(cols), key="k", value="v").withColumnRenamed(group_col, "g")
-    return _long_quantiles(long, probs)
+    return _long_quantiles(long, probs, window_max_rows)
 
 
-def _long_quantiles(long: DataFrame, probs: Sequence[float]) -> dict[tuple, list[float | None]]:
+def _long_quantiles(long: DataFrame, probs: Sequence[float], window_max_rows: int | None = None
+                    ) -> dict[tuple, list[float | None]]:
     spark = long.sparkSession
     probs = [float(p) for p in probs]
     long = long.where(F.col("v").isNotNull())
-    # written once: the range partitioner samples it and the running-count
-    # pass reads it, so the upstream plan is not evaluated twice
-    counts = materialize(long.groupBy("g", "k", "v").agg(F.count(F.lit(1)).alias("n")), "counts")
-    cum = prefix_sum(counts, ["v"], ["n"], group_cols=["g", "k"])  # n_cum inclusive
-
+    # prefix_sum persists it: the size check, the range sampling and the
+    # running-count pass read it once computed
+    counts = long.groupBy("g", "k", "v").agg(F.count(F.lit(1)).alias("n"))
+    cum = prefix_sum(counts, ["v"], ["n"], group_cols=["g", "k"],
+                     window_max_rows=window_max_rows)  # n_cum inclusive
+
+    # totals from the (persisted) counts, so the running sums are evaluated
+    # only once, by the target lookup below
     totals = {(r["g"], r["k"]): r["n"]
-              for r in cum.groupBy("g", "k").agg(F.max("n_cum").alias("n")).collect()}
+              for r in counts.groupBy("g", "k").agg(F.sum("n").alias("n")).collect()}
     targets, plan = [], {}
     for key, n in totals.items():
         for p in probs:

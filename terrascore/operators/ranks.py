@@ -19,6 +19,10 @@ Instead:
 A group spread over many partitions (a hot key holding a third of all
 rows) is just a run of consecutive partitions, so skew does not
 concentrate work.
+
+Small inputs (checked by a count of the persisted input, at most
+``WINDOW_MAX_ROWS`` rows) skip all this and use one JVM window per group:
+the per-task size is then bounded by the checked count.
 """
 
 from __future__ import annotations
@@ -48,16 +52,40 @@ def _key_tuple(row_vals) -> tuple:
     return tuple(out)
 
 
+# Inputs of at most this many rows take a plain window partitioned by the
+# group keys: the count is checked first, so no task can receive more.
+WINDOW_MAX_ROWS = 2_000_000
+
+
 def prefix_sum(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[str],
                group_cols: Sequence[str] = (), suffix: str = "_cum",
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None, window_max_rows: int | None = None) -> DataFrame:
     """Inclusive running sums of non-null ``value_cols`` ordered by
     ``order_cols`` and restarting for every ``group_cols`` key.
 
     Rows tied on (group, order) get an arbitrary but consistent order; pass
     a unique tie-breaker in ``order_cols`` when row-level values matter.
     Output: input columns + ``<v><suffix>`` per value column.
+
+    The input is persisted and counted; up to ``window_max_rows`` rows
+    (default ``WINDOW_MAX_ROWS``) a JVM window over (group) ordered by
+    (order) computes the sums -- one task per group, each bounded by the
+    checked count.  Larger inputs take the distributed range-partitioned
+    path below, whose tasks are bounded by the partition size.
     """
+    limit = WINDOW_MAX_ROWS if window_max_rows is None else window_max_rows
+    if limit > 0:
+        df = df.persist()
+        if df.count() <= limit:
+            from pyspark.sql import Window
+
+            w = (Window.partitionBy(*[F.col(g) for g in group_cols]) if group_cols else Window.partitionBy())
+            w = w.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            return df.select("*", *[F.sum(v).over(w).alias(v + suffix) for v in value_cols])
+    return _prefix_sum_distributed(df, order_cols, value_cols, group_cols, suffix, num_partitions)
+
+
+def _prefix_sum_distributed(df, order_cols, value_cols, group_cols, suffix, num_partitions):
     spark = df.sparkSession
     gcols, ocols, vcols = list(group_cols), list(order_cols), list(value_cols)
     keys = gcols + ocols
@@ -162,11 +190,13 @@ def prefix_sum(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[st
 
 
 def ordinal_rank(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
-                 out: str = "rank") -> DataFrame:
-    """1-based ``row_number`` over (group, order) without a single-task window.
+                 out: str = "rank", window_max_rows: int | None = None) -> DataFrame:
+    """1-based ``row_number`` over (group, order) without an unbounded
+    single-task window.
 
     ``order_cols`` should end with a unique key so the ranking is repeatable.
     """
     ones = df.withColumn("_one", F.lit(1).cast("long"))
-    ranked = prefix_sum(ones, order_cols, ["_one"], group_cols, suffix="_rank")
+    ranked = prefix_sum(ones, order_cols, ["_one"], group_cols, suffix="_rank",
+                        window_max_rows=window_max_rows)
     return ranked.withColumnRenamed("_one_rank", out).drop("_one")
