@@ -20,9 +20,10 @@ A group spread over many partitions (a hot key holding a third of all
 rows) is just a run of consecutive partitions, so skew does not
 concentrate work.
 
-Small inputs (checked by a count of the persisted input, at most
-``WINDOW_MAX_ROWS`` rows) skip all this and use one JVM window per group:
-the per-task size is then bounded by the checked count.
+Inputs whose largest group holds at most ``WINDOW_MAX_ROWS`` rows
+(checked with a count on the persisted input) skip all this and use one
+JVM window per group: every task's work is then bounded by the checked
+count.
 """
 
 from __future__ import annotations
@@ -67,16 +68,22 @@ def prefix_sum(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[st
     a unique tie-breaker in ``order_cols`` when row-level values matter.
     Output: input columns + ``<v><suffix>`` per value column.
 
-    The input is persisted and counted; up to ``window_max_rows`` rows
-    (default ``WINDOW_MAX_ROWS``) a JVM window over (group) ordered by
-    (order) computes the sums -- one task per group, each bounded by the
-    checked count.  Larger inputs take the distributed range-partitioned
-    path below, whose tasks are bounded by the partition size.
+    The input is persisted and its largest group counted; up to
+    ``window_max_rows`` rows per group (default ``WINDOW_MAX_ROWS``) a JVM
+    window over (group) ordered by (order) computes the sums -- one task
+    per group, each bounded by the checked count.  Larger groups take the
+    distributed range-partitioned path, whose tasks are bounded by the
+    partition size.
     """
     limit = WINDOW_MAX_ROWS if window_max_rows is None else window_max_rows
     if limit > 0:
         df = df.persist()
-        if df.count() <= limit:
+        # the window gives each group to one task: bound the largest group
+        if group_cols:
+            biggest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
+        else:
+            biggest = df.count()
+        if biggest <= limit:
             from pyspark.sql import Window
 
             w = (Window.partitionBy(*[F.col(g) for g in group_cols]) if group_cols else Window.partitionBy())
