@@ -106,6 +106,7 @@ def _long_quantiles(long: DataFrame, probs: Sequence[float], window_max_rows: in
         hit = cum.join(F.broadcast(tdf), (cum.g.eqNullSafe(tdf.g)) & (cum.k == tdf.k)).where(
             (F.col("n_cum") - F.col("n") <= F.col("r")) & (F.col("r") < F.col("n_cum")))
         values = {(r[0], r[1], r[2]): r[3] for r in hit.select(cum.g, cum.k, tdf.r, cum.v).collect()}
+    counts.unpersist()  # persisted by prefix_sum; the answer is collected
     out = {}
     for key in totals:
         res = []
