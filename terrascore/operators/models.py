@@ -89,7 +89,8 @@ def spark_params(name: str, p: Mapping, n_rows: int | None = None) -> dict:
 def estimator(name: str, seed: int = RANDOM_STATE):
     """M1-M5 base estimators."""
     if name == "logistic_regression":
-        return LogisticRegression(maxIter=100, elasticNetParam=0.0, standardization=False)
+        # tol: the reference solver's default stopping tolerance
+        return LogisticRegression(maxIter=100, tol=1e-4, elasticNetParam=0.0, standardization=False)
     if name == "random_forest":
         return RandomForestClassifier(seed=seed)
     if name == "extra_trees":
@@ -157,7 +158,11 @@ def tune_model(train: DataFrame, name: str, grid: Mapping | None = None, fold_co
         cv = CrossValidator(foldCol=fold_col, numFolds=folds, **kw)
     else:
         cv = CrossValidator(numFolds=folds, **kw)
-    m = cv.fit(train)
+    train = train.persist()  # every fold fit and the refit iterate over it
+    try:
+        m = cv.fit(train)
+    finally:
+        train.unpersist()
     scores = list(m.avgMetrics)
     best = max(range(len(scores)), key=lambda i: scores[i])
     return Tuned(name, m.bestModel, float(scores[best]), combos[best], spark_params(name, combos[best], n))
@@ -173,14 +178,23 @@ def predict_long(model, data: DataFrame, name: str, type_: str = "individual",
                     F.col("prediction").cast("int").alias("prediction"))
 
 
+def _parallel(fn, items, workers: int):
+    """Run independent Spark fits concurrently (jobs from several driver
+    threads share the executors, like ``CrossValidator(parallelism)``)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=max(1, workers)) as ex:
+        return list(ex.map(fn, items))
+
+
 def train_all(train: DataFrame, test: DataFrame, names: Sequence[str] = MODEL_NAMES,
               grids: Mapping | None = None, parallelism: int = 4) -> tuple[dict, DataFrame]:
     """M7 tune every model and predict the validation part; returns
-    ({name: Tuned}, long predictions)."""
+    ({name: Tuned}, long predictions).  Models are tuned concurrently."""
     grids = grids if grids is not None else SMALL_GRIDS
+    done = _parallel(lambda n: tune_model(train, n, grids.get(n), parallelism=2), list(names), parallelism)
     tuned, preds = {}, None
-    for n in names:
-        t = tune_model(train, n, grids.get(n), parallelism=parallelism)
+    for n, t in zip(names, done):
         tuned[n] = t
         p = predict_long(t.model, test, n)
         preds = p if preds is None else preds.unionByName(p)
@@ -224,20 +238,22 @@ def _meta_frame(wide: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def stack(train: DataFrame, test: DataFrame, tuned: Mapping[str, Tuned], name: str = "stacking",
-          k: int = 5) -> DataFrame:
+          k: int = 5, parallelism: int = 4) -> DataFrame:
     """N3 stacking: members refit on k-1 folds predict the held-out fold
     (out-of-fold features for every training row), a logistic regression
     learns from them; on the validation part it reads the members' fitted
     (all-data) predictions.  ``train`` must carry a ``fold`` column."""
     names = list(tuned)
+    jobs = [(f, n) for f in range(k) for n in names]
+
+    def oof_part(job):
+        f, n = job
+        fitted = tuned[n].fresh().fit(train.where(F.col("fold") != f))
+        return predict_long(fitted, train.where(F.col("fold") == f), n)
+
     oof = None
-    for f in range(k):
-        fit_part = train.where(F.col("fold") != f)
-        held = train.where(F.col("fold") == f)
-        for n in names:
-            fitted = tuned[n].fresh().fit(fit_part)
-            p = predict_long(fitted, held, n)
-            oof = p if oof is None else oof.unionByName(p)
+    for p in _parallel(oof_part, jobs, parallelism):
+        oof = p if oof is None else oof.unionByName(p)
     meta = LogisticRegression(maxIter=100).fit(_meta_frame(_wide(oof, names), names))
     test_preds = None
     for n in names:

@@ -85,3 +85,33 @@ def test_load_csv_nan_to_null_and_geometry_dropped(spark):
     df = load_table(spark, path)
     assert "geometry" not in df.columns
     assert [r["q"] for r in df.orderBy("sample_id").collect()] == [None, 2.5]
+
+
+def test_log1p_histogram(spark):
+    rng = np.random.default_rng(2)
+    v = rng.exponential(50.0, 400)
+    df = spark.createDataFrame([(float(a), 1) for a in v], "v double, likely int")
+    h = {r["bin"]: r["density"] for r in V.class_histogram(df, "v", "likely", bins=30, log1p=True).collect()}
+    dens, _ = np.histogram(np.log1p(v), bins=30, density=True)
+    for b, d in enumerate(dens):
+        assert math.isclose(h.get(b, 0.0), d, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_prediction_sink_and_summary(spark):
+    import json
+
+    from terrascore.operators import score as C
+    from terrascore.sources.sinks import summary_json, write_predictions
+
+    df = spark.createDataFrame([(1, 0.2, 1.0, 2.0, 10.0), (2, 0.9, 3.0, 4.0, 20.0)],
+                               "sample_id long, raw_score double, xcoord double, ycoord double, fault_dist double")
+    s = C.rescale_scores(df).withColumn("prospectivity_class", C.score_class())
+    out = tempfile.mkdtemp(prefix="pred-") + "/p"
+    write_predictions(s, out)
+    back = spark.read.option("header", True).option("inferSchema", True).csv(out)
+    assert back.columns == ["sample_id", "prospectivity_score", "xcoord", "ycoord", "fault_dist",
+                            "prospectivity_class", "raw_score"]
+    assert sorted(r["prospectivity_class"] for r in back.collect()) == [0, 1]
+    summ = C.pipeline_summary(s, 31, 20, 29, 9, "m", 0.9)
+    js = json.loads(summary_json(summ))["pipeline_summary"]
+    assert js["samples_scored"] == 2 and js["high_potential_areas"] == 1 and js["best_model"] == "m"
