@@ -44,7 +44,13 @@ def means(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
 
 
 def null_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
-    return one_pass(df, {c: F.count_if(F.col(c).isNull()) for c in cols})
+    """Missing values per column (NULL, and NaN in float columns)."""
+    def missing(c):
+        dt = df.schema[c].dataType
+        if isinstance(dt, (T.DoubleType, T.FloatType)):
+            return F.col(c).isNull() | F.isnan(c)
+        return F.col(c).isNull()
+    return one_pass(df, {c: F.count_if(missing(c)) for c in cols})
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
@@ -77,7 +83,7 @@ def _long_quantiles(long: DataFrame, probs: Sequence[float], window_max_rows: in
                     ) -> dict[tuple, list[float | None]]:
     spark = long.sparkSession
     probs = [float(p) for p in probs]
-    long = long.where(F.col("v").isNotNull())
+    long = long.where(F.col("v").isNotNull() & ~F.isnan("v"))  # NaN counts as missing
     # prefix_sum persists it: the size check, the range sampling and the
     # running-count pass read it once computed
     counts = long.groupBy("g", "k", "v").agg(F.count(F.lit(1)).alias("n"))

@@ -39,13 +39,15 @@ def fit_median_impute(df: DataFrame, cols: Sequence[str] | None = None,
 def apply_median_impute(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
     """P2 apply: ``coalesce(c, median)``; an imputed column becomes double.
     A column whose median is missing (all values missing) stays missing."""
+    from terrascore.functions.expr import nan_to_null
+
     exprs = []
     for f in df.schema.fields:
         if f.name in medians and medians[f.name] is not None:
-            exprs.append(F.coalesce(F.col(f.name).cast("double"),
+            exprs.append(F.coalesce(nan_to_null(F.col(f.name).cast("double")),
                                     F.lit(float(medians[f.name]))).alias(f.name))
         elif f.name in medians:
-            exprs.append(F.col(f.name).cast("double").alias(f.name))
+            exprs.append(nan_to_null(F.col(f.name).cast("double")).alias(f.name))
         else:
             exprs.append(F.col(f.name))
     return df.select(*exprs)

@@ -16,7 +16,11 @@ EXCLUDED_ON_LOAD = ("geometry",)
 
 
 def load_table(spark: SparkSession, path: str, fmt: str | None = None,
-               schema=None) -> DataFrame:
+               schema=None, where=None) -> DataFrame:
+    """Read a table; ``where`` (a Column) is applied to the raw scan, before
+    the NaN -> NULL projection, so comparison and IN predicates reach the
+    Parquet reader as pushed filters (a predicate over the projected
+    column would not be translatable)."""
     fmt = fmt or _guess_format(path)
     if fmt == "csv":
         reader = spark.read.option("header", True)
@@ -29,6 +33,8 @@ def load_table(spark: SparkSession, path: str, fmt: str | None = None,
         df = spark.read.format("dbf").load(path)
     else:
         df = spark.read.parquet(path)
+    if where is not None:
+        df = df.where(where)
     drop = [c for c in EXCLUDED_ON_LOAD if c in df.columns]
     if drop:
         df = df.drop(*drop)
