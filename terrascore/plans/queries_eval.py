@@ -15,7 +15,7 @@ from terrascore.sources.fixtures import predictions
 def preds(spark, sf):
     """The long prediction table, written once to the checkpoint folder:
     the metric and ensemble queries read it in several jobs (member AUCs,
-    ranks, normalisers, final metrics), as the training pipeline does."""
+    ranks, normalisers, final metrics), as the training workflow does."""
     from terrascore.session import materialize
 
     return materialize(predictions(spark, sf).withColumn("type", F.lit("individual")), "predictions")

@@ -17,7 +17,7 @@ from terrascore.operators import metrics as T
 from terrascore.operators import models as M
 from terrascore.operators import score as C
 from terrascore.operators import spatial as V
-from terrascore.plans import pipeline as PL
+from terrascore.plans import training as PL
 from terrascore.plans.registry import query
 from terrascore.session import checkpoint_root
 from terrascore.sources.fixtures import samples
@@ -163,11 +163,11 @@ def q_score_samples(spark, sf):
                     "xcoord", "ycoord", "fault_dist")
 
 
-@query("pipeline_summary")
-def q_pipeline_summary(spark, sf):
+@query("scoring_summary")
+def q_scoring_summary(spark, sf):
     p = prepared(spark, sf)
     best, auc = _best(spark, sf)
-    return C.pipeline_summary(scored(spark, sf), len(p.state.features), len(p.state.features),
+    return C.summary_table(scored(spark, sf), len(p.state.features), len(p.state.features),
                               29, len(M.MODEL_NAMES) + 4, best.name, auc)
 
 

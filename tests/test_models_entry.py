@@ -11,7 +11,7 @@ from tests.conftest import SF0001
 @pytest.fixture(scope="module")
 def prep(spark):
     from terrascore.config import TESTDATA
-    from terrascore.plans.pipeline import prepare_training
+    from terrascore.plans.training import prepare_training
     from terrascore.sources.fixtures import samples
     return prepare_training(samples(spark, SF0001), TESTDATA, select=False, folds=3)
 
@@ -46,7 +46,7 @@ def test_stratified_folds_present(prep):
 def test_stream_scoring_matches_batch(spark, prep):
     import tempfile
     from terrascore.operators import models as M
-    from terrascore.plans.pipeline import prepare_scoring, score_table
+    from terrascore.plans.training import prepare_scoring, score_table
     from terrascore.sources.fixtures import samples
     from terrascore.streaming.scoring import start_scoring_stream
 

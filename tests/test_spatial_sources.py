@@ -112,6 +112,6 @@ def test_prediction_sink_and_summary(spark):
     assert back.columns == ["sample_id", "prospectivity_score", "xcoord", "ycoord", "fault_dist",
                             "prospectivity_class", "raw_score"]
     assert sorted(r["prospectivity_class"] for r in back.collect()) == [0, 1]
-    summ = C.pipeline_summary(s, 31, 20, 29, 9, "m", 0.9)
-    js = json.loads(summary_json(summ))["pipeline_summary"]
+    summ = C.summary_table(s, 31, 20, 29, 9, "m", 0.9)
+    js = json.loads(summary_json(summ))["summary"]
     assert js["samples_scored"] == 2 and js["high_potential_areas"] == 1 and js["best_model"] == "m"
