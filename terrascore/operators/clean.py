@@ -74,13 +74,27 @@ def cast_target(df: DataFrame, target: str = TARGET_COLUMN) -> DataFrame:
     return df.withColumn(target, F.col(target).cast("int"))
 
 
+def clean_data_fit(df: DataFrame, exclude: Iterable[str] = tuple(EXCLUDE_COLUMNS),
+                   target: str = TARGET_COLUMN, medians=None, exact: bool = True):
+    """P5 returning (cleaned frame, medians).  When the medians are fitted
+    here, the de-duplicated frame is written once to the checkpoint folder
+    and read by the missing-value count, the median pass and the final
+    projection, instead of shuffling the duplicates away three times."""
+    d = drop_duplicates(df)
+    if medians is None:
+        from terrascore.session import materialize
+
+        d = materialize(d, "dedup")
+        medians = fit_median_impute(d, exact=exact)
+    d = apply_median_impute(d, medians)
+    d = fill_unknown(d, exclude, target)
+    return cast_target(d, target), medians
+
+
 def clean_data(df: DataFrame, exclude: Iterable[str] = tuple(EXCLUDE_COLUMNS),
                target: str = TARGET_COLUMN, medians=None, exact: bool = True) -> DataFrame:
     """P5: P1 -> P2 -> P3 -> P4 (de-duplicate before the medians)."""
-    d = drop_duplicates(df)
-    d = median_impute(d, medians=medians, exact=exact)
-    d = fill_unknown(d, exclude, target)
-    return cast_target(d, target)
+    return clean_data_fit(df, exclude, target, medians, exact)[0]
 
 
 def feature_columns(df: DataFrame, exclude: Iterable[str] = tuple(EXCLUDE_COLUMNS),

@@ -15,13 +15,13 @@ ELEMENTS = ["q1", "q2", "q3", "q4", "q5"]
 
 
 def clean_samples(spark, sf):
-    """samples -> clean_data, written once to the checkpoint folder: the
-    median pass, the feature-statistics passes and the final projection
-    all read it instead of re-deriving the sample view."""
+    """samples -> clean_data, written once to the checkpoint folder (the
+    de-duplicated input is written inside clean_data): the feature
+    statistics passes and the final projection read it instead of
+    re-deriving the sample view."""
     from terrascore.session import materialize
 
-    s = materialize(samples(spark, sf), "samples")
-    return materialize(C.clean_data(s), "clean")
+    return materialize(C.clean_data(samples(spark, sf)), "clean")
 
 
 def _r(c, n=6):

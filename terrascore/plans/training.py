@@ -57,11 +57,8 @@ def engineered(df: DataFrame, preset: Preset = TESTDATA, medians=None, feature_s
     """clean_data + engineer_features; returns (frame, medians, feature stats)."""
     p = preset.available(df.columns)
     fitting = medians is None or feature_stats is None
-    if fitting:  # several statistics passes follow: read the input once
-        df = materialize(df, "input")
-    medians = medians if medians is not None else C.fit_median_impute(C.drop_duplicates(df), exact=exact)
-    d = C.clean_data(df, p.exclude, p.target, medians=medians)
-    if fitting:
+    d, medians = C.clean_data_fit(df, p.exclude, p.target, medians, exact)
+    if fitting:  # several statistics passes follow: read the cleaned table once
         d = materialize(d, "clean")
     st = feature_stats if feature_stats is not None else FE.fit_feature_stats(d, p, exact)
     return FE.engineer_features(d, p, st), medians, st
