@@ -220,7 +220,7 @@ def q_dbf_source(spark, sf):
     from terrascore.sources.tables import load_table
 
     register_dbf(spark)
-    folder = f"{checkpoint_root(spark).rstrip('/')}/dbf-{uuid.uuid4().hex}".replace("file:", "")
+    folder = f"{checkpoint_root(spark).rstrip('/')}/dbf-{uuid.uuid4().hex}"
     clean_data(samples(spark, sf)).write.format("dbf").mode("append").save(folder)
     return load_table(spark, folder, fmt="dbf")
 

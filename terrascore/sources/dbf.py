@@ -11,13 +11,13 @@ D -> date).
 ``df.write.format("dbf").save(folder)`` writes one part file per task
 (strings sized to the longest value of that task, numbers as N fields:
 integers with 0 decimals, doubles with ``decimals`` decimals, default 10).
+Files are opened through ``pyarrow.fs``, so the folder may be a local or
+mounted path or a URI of shared storage (``hdfs://``, ``s3://``, ...).
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import glob
-import os
 import struct
 import uuid
 
@@ -27,15 +27,46 @@ from pyspark.sql.types import (BooleanType, DateType, DoubleType, IntegerType, L
                                StructField, StructType)
 
 
+def _fs(path: str):
+    """(filesystem, path inside it) for a local path or a URI (file:,
+    hdfs://, s3://, ...), so tasks read and write shared storage directly."""
+    from urllib.parse import urlparse
+
+    from pyarrow import fs
+
+    u = urlparse(path)
+    if u.scheme in ("", "file"):
+        return fs.LocalFileSystem(), (u.path if u.scheme else path)
+    return fs.FileSystem.from_uri(path)
+
+
+def _is_remote(path: str) -> bool:
+    from urllib.parse import urlparse
+
+    return urlparse(path).scheme not in ("", "file")
+
+
 def _files(path: str) -> list[str]:
-    if os.path.isdir(path):
-        return sorted(f for f in glob.glob(os.path.join(path, "*")) if f.lower().endswith(".dbf"))
+    from pyarrow import fs
+
+    f, p = _fs(path)
+    info = f.get_file_info(p)
+    if info.type == fs.FileType.Directory:
+        sel = f.get_file_info(fs.FileSelector(p))
+        names = sorted(i.path for i in sel if i.type == fs.FileType.File and i.path.lower().endswith(".dbf"))
+        return [_rejoin(path, p, n) for n in names]
     return [path]
 
 
+def _rejoin(orig: str, inner: str, child: str) -> str:
+    """Child path in the same form as ``orig`` (remote URI) or a local path."""
+    return orig.rstrip("/") + child[len(inner.rstrip("/")):] if _is_remote(orig) else child
+
+
 def read_header(path: str):
     """(n_records, header_len, record_len, fields[(name, type, length, decimals, offset)])."""
-    with open(path, "rb") as fh:
+    f, p = _fs(path)
+    with f.open_input_file(p) as fh:
         head = fh.read(32)
         n, hlen, rlen = struct.unpack("<IHH", head[4:12])
         fields, off = [], 1  # byte 0 of a record is the deletion flag
@@ -90,7 +121,8 @@ class DbfReader(DataSourceReader):
             return
         _, hlen, rlen, fields = read_header(partition.path)
         enc = self.options.get("encoding", "latin-1")
-        with open(partition.path, "rb") as fh:
+        f, p = _fs(partition.path)
+        with f.open_input_file(p) as fh:
             fh.seek(hlen + partition.start * rlen)
             buf = fh.read(partition.count * rlen)
         m = np.frombuffer(buf, dtype=np.uint8)[: (len(buf) // rlen) * rlen].reshape(-1, rlen)
@@ -137,13 +169,14 @@ class DbfWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         folder = self.options["path"]
-        os.makedirs(folder, exist_ok=True)
+        fsys, inner = _fs(folder)
+        fsys.create_dir(inner, recursive=True)
         rows = list(iterator)  # one task's rows: string widths need a pass first
         dec = int(self.options.get("decimals", 10))
         specs = []
-        for i, f in enumerate(self.schema.fields):
-            t = f.dataType
-            name = f.name[:10]
+        for i, fld in enumerate(self.schema.fields):
+            t = fld.dataType
+            name = fld.name[:10]
             if isinstance(t, StringType):
                 w = max([len(str(r[i]).encode("latin-1", "replace")) for r in rows if r[i] is not None] + [1])
                 specs.append((name, "C", min(w, 254), 0))
@@ -161,8 +194,9 @@ class DbfWriter(DataSourceWriter):
         header = struct.pack("<BBBBIHH20x", 3, today.year - 1900, today.month, today.day, len(rows), hlen, rlen)
         desc = b"".join(struct.pack("<11sc4xBB14x", n.encode("ascii", "replace"), t.encode(), ln, d)
                         for n, t, ln, d in specs)
-        path = os.path.join(folder, f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}.dbf")
-        with open(path, "wb") as fh:
+        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}.dbf"
+        path = folder.rstrip("/") + "/" + name
+        with fsys.open_output_stream(inner.rstrip("/") + "/" + name) as fh:
             fh.write(header + desc + b"\x0D")
             for r in rows:
                 rec = [b" "]
