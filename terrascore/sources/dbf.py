@@ -86,7 +86,7 @@ def _spark_type(ftype: str, length: int, dec: int):
     if ftype == "C":
         return StringType()
     if ftype in ("N", "F"):
-        return LongType() if dec == 0 and length <= 18 else DoubleType()
+        return LongType() if dec == 0 and length <= 20 else DoubleType()
     if ftype == "L":
         return BooleanType()
     if ftype == "D":
@@ -126,34 +126,52 @@ class DbfReader(DataSourceReader):
             fh.seek(hlen + partition.start * rlen)
             buf = fh.read(partition.count * rlen)
         m = np.frombuffer(buf, dtype=np.uint8)[: (len(buf) // rlen) * rlen].reshape(-1, rlen)
-        live = m[:, 0] != ord("*")
-        m = m[live]
+        m = m[m[:, 0] != ord("*")]  # deleted records
         cols = []
         for (name, ftype, length, dec, off), fld in zip(fields, self.schema.fields):
-            raw = [bytes(r).decode(enc, "replace").strip() for r in m[:, off:off + length]]
+            # one fixed-width byte string per record, decoded column-wise
+            raw = np.ascontiguousarray(m[:, off:off + length]).view(f"S{length}").ravel()
+            txt = np.char.strip(np.char.decode(raw, enc, "replace"))
+            blank = txt == ""
             t = fld.dataType
             if isinstance(t, StringType):
-                cols.append(pa.array([v if v else None for v in raw], pa.string()))
-            elif isinstance(t, LongType):
-                cols.append(pa.array([int(float(v)) if v and v not in ("*", ".") else None for v in raw], pa.int64()))
-            elif isinstance(t, DoubleType):
-                cols.append(pa.array([_to_float(v) for v in raw], pa.float64()))
+                cols.append(pa.array(txt.astype(object), pa.string(), mask=blank))
+            elif isinstance(t, (LongType, DoubleType)):
+                bad = blank | (np.char.strip(txt, "*.") == "")
+                vals = np.where(bad, "0", txt)
+                if isinstance(t, LongType):
+                    try:  # exact for all 64-bit values (no detour through float)
+                        cols.append(pa.array(vals.astype(np.int64), pa.int64(), mask=bad))
+                        continue
+                    except (ValueError, OverflowError):
+                        pass
+                try:
+                    num = vals.astype(np.float64)
+                except ValueError:  # stray characters: parse value by value
+                    num = np.array([_to_float(v) if not b else 0.0 for v, b in zip(vals, bad)], np.float64)
+                    bad = bad | np.isnan(num)
+                if isinstance(t, LongType):
+                    cols.append(pa.array(num.astype(np.int64), pa.int64(), mask=bad))
+                else:
+                    cols.append(pa.array(num, pa.float64(), mask=bad))
             elif isinstance(t, BooleanType):
-                cols.append(pa.array([True if v[:1] in "TtYy" and v else False if v[:1] in "FfNn" and v
-                                      else None for v in raw], pa.bool_()))
+                first = np.char.upper(np.char.ljust(txt, 1).astype("U1"))
+                val = np.isin(first, ["T", "Y"])
+                cols.append(pa.array(val, pa.bool_(), mask=~(val | np.isin(first, ["F", "N"]))))
             elif isinstance(t, DateType):
-                cols.append(pa.array([_dt.date(int(v[:4]), int(v[4:6]), int(v[6:8])) if len(v) == 8 else None
-                                      for v in raw], pa.date32()))
+                ok = np.char.str_len(txt) == 8
+                c = np.ascontiguousarray(np.where(ok, txt, "19700101").astype("U8")).view("U1").reshape(-1, 8)
+                part = [np.ascontiguousarray(c[:, a:b]).view(f"U{b - a}").ravel() for a, b in ((0, 4), (4, 6), (6, 8))]
+                iso = np.char.add(np.char.add(np.char.add(np.char.add(part[0], "-"), part[1]), "-"), part[2])
+                cols.append(pa.array(iso.astype("datetime64[D]"), pa.date32(), mask=~ok))
         yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in self.schema.fields])
 
 
-def _to_float(v: str):
-    if not v or set(v) <= {"*", "."}:
-        return None
+def _to_float(v: str) -> float:
     try:
         return float(v)
     except ValueError:
-        return None
+        return float("nan")
 
 
 class DbfCommit(WriterCommitMessage):

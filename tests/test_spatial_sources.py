@@ -61,8 +61,12 @@ def test_dbf_round_trip(spark):
     from terrascore.sources.tables import load_table
 
     register_dbf(spark)
-    rows = [(i, f"name {i}" if i % 3 else None, i * 0.5, i % 2 == 0) for i in range(57)]
-    df = spark.createDataFrame(rows, "id long, name string, v double, flag boolean").repartition(3)
+    import datetime as dt
+
+    rows = [(i, f"name {i}" if i % 3 else None, i * 0.5 if i % 5 else None,
+             (i % 2 == 0) if i % 7 else None, dt.date(2020, 1 + i % 12, 1 + i % 28) if i % 4 else None)
+            for i in range(57)]
+    df = spark.createDataFrame(rows, "id long, name string, v double, flag boolean, d date").repartition(3)
     folder = tempfile.mkdtemp(prefix="dbf-")
     df.write.format("dbf").mode("append").save(folder)
     files = [f for f in os.listdir(folder) if f.endswith(".dbf")]
@@ -71,6 +75,7 @@ def test_dbf_round_trip(spark):
     assert back.rdd.getNumPartitions() >= 6
     got = sorted(tuple(r) for r in back.collect())
     assert got == sorted(rows)
+    assert [f.dataType.typeName() for f in back.schema.fields] == ["long", "string", "double", "boolean", "date"]
     t = load_table(spark, folder, fmt="dbf")
     assert t.count() == 57
 
