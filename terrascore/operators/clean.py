@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from terrascore.config import EXCLUDE_COLUMNS, TARGET_COLUMN
 from terrascore.functions import stats
 from terrascore.functions.expr import (FEATURE_TYPES, finite_or_zero, numeric_columns,
-                                       string_columns, unpivot_columns)
+                                       string_columns)
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
@@ -190,7 +190,3 @@ def column_profile(df: DataFrame, cols: Sequence[str], exact: bool = True) -> Da
     schema = T.StructType([T.StructField("feature", T.StringType(), False)] + [
         T.StructField(n, T.DoubleType(), True) for n in ("min", "max", "mean", "median")])
     return spark.createDataFrame(rows, schema)
-
-
-def long_values(df: DataFrame, id_cols: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    return unpivot_columns(df, id_cols, cols)

@@ -276,8 +276,3 @@ def blend(train_preds: DataFrame, val_preds: DataFrame, name: str = "blending")
                       F.col("label").cast("int").alias("y"),
                       vector_to_array("probability")[1].alias("probability"),
                       F.col("prediction").cast("int").alias("prediction"))
-
-
-def summary_schema() -> T.StructType:
-    return T.StructType([T.StructField("model", T.StringType()), T.StructField("cv_score", T.DoubleType()),
-                         T.StructField("best_params", T.StringType())])

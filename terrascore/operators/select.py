@@ -28,7 +28,6 @@ from pyspark.sql import types as T
 
 from terrascore.config import CORRELATION_THRESHOLD, MIN_VOTES, VARIANCE_THRESHOLD
 from terrascore.functions import stats
-from terrascore.functions.expr import unpivot_columns
 
 MI_BINS = 10
 
@@ -313,7 +312,3 @@ def selection_report(choices: DataFrame, top: int = 10) -> DataFrame:
 def selection_summary(choices: DataFrame) -> DataFrame:
     """L10 features per method."""
     return choices.groupBy("method").agg(F.count(F.lit(1)).alias("n_features"))
-
-
-def unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    return unpivot_columns(df, ids, cols)
