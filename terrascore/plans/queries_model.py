@@ -120,15 +120,23 @@ def q_train_ensembles(spark, sf):
 
 @query("evaluation_report")
 def q_evaluation_report(spark, sf):
-    """T13 metric rows of members and ensembles, long form, with counts by type."""
+    """T13 one long table (section, type, model, metric, value): metrics and
+    confusion counts of members and ensembles, models per type, and the
+    top-20 feature importances of every member."""
     _, preds = trained(spark, sf)
     allp = preds.unionByName(N.all_ensembles(preds))
     met = T.evaluate_models(allp)
-    long = T.metric_matrix(met, keys=["type", "model"])
-    counts = T.count_by_type(met).select("type", F.lit("count").alias("model"),
-                                         F.lit("n_models").alias("metric"),
+    names = ["accuracy", "precision", "recall", "f1_score", "roc_auc", "specificity", "sensitivity",
+             "true_positives", "false_positives", "true_negatives", "false_negatives"]
+    long = T.metric_matrix(met, keys=["type", "model"], names=names).select(
+        F.lit("metrics").alias("section"), "type", "model", "metric", "value")
+    counts = T.count_by_type(met).select(F.lit("counts").alias("section"), "type",
+                                         F.lit("all").alias("model"), F.lit("n_models").alias("metric"),
                                          F.col("n_models").cast("double").alias("value"))
-    return long.unionByName(counts)
+    imp = V.importance_by_group(q_feature_importance(spark, sf), top=20).select(
+        F.lit("importance").alias("section"), F.lit("individual").alias("type"), "model",
+        F.col("feature").alias("metric"), F.col("importance").alias("value"))
+    return long.unionByName(counts).unionByName(imp)
 
 
 def _best(spark, sf):
