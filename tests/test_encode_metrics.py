@@ -59,6 +59,11 @@ GOLDEN = [  # model, tn, fp, fn, tp, accuracy, precision, recall, f1, specificit
     ("random_forest", 11, 0, 2, 8, 0.9048, 1.0, 0.8, 0.8889, 1.0),
     ("extra_trees", 11, 0, 4, 6, 0.8095, 1.0, 0.6, 0.75, 1.0),
     ("gradient_boosting", 11, 0, 1, 9, 0.9524, 1.0, 0.9, 0.9474, 1.0),
+    ("xgboost", 11, 0, 1, 9, 0.9524, 1.0, 0.9, 0.9474, 1.0),
+    ("voting_soft", 11, 0, 1, 9, 0.9524, 1.0, 0.9, 0.9474, 1.0),
+    ("voting_hard", 11, 0, 2, 8, 0.9048, 1.0, 0.8, 0.8889, 1.0),
+    ("stacking", 11, 0, 1, 9, 0.9524, 1.0, 0.9, 0.9474, 1.0),
+    ("weighted_average", 11, 0, 1, 9, 0.9524, 1.0, 0.9, 0.9474, 1.0),
     ("rank_average", 10, 1, 1, 9, 0.9048, 0.9, 0.9, 0.9, 0.9091),
 ]
 

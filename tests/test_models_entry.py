@@ -71,3 +71,14 @@ def test_entry_contract(spark):
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
     assert len(E.queries()) >= 100
+
+
+def test_planted_features_lead_mutual_information(spark):
+    """The target is planted on price_max (q2) and quantity sum (q1)."""
+    from pyspark.sql import functions as F
+    from terrascore.operators import select as L
+    from terrascore.plans.queries_select import FEATS, features_frame
+
+    s = L.mi_scores(features_frame(spark, SF0001), FEATS, "likely")
+    top = [r["feature"] for r in L.top_k(s, 4).orderBy("rank").collect()]
+    assert "q2" in top and "q1" in top, top
