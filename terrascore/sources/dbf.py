@@ -8,8 +8,9 @@ into an Arrow batch.  The schema comes from the first file's field
 descriptors (C -> string, N/F -> long or double, L -> boolean,
 D -> date).
 
-``df.write.format("dbf").save(folder)`` writes one part file per task
-(strings sized to the longest value of that task, numbers as N fields:
+``df.write.format("dbf").save(folder)`` writes one part file per task from
+its Arrow batches, column-wise (strings sized to the longest value of
+that task, numbers as N fields:
 integers with 0 decimals, doubles with ``decimals`` decimals, default 10).
 Files are opened through ``pyarrow.fs``, so the folder may be a local or
 mounted path or a URI of shared storage (``hdfs://``, ``s3://``, ...).
@@ -21,8 +22,8 @@ import datetime as _dt
 import struct
 import uuid
 
-from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter, InputPartition,
-                                    WriterCommitMessage)
+from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader,
+                                    InputPartition, WriterCommitMessage)
 from pyspark.sql.types import (BooleanType, DateType, DoubleType, IntegerType, LongType, StringType,
                                StructField, StructType)
 
@@ -179,63 +180,87 @@ class DbfCommit(WriterCommitMessage):
         self.path, self.rows = path, rows
 
 
-class DbfWriter(DataSourceWriter):
+def _fixed_width(values, width: int, right: bool):
+    """Byte strings (numpy 'S') padded/truncated to ``width`` as an (n, width) uint8 block."""
+    import numpy as np
+
+    b = np.asarray(values, dtype=f"S{width}")  # truncates longer values
+    b = np.char.rjust(b, width) if right else np.char.ljust(b, width)
+    return np.frombuffer(b.tobytes(), dtype=np.uint8).reshape(-1, width)
+
+
+class DbfWriter(DataSourceArrowWriter):
+    """Arrow batches in; each column becomes a block of fixed-width bytes
+    (numpy string operations) that is copied into the record buffer."""
+
     def __init__(self, options, schema):
         self.options, self.schema = options, schema
 
     def write(self, iterator):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         folder = self.options["path"]
         fsys, inner = _fs(folder)
         fsys.create_dir(inner, recursive=True)
-        rows = list(iterator)  # one task's rows: string widths need a pass first
+        # one task's data: the string widths need a first pass
+        batches = list(iterator)
+        if not batches:
+            return DbfCommit("", 0)
+        table = pa.Table.from_batches(batches)
+        n = table.num_rows
         dec = int(self.options.get("decimals", 10))
-        specs = []
-        for i, fld in enumerate(self.schema.fields):
+        specs, blocks = [], []
+        for fld, col in zip(self.schema.fields, table.columns):
             t = fld.dataType
             name = fld.name[:10]
+            valid = pc.is_valid(col).to_numpy(zero_copy_only=False)
             if isinstance(t, StringType):
-                w = max([len(str(r[i]).encode("latin-1", "replace")) for r in rows if r[i] is not None] + [1])
-                specs.append((name, "C", min(w, 254), 0))
-            elif isinstance(t, (LongType, IntegerType)):
-                specs.append((name, "N", 20, 0))
+                txt = pc.fill_null(col, "").to_numpy(zero_copy_only=False).astype(str)
+                enc = np.char.encode(txt, "latin-1", "replace")
+                w = int(min(max(int(np.char.str_len(enc).max()) if n else 1, 1), 254))
+                specs.append((name, "C", w, 0))
+                blocks.append(_fixed_width(enc, w, right=False))
+                continue
+            if isinstance(t, (LongType, IntegerType)):
+                ln, d = 20, 0
+                txt = np.char.mod("%d", pc.fill_null(col, 0).to_numpy(zero_copy_only=False))
+                ftype = "N"
             elif isinstance(t, BooleanType):
-                specs.append((name, "L", 1, 0))
+                ln, d, ftype = 1, 0, "L"
+                txt = np.where(pc.fill_null(col, False).to_numpy(zero_copy_only=False), "T", "F")
             elif isinstance(t, DateType):
-                specs.append((name, "D", 8, 0))
+                ln, d, ftype = 8, 0, "D"
+                days = pc.fill_null(col.cast(pa.int32()), 0).to_numpy(zero_copy_only=False)
+                txt = np.char.replace(days.astype("datetime64[D]").astype("U10"), "-", "")
             else:
-                specs.append((name, "N", 32, dec))
-        rlen = 1 + sum(s[2] for s in specs)
+                ln, d, ftype = 32, dec, "N"
+                txt = np.char.mod(f"%.{dec}f", pc.fill_null(col.cast(pa.float64()), 0.0)
+                                  .to_numpy(zero_copy_only=False))
+            txt = np.where(valid, txt, "")
+            specs.append((name, ftype, ln, d))
+            blocks.append(_fixed_width(np.char.encode(txt.astype(str), "latin-1"), ln,
+                                       right=(ftype == "N")))
+        rlen = 1 + sum(sp[2] for sp in specs)
         hlen = 32 + 32 * len(specs) + 1
+        rec = np.full((n, rlen), ord(" "), dtype=np.uint8)
+        off = 1
+        for blk, sp in zip(blocks, specs):
+            rec[:, off:off + sp[2]] = blk
+            off += sp[2]
         today = _dt.date.today()
-        header = struct.pack("<BBBBIHH20x", 3, today.year - 1900, today.month, today.day, len(rows), hlen, rlen)
-        desc = b"".join(struct.pack("<11sc4xBB14x", n.encode("ascii", "replace"), t.encode(), ln, d)
-                        for n, t, ln, d in specs)
-        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}.dbf"
-        path = folder.rstrip("/") + "/" + name
-        with fsys.open_output_stream(inner.rstrip("/") + "/" + name) as fh:
+        header = struct.pack("<BBBBIHH20x", 3, today.year - 1900, today.month, today.day, n, hlen, rlen)
+        desc = b"".join(struct.pack("<11sc4xBB14x", nm.encode("ascii", "replace"), t.encode(), ln, d)
+                        for nm, t, ln, d in specs)
+        fname = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}.dbf"
+        path = folder.rstrip("/") + "/" + fname
+        with fsys.open_output_stream(inner.rstrip("/") + "/" + fname) as fh:
             fh.write(header + desc + b"\x0D")
-            for r in rows:
-                rec = [b" "]
-                for v, (n, t, ln, d) in zip(r, specs):
-                    if v is None:
-                        s = ""
-                    elif t == "C":
-                        s = str(v)
-                    elif t == "L":
-                        s = "T" if v else "F"
-                    elif t == "D":
-                        s = v.strftime("%Y%m%d")
-                    elif d == 0:
-                        s = str(int(v))
-                    else:
-                        s = f"{float(v):.{d}f}"
-                    b = s.encode("latin-1", "replace")[:ln]
-                    rec.append(b.ljust(ln) if t in ("C", "L", "D") else b.rjust(ln))
-                fh.write(b"".join(rec))
+            fh.write(rec.tobytes())
             fh.write(b"\x1A")
-        return DbfCommit(path, len(rows))
+        return DbfCommit(path, n)
 
 
 class DbfDataSource(DataSource):
