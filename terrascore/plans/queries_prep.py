@@ -370,3 +370,18 @@ _RS_Q = ("rq AS (SELECT " + ", ".join(
 def q_robust_scale(spark, sf):
     d = clean_samples(spark, sf).select("sample_id", *ELEMENTS)
     return round_doubles(SC_.robust_scale(d, ELEMENTS))
+
+
+from terrascore.config import LITHOLOGY_GOLD_COUNTS  # noqa: E402
+
+_FIXED_W = ("CASE " + " ".join(f"WHEN lithology = '{k}' THEN {float(v)}" for k, v in LITHOLOGY_GOLD_COUNTS.items())
+            + f" ELSE 0.5 END / {float(max(LITHOLOGY_GOLD_COUNTS.values()))}")
+
+
+@query("weight_encode_fixed", Q.SC + f"""
+SELECT sample_id, lithology, ROUND({_FIXED_W}, 6) AS lithology_prospectivity FROM clean""")
+def q_weight_encode_fixed(spark, sf):
+    """E1 with the fixed occurrence-count map (a literal map expression, no join)."""
+    d = clean_samples(spark, sf).select("sample_id", "lithology")
+    e = EN.weight_encode(d, "lithology", LITHOLOGY_GOLD_COUNTS)
+    return e.select("sample_id", "lithology", _r("lithology_prospectivity"))
