@@ -157,10 +157,15 @@ def q_boxstats_by_top_category(spark, sf):
 
 @query("spatial_layers", Q.S + " UNION ALL ".join(
     f"SELECT sample_id, xcoord AS x, ycoord AS y, '{n}' AS layer, CAST({e} AS DOUBLE) AS value FROM samples"
-    for n, e in [("likely", "likely"), ("fault_dist", "fault_dist"), ("q2", "q2")]))
+    for n, e in [("likely", "likely"), ("fault_dist", "fault_dist"), ("q2", "q2"),
+                 ("log1p_q2", "ROUND(ln(1 + q2), 6)")]))
 def q_spatial_layers(spark, sf):
+    """V4 label, distance, element and log1p(element) (F24) layers."""
+    from terrascore.operators.features import log1p
+
     s = samples(spark, sf)
-    return V.spatial_layers(s, {"likely": F.col("likely"), "fault_dist": F.col("fault_dist"), "q2": F.col("q2")})
+    return V.spatial_layers(s, {"likely": F.col("likely"), "fault_dist": F.col("fault_dist"), "q2": F.col("q2"),
+                                "log1p_q2": F.round(log1p("q2"), 6)})
 
 
 G = 20
