@@ -84,16 +84,16 @@ def _long_quantiles(long: DataFrame, probs: Sequence[float], window_max_rows: in
     spark = long.sparkSession
     probs = [float(p) for p in probs]
     long = long.where(F.col("v").isNotNull() & ~F.isnan("v"))  # NaN counts as missing
-    # prefix_sum persists it: the size check, the range sampling and the
-    # running-count pass read it once computed
-    counts = long.groupBy("g", "k", "v").agg(F.count(F.lit(1)).alias("n"))
-    cum = prefix_sum(counts, ["v"], ["n"], group_cols=["g", "k"],
-                     window_max_rows=window_max_rows)  # n_cum inclusive
-
-    # totals from the (persisted) counts, so the running sums are evaluated
-    # only once, by the target lookup below
-    totals = {(r["g"], r["k"]): r["n"]
-              for r in counts.groupBy("g", "k").agg(F.sum("n").alias("n")).collect()}
+    # persisted: the per-group sizes, the range sampling (large inputs) and
+    # the running-count pass read it once computed
+    counts = long.groupBy("g", "k", "v").agg(F.count(F.lit(1)).alias("n")).persist()
+    # one small job gives, per (group, column), the number of distinct values
+    # (the size bound for prefix_sum's window path) and of non-missing rows
+    per_group = counts.groupBy("g", "k").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")).collect()
+    totals = {(r["g"], r["k"]): r["n"] for r in per_group}
+    largest = max((r["d"] for r in per_group), default=0)
+    cum = prefix_sum(counts, ["v"], ["n"], group_cols=["g", "k"], window_max_rows=window_max_rows,
+                     largest_group=largest)  # n_cum inclusive
     targets, plan = [], {}
     for key, n in totals.items():
         for p in probs:

@@ -59,7 +59,8 @@ WINDOW_MAX_ROWS = 2_000_000
 
 def prefix_sum(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[str],
                group_cols: Sequence[str] = (), suffix: str = "_cum",
-               num_partitions: int | None = None, window_max_rows: int | None = None) -> DataFrame:
+               num_partitions: int | None = None, window_max_rows: int | None = None,
+               largest_group: int | None = None) -> DataFrame:
     """Inclusive running sums of non-null ``value_cols`` ordered by
     ``order_cols`` and restarting for every ``group_cols`` key.
 
@@ -78,7 +79,10 @@ def prefix_sum(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[st
     if limit > 0:
         df = df.persist()
         # the window gives each group to one task: bound the largest group
-        if group_cols:
+        # (callers that already counted the groups pass ``largest_group``)
+        if largest_group is not None:
+            biggest = largest_group
+        elif group_cols:
             biggest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
         else:
             biggest = df.count()
