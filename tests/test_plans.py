@@ -53,3 +53,17 @@ def test_ensembles_group_by_sample(spark):
 
     p = _plan(vote_soft(predictions(spark, SF0001)))
     assert "partial_avg" in p and "Window" not in p
+
+
+def test_raw_scan_filter_equals_filter_after_nan_conversion(spark):
+    import tempfile
+
+    from terrascore.operators.clean import filter_range
+    from terrascore.sources.tables import load_table
+
+    rows = [(1, 10.0), (2, float("nan")), (3, None), (4, 2300.0), (5, 2300.5)]
+    path = tempfile.mkdtemp(prefix="nanpush-") + "/t"
+    spark.createDataFrame(rows, "id long, d double").write.parquet(path)
+    pushed = load_table(spark, path, where=F.col("d") <= 2300.0)
+    after = filter_range(load_table(spark, path), "d", max_value=2300.0)
+    assert sorted(r["id"] for r in pushed.collect()) == sorted(r["id"] for r in after.collect()) == [1, 4]
