@@ -53,8 +53,7 @@ def null_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     return one_pass(df, {c: F.count_if(missing(c)) for c in cols})
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    window_max_rows: int | None = None) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of every column, NULLs ignored.
 
     Returns ``{col: [q(p) for p in probs]}``; an all-NULL column gives
@@ -64,36 +63,29 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     if not cols:
         return {}
     long = unpivot_columns(df, [], cols, key="k", value="v").withColumn("g", F.lit(0))
-    res = _long_quantiles(long, probs, window_max_rows)
+    res = _long_quantiles(long, probs)
     return {c: res.get((0, c), [None] * len(probs)) for c in cols}
 
 
-def grouped_quantiles(df: DataFrame, group_col: str, cols: Sequence[str], probs: Sequence[float],
-                      window_max_rows: int | None = None) -> dict[tuple, list[float | None]]:
+def grouped_quantiles(df: DataFrame, group_col: str, cols: Sequence[str], probs: Sequence[float]) -> dict[tuple, list[float | None]]:
     """Exact quantiles per (group, column): ``{(group, col): [...]}``.
 
     The result -- and the totals collected on the way -- hold one entry per
     (group, column), so ``group_col`` must be a bounded category (bands,
     top-k levels)."""
     long = unpivot_columns(df, [group_col], list(cols), key="k", value="v").withColumnRenamed(group_col, "g")
-    return _long_quantiles(long, probs, window_max_rows)
+    return _long_quantiles(long, probs)
 
 
-def _long_quantiles(long: DataFrame, probs: Sequence[float], window_max_rows: int | None = None
-                    ) -> dict[tuple, list[float | None]]:
+def _long_quantiles(long: DataFrame, probs: Sequence[float]) -> dict[tuple, list[float | None]]:
     spark = long.sparkSession
     probs = [float(p) for p in probs]
     long = long.where(F.col("v").isNotNull() & ~F.isnan("v"))  # NaN counts as missing
     # persisted: the per-group sizes, the range sampling (large inputs) and
     # the running-count pass read it once computed
     counts = long.groupBy("g", "k", "v").agg(F.count(F.lit(1)).alias("n")).persist()
-    # one small job gives, per (group, column), the number of distinct values
-    # (the size bound for prefix_sum's window path) and of non-missing rows
-    per_group = counts.groupBy("g", "k").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")).collect()
-    totals = {(r["g"], r["k"]): r["n"] for r in per_group}
-    largest = max((r["d"] for r in per_group), default=0)
-    cum = prefix_sum(counts, ["v"], ["n"], group_cols=["g", "k"], window_max_rows=window_max_rows,
-                     largest_group=largest)  # n_cum inclusive
+    totals = {(r["g"], r["k"]): r["n"] for r in counts.groupBy("g", "k").agg(F.sum("n").alias("n")).collect()}
+    cum = prefix_sum(counts, ["v"], ["n"], group_cols=["g", "k"])  # n_cum inclusive
     targets, plan = [], {}
     for key, n in totals.items():
         for p in probs:
@@ -112,7 +104,7 @@ def _long_quantiles(long: DataFrame, probs: Sequence[float], window_max_rows: in
         hit = cum.join(F.broadcast(tdf), (cum.g.eqNullSafe(tdf.g)) & (cum.k == tdf.k)).where(
             (F.col("n_cum") - F.col("n") <= F.col("r")) & (F.col("r") < F.col("n_cum")))
         values = {(r[0], r[1], r[2]): r[3] for r in hit.select(cum.g, cum.k, tdf.r, cum.v).collect()}
-    counts.unpersist()  # persisted by prefix_sum; the answer is collected
+    counts.unpersist()
     out = {}
     for key in totals:
         res = []

@@ -2,211 +2,72 @@
 
 A ``Window.orderBy`` without ``partitionBy`` moves every row into one
 task, and ``partitionBy(model)`` moves a whole model's rows into one task.
-Instead:
-
-1. range-partition on (group, order) keys and sort inside partitions,
-2. one pass per partition computes local running sums (Arrow batches),
-   carrying the total across batches, and marks the rows of the
-   partition's first group (``_head``),
-3. the result is written to the shared checkpoint folder (partition
-   contents must not change between the next two jobs),
-4. one summary row per partition (first key, last key, last local sum)
-   goes to the driver -- bounded by the partition count, not the data --
-   where the carry-in of every partition is resolved in order,
-5. the carry-ins (one row per partition) are broadcast and added to the
-   head rows.
-
-A group spread over many partitions (a hot key holding a third of all
-rows) is just a run of consecutive partitions, so skew does not
-concentrate work.
-
-Inputs whose largest group holds at most ``WINDOW_MAX_ROWS`` rows
-(checked with a count on the persisted input) skip all this and use one
-JVM window per group: every task's work is then bounded by the checked
-count.
+Instead, at every input size and on the JVM alone:
+
+1. range-partition on (group, order) keys and write the rows with the id of
+   their range to the shared checkpoint folder (the ranges must not change
+   between the next two steps),
+2. sum the values per (range, group): at most #ranges + #groups rows; a
+   window over each group's ranges turns them into what comes before,
+3. a window over (range, group) gives the running sums inside a range, to
+   which the sums of the group's earlier ranges are added.
+
+A group spread over many ranges (a hot key holding a third of all rows) is
+a run of consecutive ranges, so no task holds more than a range of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from terrascore.session import materialize
 
-_INTEGRAL = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
-
-
-def _key_tuple(row_vals) -> tuple:
-    out = []
-    for v in row_vals:
-        if v is None or (isinstance(v, float) and np.isnan(v)):
-            out.append(None)
-        elif isinstance(v, np.generic):
-            out.append(v.item())
-        else:
-            out.append(v)
-    return tuple(out)
-
-
-# Inputs of at most this many rows take a plain window partitioned by the
-# group keys: the count is checked first, so no task can receive more.
-WINDOW_MAX_ROWS = 2_000_000
-
 
 def prefix_sum(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[str],
                group_cols: Sequence[str] = (), suffix: str = "_cum",
-               num_partitions: int | None = None, window_max_rows: int | None = None,
-               largest_group: int | None = None) -> DataFrame:
-    """Inclusive running sums of non-null ``value_cols`` ordered by
-    ``order_cols`` and restarting for every ``group_cols`` key.
-
-    Rows tied on (group, order) get an arbitrary but consistent order; pass
-    a unique tie-breaker in ``order_cols`` when row-level values matter.
-    Output: input columns + ``<v><suffix>`` per value column.
-
-    The input is persisted and its largest group counted; up to
-    ``window_max_rows`` rows per group (default ``WINDOW_MAX_ROWS``) a JVM
-    window over (group) ordered by (order) computes the sums -- one task
-    per group, each bounded by the checked count.  Larger groups take the
-    distributed range-partitioned path, whose tasks are bounded by the
-    partition size.
+               num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sums of ``value_cols`` ordered by ``order_cols`` and
+    restarting for every ``group_cols`` key.
+
+    NULL values add nothing, and before any value the sum is 0; NULL is a
+    group key like any other.  Rows tied on (group, order) get an arbitrary
+    but consistent order; pass a unique tie-breaker in ``order_cols`` when
+    row-level values matter.  Output: input columns + ``<v><suffix>`` per
+    value column, with the type of SQL's ``sum``.
     """
-    limit = WINDOW_MAX_ROWS if window_max_rows is None else window_max_rows
-    if limit > 0:
-        df = df.persist()
-        # the window gives each group to one task: bound the largest group
-        # (callers that already counted the groups pass ``largest_group``)
-        if largest_group is not None:
-            biggest = largest_group
-        elif group_cols:
-            biggest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
-        else:
-            biggest = df.count()
-        if biggest <= limit:
-            from pyspark.sql import Window
-
-            w = (Window.partitionBy(*[F.col(g) for g in group_cols]) if group_cols else Window.partitionBy())
-            w = w.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            return df.select("*", *[F.sum(v).over(w).alias(v + suffix) for v in value_cols])
-    return _prefix_sum_distributed(df, order_cols, value_cols, group_cols, suffix, num_partitions)
-
-
-def _prefix_sum_distributed(df, order_cols, value_cols, group_cols, suffix, num_partitions):
-    spark = df.sparkSession
     gcols, ocols, vcols = list(group_cols), list(order_cols), list(value_cols)
-    keys = gcols + ocols
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
-
-    out_types = {}
-    for f in df.schema.fields:
-        if f.name in vcols:
-            out_types[f.name] = T.LongType() if isinstance(f.dataType, _INTEGRAL) else T.DoubleType()
-    fields = list(df.schema.fields) + [
-        T.StructField("_pid", T.IntegerType(), False),
-        T.StructField("_ix", T.LongType(), False),
-        T.StructField("_head", T.BooleanType(), False),
-    ] + [T.StructField(v + suffix, out_types[v], False) for v in vcols]
-    schema = T.StructType(fields)
-    np_types = {v: (np.int64 if isinstance(out_types[v], T.LongType) else np.float64) for v in vcols}
-
-    def local(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        ix0 = 0
-        carry_key = None  # key of the last row seen in this partition
-        carry = None      # its running sums
-        head_open = True  # still inside the partition's first group
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            n = len(pdf)
-            vals = pdf[vcols].astype({v: np_types[v] for v in vcols})
-            if gcols:
-                gid = pdf.groupby(gcols, sort=False, dropna=False).ngroup().to_numpy()
-                cum = vals.groupby(gid, sort=False).cumsum()
-                first_key = _key_tuple(pdf[gcols].iloc[0].tolist())
-                continues = carry_key is not None and first_key == carry_key
-                first_mask = gid == gid[0]
-                if continues:
-                    for v in vcols:
-                        cum.loc[first_mask, v] += carry[v]
-                head = first_mask & head_open if (carry_key is None or continues) else np.zeros(n, bool)
-                if carry_key is not None and not continues:
-                    head_open = False
-                if not (gid == gid[0]).all():
-                    head_open = False
-                last_key = _key_tuple(pdf[gcols].iloc[-1].tolist())
-            else:
-                cum = vals.cumsum()
-                if carry is not None:
-                    for v in vcols:
-                        cum[v] += carry[v]
-                head = np.ones(n, bool)
-                last_key = ()
-            out = pdf.copy()
-            out["_pid"] = np.int32(pid)
-            out["_ix"] = np.arange(ix0, ix0 + n, dtype=np.int64)
-            out["_head"] = head
-            for v in vcols:
-                out[v + suffix] = cum[v].to_numpy()
-            ix0 += n
-            carry_key = last_key
-            carry = {v: cum[v].iloc[-1] for v in vcols}
-            yield out
-
-    tagged = materialize(parted.mapInPandas(local, schema), "prefix")
-
-    last_struct = F.struct(*[F.col(g) for g in gcols], F.col("_head"),
-                           *[F.col(v + suffix) for v in vcols])
-    aggs = [F.max_by(last_struct, "_ix").alias("_last")]
-    if gcols:
-        aggs.append(F.min_by(F.struct(*[F.col(g) for g in gcols]), "_ix").alias("_first"))
-    summary = tagged.groupBy("_pid").agg(*aggs).collect()  # one row per partition
-    summary.sort(key=lambda r: r["_pid"])
-
-    offsets = []
-    cur_key, cur_tot = None, None
-    for r in summary:
-        last = r["_last"]
-        first_key = tuple(r["_first"]) if gcols else ()
-        if cur_key is not None and first_key == cur_key:
-            off = dict(cur_tot)
-        else:
-            off = {v: 0 for v in vcols}
-        offsets.append((r["_pid"], *[off[v] for v in vcols]))
-        last_key = tuple(last[g] for g in gcols) if gcols else ()
-        last_cum = {v: last[v + suffix] for v in vcols}
-        if last["_head"]:  # the whole partition is one group continuing the carry
-            cur_tot = {v: off[v] + last_cum[v] for v in vcols}
-        else:
-            cur_tot = last_cum
-        cur_key = last_key
-
-    off_schema = T.StructType([T.StructField("_pid", T.IntegerType(), False)] + [
-        T.StructField("_off_" + v, out_types[v], False) for v in vcols])
-    off_df = spark.createDataFrame(offsets, off_schema)
-    joined = tagged.join(F.broadcast(off_df), "_pid", "left")
-    outs = [F.col(c) for c in df.columns]
-    for v in vcols:
-        outs.append((F.col(v + suffix) + F.when(F.col("_head"), F.col("_off_" + v))
-                     .otherwise(F.lit(0).cast(out_types[v]))).alias(v + suffix))
-    return joined.select(*outs)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(n, *gcols, *ocols)
+                         .withColumn("_pid", F.spark_partition_id()), "prefix")
+
+    sums = ranged.groupBy("_pid", *gcols).agg(
+        *[F.coalesce(F.sum(v), F.lit(0)).alias("_off_" + v) for v in vcols])
+    earlier = (Window.partitionBy(*gcols).orderBy("_pid")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(F.col("_pid").alias("_opid"), *[F.col(g).alias("_o_" + g) for g in gcols],
+                          *[F.coalesce(F.sum("_off_" + v).over(earlier), F.lit(0)).alias("_off_" + v)
+                            for v in vcols])
+
+    inside = (Window.partitionBy("_pid", *gcols).orderBy(*ocols)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = ranged.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias("_in_" + v) for v in vcols])
+    on = local["_pid"] == offsets["_opid"]
+    for g in gcols:
+        on = on & local[g].eqNullSafe(offsets["_o_" + g])
+    return local.join(offsets, on).select(
+        *df.columns, *[(F.col("_in_" + v) + F.col("_off_" + v)).alias(v + suffix) for v in vcols])
 
 
 def ordinal_rank(df: DataFrame, order_cols: Sequence[str], group_cols: Sequence[str] = (),
-                 out: str = "rank", window_max_rows: int | None = None) -> DataFrame:
+                 out: str = "rank") -> DataFrame:
     """1-based ``row_number`` over (group, order) without an unbounded
     single-task window.
 
     ``order_cols`` should end with a unique key so the ranking is repeatable.
     """
     ones = df.withColumn("_one", F.lit(1).cast("long"))
-    ranked = prefix_sum(ones, order_cols, ["_one"], group_cols, suffix="_rank",
-                        window_max_rows=window_max_rows)
+    ranked = prefix_sum(ones, order_cols, ["_one"], group_cols, suffix="_rank")
     return ranked.withColumnRenamed("_one_rank", out).drop("_one")

@@ -4,7 +4,6 @@ import math
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -19,26 +18,31 @@ def _rows(n=3000, seed=1):
              rnd.randint(0, 50) / 2.0, rnd.randint(1, 3)) for i in range(n)]
 
 
-@pytest.mark.parametrize("batch,limit", [(10000, 0), (7, 0), (10000, None)])
-def test_prefix_sum_equals_window(spark, batch, limit):
-    """limit 0 forces the distributed path, None the size-checked window."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
-    try:
-        df = spark.createDataFrame(_rows(), "id long, g string, v double, w long")
-        got = prefix_sum(df, ["v", "id"], ["w"], group_cols=["g"], num_partitions=6,
-                         window_max_rows=limit)
-        w = Window.partitionBy("g").orderBy("v", "id").rowsBetween(Window.unboundedPreceding, 0)
-        exp = df.withColumn("exp", F.sum("w").over(w))
-        j = got.join(exp, "id")
-        assert j.count() == df.count()
-        assert j.where(F.col("w_cum") != F.col("exp")).count() == 0
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+def test_prefix_sum_equals_window(spark):
+    df = spark.createDataFrame(_rows(), "id long, g string, v double, w long")
+    got = prefix_sum(df, ["v", "id"], ["w"], group_cols=["g"], num_partitions=6)
+    w = Window.partitionBy("g").orderBy("v", "id").rowsBetween(Window.unboundedPreceding, 0)
+    exp = df.withColumn("exp", F.sum("w").over(w))
+    j = got.join(exp, "id")
+    assert j.count() == df.count()
+    assert j.where(F.col("w_cum") != F.col("exp")).count() == 0
+
+
+def test_prefix_sum_nulls_nan_keys_and_large_longs(spark):
+    nan = float("nan")
+    big = 2 ** 60
+    rows = [(1, nan, big + 1, None), (2, None, big + 3, 5), (3, nan, None, 7), (4, None, 2, None), (5, 1.0, 4, 1)]
+    df = spark.createDataFrame(rows, "id long, g double, keep long, w long")
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = {r["id"]: (r["keep"], r["w_cum"]) for r in
+           prefix_sum(df, ["id"], ["w"], group_cols=["g"], num_partitions=3).collect()}
+    assert got == {1: (big + 1, 0), 2: (big + 3, 5), 3: (None, 7), 4: (2, 5), 5: (4, 1)}
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
 
 
 def test_prefix_sum_no_groups_and_rank(spark):
     df = spark.createDataFrame([(i, float(i % 17)) for i in range(500)], "id long, v double")
-    r = ordinal_rank(df, ["v", "id"], out="rk", window_max_rows=0)
+    r = ordinal_rank(df, ["v", "id"], out="rk")
     exp = df.withColumn("e", F.row_number().over(Window.orderBy("v", "id")))
     assert r.join(exp, "id").where(F.col("rk") != F.col("e")).count() == 0
 
@@ -49,8 +53,7 @@ def test_exact_quantiles_match_numpy(spark):
     vals2 = [rnd.gauss(0, 1) for _ in range(997)]
     df = spark.createDataFrame(list(zip(vals, vals2)), "a double, b double")
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 1.0]
-    q = stats.exact_quantiles(df, ["a", "b"], probs, window_max_rows=0)
-    assert q == stats.exact_quantiles(df, ["a", "b"], probs)
+    q = stats.exact_quantiles(df, ["a", "b"], probs)
     for c, xs in (("a", vals), ("b", vals2)):
         arr = np.array([x for x in xs if x is not None])
         for p, got in zip(probs, q[c]):
