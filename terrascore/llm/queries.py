@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from terrascore.llm import mixing, packing
+from terrascore.llm import mixing, neardup, packing
 
 
 def queries():
-    return {"op7_mixing": mixing.op7_mixing,
+    return {"op2_neardup": neardup.op2_neardup,
+            "op7_mixing": mixing.op7_mixing,
             "op8_packing": packing.op8_packing}
 
 
