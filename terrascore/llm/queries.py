@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from terrascore.llm import mixing, neardup, packing
+from terrascore.llm import licenses, merkle, mixing, neardup, packing
 
 
 def queries():
-    return {"op2_neardup": neardup.op2_neardup,
+    return {"op1_licenses": licenses.op1_licenses,
+            "op2_neardup": neardup.op2_neardup,
+            "op6_merkle": merkle.op6_merkle,
             "op7_mixing": mixing.op7_mixing,
             "op8_packing": packing.op8_packing}
 
 
 def oracle_sql():
-    return {"op7_mixing": mixing.OP7_SQL}
+    return {"op1_licenses": licenses.OP1_SQL,
+            "op6_merkle": merkle.OP6_SQL,
+            "op7_mixing": mixing.OP7_SQL}
