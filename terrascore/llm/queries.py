@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from terrascore.llm import langid, licenses, merkle, mixing, neardup, packing, toxicity
+from terrascore.llm import langid, licenses, merkle, mixing, neardup, packing, quality, topk, toxicity
 
 
 def queries():
     return {"op1_licenses": licenses.op1_licenses,
             "op2_neardup": neardup.op2_neardup,
+            "op3_topk": topk.op3_topk,
             "op4_langid": langid.op4_langid,
             "op6_merkle": merkle.op6_merkle,
             "op7_mixing": mixing.op7_mixing,
             "op8_packing": packing.op8_packing,
+            "op9_quality": quality.op9_quality,
             "op10_toxicity": toxicity.op10_toxicity}
 
 
 def oracle_sql():
     return {"op1_licenses": licenses.OP1_SQL,
+            "op3_topk": topk.op3_topk,
             "op4_langid": langid.op4_langid,
+            "op3_topk": topk.OP3_SQL,
             "op6_merkle": merkle.OP6_SQL,
             "op7_mixing": mixing.OP7_SQL}
