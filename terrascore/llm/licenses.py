@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from terrascore.llm.shared import documents
 from terrascore.session import materialize
 
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 
 # fixed values: phrases and labels that the scan always reports
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -43,7 +43,7 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by", "Licensed under CC BY 4.0"),
+    ("cc", "Licensed under CC BY 4.0"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
     ("cc", "This work is licensed under a Creative Commons Attribution License"),

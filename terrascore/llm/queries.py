@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrascore.llm import langid, licenses, merkle, mixing, neardup, packing, quality, topk, toxicity
+from terrascore.llm import htmltext, langid, licenses, merkle, mixing, neardup, packing, quality, topk, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
             "op2_neardup": neardup.op2_neardup,
             "op3_topk": topk.op3_topk,
             "op4_langid": langid.op4_langid,
+            "op5_html": htmltext.op5_html,
             "op6_merkle": merkle.op6_merkle,
             "op7_mixing": mixing.op7_mixing,
             "op8_packing": packing.op8_packing,
