@@ -230,6 +230,32 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     return x.where(F.col("both") * 100 >= per * (F.col("sum") - F.col("both"))).select("a", "b").distinct()
 
 
+def _prefix_pairs(open_: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Classes (id, label) -> pairs (a, b) of different labels, among them all
+    that reach the similarity.
+
+    Shingles are ordered by how many of these classes hold them, rarest
+    first.  Two sets that reach it share one of their first n - s * n + 1
+    shingles, and at the first shared one enough are left in both orders.
+    Variants of one text hold their own changes first, so those too far from
+    the text to be linked have no pair, however many they are.
+    """
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(open_, "id", "left_semi")
+    sets = materialize(shingle_sets(texts), "dup-open-sets")
+    tokens = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    own = F.sort_array(F.collect_list(F.struct("df", "token")))  # a document's own shingles
+    ranked = tokens.join(held, "token").groupBy("id", "n").agg(own.alias("all"))
+    length = (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int")
+    posts = materialize(ranked.join(open_, "id").select("id", "n", "label", F.posexplode(F.slice("all", F.lit(1), length)).alias("i", "x"))
+                        .where("x.df > 1").select("id", "n", "label", "i", F.col("x.token").alias("token")), "dup-posts")
+    x, y = posts.alias("x"), posts.alias("y")
+    left = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
+    wanted = (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-9
+    return (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label")) & (left >= wanted))
+            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept; a row for
     each row of ``docs``.
@@ -261,17 +287,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     links = materialize(links.unionByName(same_id), "dup-links")
     labels = components(links)
 
-    # pairs that share a bucket, not a component, and have not been compared
-    known = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # classes that share a bucket, not a component: all their links between components
+    known = members.select("band", "key", "id", "hub").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = (known.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
              .where("lo <> hi").select("band", "key"))
-    open_ = materialize(known.join(mixed, ["band", "key"]).select("band", "key", "id", "label", "hub"), "dup-open")
-    x, y = open_.alias("x"), open_.where("id <> hub").alias("y")
-    rest = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
-                   & (F.col("x.label") < F.col("y.label")) & (F.col("x.id") != F.col("x.hub")))
-            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-            .join(first, ["a", "b"], "left_anti"))
-    rest = materialize(rest, "dup-rest")
+    open_ = materialize(known.join(mixed, ["band", "key"]).select("id", "label").distinct(), "dup-open")
+    rest = materialize(_prefix_pairs(open_, docs, similarity).join(first, ["a", "b"], "left_anti"), "dup-rest")
     if not rest.isEmpty():
         links = links.unionByName(_verified(rest, classes, docs, similarity))
         labels = components(links)
