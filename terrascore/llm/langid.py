@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from terrascore.llm.shared import documents, fold
 
 #: labelled texts a language, at most, that the filters are fitted on
-FIT_DOCS = 1500
+FIT_DOCS = 1000
 TYPICAL = 0.25
 HASHES = 3
 SLOTS_PER_GRAM = 16
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, typical: float = TYPICAL) ->
     lang are not used."""
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL")
     draw = F.xxhash64(F.lit(4), "doc_id")
-    # a rank up to fit_docs is found before the shuffle, in each task
+    # ranks up to 1000 are limited before the shuffle, in each task
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id"))
     ids = (known.select("doc_id", "lang", draw.alias("_draw")).withColumn("_r", rank).where(F.col("_r") <= fit_docs)
            .select(F.col("doc_id").alias("_id")).distinct())
