@@ -181,10 +181,13 @@ class DbfCommit(WriterCommitMessage):
 
 
 def _fixed_width(values, width: int, right: bool):
-    """Byte strings (numpy 'S') padded/truncated to ``width`` as an (n, width) uint8 block."""
+    """Byte strings (numpy 'S') padded to ``width`` as an (n, width) uint8 block; longer ones are an error."""
     import numpy as np
 
-    b = np.asarray(values, dtype=f"S{width}")  # truncates longer values
+    b = np.asarray(values)
+    if len(b) and int(np.char.str_len(b).max()) > width:
+        raise ValueError(f"a value needs more than the {width} bytes of its dBase field")
+    b = b.astype(f"S{width}")
     b = np.char.rjust(b, width) if right else np.char.ljust(b, width)
     return np.frombuffer(b.tobytes(), dtype=np.uint8).reshape(-1, width)
 
@@ -213,14 +216,19 @@ class DbfWriter(DataSourceArrowWriter):
         n = table.num_rows
         dec = int(self.options.get("decimals", 10))
         specs, blocks = [], []
+        long = [f.name for f in self.schema.fields if len(f.name.encode()) > 10]
+        if long:
+            raise ValueError(f"dBase field names have 10 bytes at most: {', '.join(long)}")
         for fld, col in zip(self.schema.fields, table.columns):
             t = fld.dataType
-            name = fld.name[:10]
+            name = fld.name
             valid = pc.is_valid(col).to_numpy(zero_copy_only=False)
             if isinstance(t, StringType):
                 txt = pc.fill_null(col, "").to_numpy(zero_copy_only=False).astype(str)
-                enc = np.char.encode(txt, "latin-1", "replace")
-                w = int(min(max(int(np.char.str_len(enc).max()) if n else 1, 1), 254))
+                enc = np.char.encode(txt, "latin-1")  # an unmappable character is an error
+                w = max(int(np.char.str_len(enc).max()) if n else 1, 1)
+                if w > 254:
+                    raise ValueError(f"{fld.name}: a dBase text field holds 254 bytes, a value has {w}")
                 specs.append((name, "C", w, 0))
                 blocks.append(_fixed_width(enc, w, right=False))
                 continue

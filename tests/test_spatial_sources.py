@@ -5,6 +5,7 @@ import os
 import tempfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from terrascore.operators import spatial as V
@@ -120,3 +121,14 @@ def test_prediction_sink_and_summary(spark):
     summ = C.summary_table(s, 31, 20, 29, 9, "m", 0.9)
     js = json.loads(summary_json(summ))["summary"]
     assert js["samples_scored"] == 2 and js["high_potential_areas"] == 1 and js["best_model"] == "m"
+
+
+def test_dbf_refuses_what_it_cannot_hold(spark, tmp_path):
+    from terrascore.sources.dbf import register_dbf
+
+    register_dbf(spark)
+    for k, df in enumerate([spark.createDataFrame([("x" * 300,)], "a string"), spark.createDataFrame([("漢",)], "a string"),
+                            spark.createDataFrame([(1.0,)], "prospectivity_score double"),
+                            spark.createDataFrame([(1e40,)], "a double")]):
+        with pytest.raises(Exception, match="dBase|latin-1"):
+            df.write.format("dbf").mode("append").option("path", str(tmp_path / str(k))).save()
