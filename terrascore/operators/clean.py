@@ -75,8 +75,10 @@ def cast_target(df: DataFrame, target: str = TARGET_COLUMN) -> DataFrame:
 
 
 def clean_data_fit(df: DataFrame, exclude: Iterable[str] = tuple(EXCLUDE_COLUMNS),
-                   target: str = TARGET_COLUMN, medians=None, exact: bool = True):
-    """P5 returning (cleaned frame, medians).  When the medians are fitted
+                   target: str = TARGET_COLUMN, medians=None, exact: bool = True, complete: bool = True):
+    """P5 returning (cleaned frame, medians).  The state holds a median for
+    every floating-point column, since later rows can lack values where these
+    do not (integer columns, such as keys, only if they lack values here); ``complete=False`` fits only what this frame needs.  When the medians are fitted
     here, the de-duplicated frame is written once to the checkpoint folder
     and read by the missing-value count, the median pass and the final
     projection, instead of shuffling the duplicates away three times."""
@@ -85,8 +87,13 @@ def clean_data_fit(df: DataFrame, exclude: Iterable[str] = tuple(EXCLUDE_COLUMNS
         from terrascore.session import materialize
 
         d = materialize(d, "dedup")
-        medians = fit_median_impute(d, exact=exact)
-    d = apply_median_impute(d, medians)
+        needed = medians = fit_median_impute(d, exact=exact)
+        if complete:
+            rest = [c for c, kind in d.dtypes if kind in ("double", "float") and c not in {*needed, *exclude, target}]
+            medians = needed | {c: q[0] for c, q in stats.quantiles(d, rest, [0.5], exact=exact).items()}
+        d = apply_median_impute(d, needed)
+    else:
+        d = apply_median_impute(d, medians)
     d = fill_unknown(d, exclude, target)
     return cast_target(d, target), medians
 
@@ -94,7 +101,7 @@ def clean_data_fit(df: DataFrame, exclude: Iterable[str] = tuple(EXCLUDE_COLUMNS
 def clean_data(df: DataFrame, exclude: Iterable[str] = tuple(EXCLUDE_COLUMNS),
                target: str = TARGET_COLUMN, medians=None, exact: bool = True) -> DataFrame:
     """P5: P1 -> P2 -> P3 -> P4 (de-duplicate before the medians)."""
-    return clean_data_fit(df, exclude, target, medians, exact)[0]
+    return clean_data_fit(df, exclude, target, medians, exact, complete=False)[0]
 
 
 def feature_columns(df: DataFrame, exclude: Iterable[str] = tuple(EXCLUDE_COLUMNS),

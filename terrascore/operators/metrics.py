@@ -153,11 +153,14 @@ def calibration_curve(preds: DataFrame, keys: Sequence[str] = MODEL, score: str
                       F.count(F.lit(1)).alias("n")))
 
 
-def evaluate_models(preds: DataFrame, keys: Sequence[str] = ("type", "model")) -> DataFrame:
-    """T8 one metric row per (type, model): confusion, derived metrics, AUC."""
+def evaluate_models(preds: DataFrame, keys: Sequence[str] = ("type", "model"),
+                    hard: Sequence[str] = ("voting_hard",)) -> DataFrame:
+    """T8 one metric row per (type, model): confusion, derived metrics, AUC.
+    A hard vote decides classes, so its AUC is that of the class."""
     keys = list(keys)
     m = classification_metrics(preds, keys)
-    a = roc_auc(preds, keys)
+    score = F.when(F.col("model").isin(list(hard)), F.col("prediction").cast("double")).otherwise(F.col("probability"))
+    a = roc_auc(preds.withColumn("probability", score), keys)
     return m.join(a, keys, "left")
 
 

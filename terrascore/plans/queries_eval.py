@@ -241,7 +241,9 @@ def q_ensemble_summary(spark, sf):
 allp AS (SELECT sample_id, model, 'individual' AS type, y, probability, prediction FROM predictions
          UNION ALL SELECT sample_id, model, type, y, probability, prediction FROM ens),
 asc_ AS (SELECT type, model, probability, CAST(SUM(y) AS DOUBLE) AS pos, CAST(SUM(1 - y) AS DOUBLE) AS neg
-         FROM allp GROUP BY type, model, probability),
+         FROM (SELECT type, model, y, CASE WHEN model = 'voting_hard' THEN CAST(prediction AS DOUBLE)
+                                           ELSE probability END AS probability FROM allp)
+         GROUP BY type, model, probability),
 aac AS (SELECT *, SUM(neg) OVER (PARTITION BY type, model ORDER BY probability
                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_cum FROM asc_),
 aauc AS (SELECT type, model, SUM(pos * (neg_cum - neg + neg * 0.5)) / (SUM(pos) * SUM(neg)) AS roc_auc

@@ -91,3 +91,13 @@ def test_engineer_features_on_samples(spark):
     bad = e.select(*[F.sum((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("int")).alias(c)
                      for c in nums]).first()
     assert all(v == 0 for v in bad)
+
+
+def test_frozen_medians_cover_columns_complete_in_training(spark):
+    from terrascore.operators import clean
+
+    train = spark.createDataFrame([(1.0, 5.0, 0), (3.0, 7.0, 1), (None, 9.0, 1)], "a double, b double, target int")
+    _, medians = clean.clean_data_fit(train, exclude=(), target="target")
+    assert medians["a"] == 2.0 and medians["b"] == 7.0
+    later = spark.createDataFrame([(None, None)], "a double, b double")
+    assert tuple(clean.apply_median_impute(later, medians).first()) == (2.0, 7.0)

@@ -135,3 +135,10 @@ def test_calibration_bins_right_closed(spark):
     p = _preds(spark, [0.0, 0.1, 0.1000001, 1.0], [0, 0, 1, 1])
     got = {r["bin"]: r["n"] for r in T.calibration_curve(p).collect()}
     assert got == {0: 2, 1: 1, 9: 1}
+
+
+def test_hard_vote_auc_is_that_of_the_class(spark):
+    # the published confusion matrix of the hard vote: recall 0.8, specificity 1.0
+    rows = [(i, "voting_hard", "ensemble", int(i < 10), 0.8 if i < 8 else 0.4 if i % 2 else 0.2, int(i < 8)) for i in range(21)]
+    df = spark.createDataFrame(rows, "sample_id long, model string, type string, y int, probability double, prediction int")
+    assert math.isclose(T.evaluate_models(df).first()["roc_auc"], 0.9)
