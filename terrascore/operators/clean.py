@@ -131,22 +131,21 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return counts.select(F.inline(arr)).where(F.col("n_missing") > 0)
 
 
-def filter_membership(df: DataFrame, column: str, values, max_literal: int = 10000) -> DataFrame:
+def filter_membership(df: DataFrame, column: str, values) -> DataFrame:
     """P10: keep rows whose ``column`` is in ``values``.
 
     ``values`` is a Python collection (an ``IN`` list, pushed into the
-    scan) or a one-column DataFrame (a left-semi join; AQE broadcasts it
-    only if its measured size is small).
+    scan) or a one-column DataFrame (its distinct values are written once
+    and joined as a left semi join, broadcast if their measured size is
+    small).
     """
     if isinstance(values, DataFrame):
+        from terrascore.session import join_lookup, materialize
+
         key = values.columns[0]
-        return df.join(values.select(F.col(key).alias(column)).distinct(), column, "left_semi")
-    vals = list(values)
-    if len(vals) > max_literal:
-        spark = df.sparkSession
-        vdf = spark.createDataFrame([(v,) for v in vals], [column])
-        return df.join(vdf, column, "left_semi")
-    return df.where(F.col(column).isin(vals))
+        known = materialize(values.select(F.col(key).alias(column)).distinct(), "known")
+        return join_lookup(df, known, column, "left_semi")
+    return df.where(F.col(column).isin(list(values)))
 
 
 def filter_range(df: DataFrame, column: str, max_value: float | None = None,

@@ -121,9 +121,13 @@ def group_density(df: DataFrame, key: str, out: str = "lineament_density",
                   counts: DataFrame | None = None) -> DataFrame:
     """F13 size of the row's own group; missing key -> missing.
 
-    ``counts`` may come from another frame (frozen statistics)."""
-    counts = counts if counts is not None else group_counts(df, key, out)
-    return df.join(counts, key, "left")
+    ``counts`` may come from another frame (frozen statistics, a written
+    table); else they are counted and written here.  They are joined by
+    ``join_lookup``, so few groups do not shuffle the whole table."""
+    from terrascore.session import join_lookup, materialize
+
+    counts = counts if counts is not None else materialize(group_counts(df, key, out), "group_counts")
+    return join_lookup(df, counts, key)
 
 
 # ----------------------------------------------------------------- fitted stats

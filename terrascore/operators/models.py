@@ -19,6 +19,7 @@ import itertools
 import json
 import random
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
@@ -105,10 +106,16 @@ def estimator(name: str, seed: int = RANDOM_STATE):
 
 
 def grid_combinations(grid: Mapping[str, Sequence], n_iter: int = MAX_GRID_COMBINATIONS,
-                      seed: int = RANDOM_STATE) -> list[dict]:
-    """Full grid, or ``n_iter`` combinations sampled without replacement."""
+                      seed: int = RANDOM_STATE, settings=None) -> list[dict]:
+    """Full grid, or ``n_iter`` combinations sampled without replacement.
+    Of combinations that ``settings`` maps to the same value the first stays."""
     keys = list(grid)
     combos = [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
+    if settings is not None:
+        first: dict = {}
+        for c in combos:
+            first.setdefault(json.dumps(settings(c), sort_keys=True), c)
+        combos = list(first.values())
     if len(combos) > n_iter:
         combos = random.Random(seed).sample(combos, n_iter)
     return combos
@@ -140,6 +147,19 @@ class Tuned:
         return est.copy({est.getParam(k): v for k, v in self.spark_params.items()})
 
 
+@contextmanager
+def cached(df: DataFrame):
+    """``df`` persisted while in use; one that its caller persists already is left to the caller."""
+    own = not df.is_cached
+    if own:
+        df.persist()
+    try:
+        yield df
+    finally:
+        if own:
+            df.unpersist()
+
+
 def tune_model(train: DataFrame, name: str, grid: Mapping | None = None, fold_col: str = "fold",
                folds: int = 5, parallelism: int = 4, seed: int = RANDOM_STATE) -> Tuned:
     """M6 grid (or sampled) search with k-fold CV on ROC-AUC, refit on all.
@@ -150,7 +170,7 @@ def tune_model(train: DataFrame, name: str, grid: Mapping | None = None, fold_co
     if not grid:
         return Tuned(name, est.fit(train), 0.0, {})
     n = train.count() if name == "logistic_regression" else None
-    combos = grid_combinations(grid, seed=seed)
+    combos = grid_combinations(grid, seed=seed, settings=lambda c: spark_params(name, c, n))
     maps = [{est.getParam(k): v for k, v in spark_params(name, c, n).items()} for c in combos]
     ev = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
     kw = dict(estimator=est, estimatorParamMaps=maps, evaluator=ev, parallelism=parallelism, seed=seed)
@@ -158,11 +178,8 @@ def tune_model(train: DataFrame, name: str, grid: Mapping | None = None, fold_co
         cv = CrossValidator(foldCol=fold_col, numFolds=folds, **kw)
     else:
         cv = CrossValidator(numFolds=folds, **kw)
-    train = train.persist()  # every fold fit and the refit iterate over it
-    try:
+    with cached(train):  # every fold fit and the refit iterate over it
         m = cv.fit(train)
-    finally:
-        train.unpersist()
     scores = list(m.avgMetrics)
     best = max(range(len(scores)), key=lambda i: scores[i])
     return Tuned(name, m.bestModel, float(scores[best]), combos[best], spark_params(name, combos[best], n))
@@ -192,7 +209,8 @@ def train_all(train: DataFrame, test: DataFrame, names: Sequence[str] = MODEL_NA
     """M7 tune every model and predict the validation part; returns
     ({name: Tuned}, long predictions).  Models are tuned concurrently."""
     grids = grids if grids is not None else SMALL_GRIDS
-    done = _parallel(lambda n: tune_model(train, n, grids.get(n), parallelism=2), list(names), parallelism)
+    with cached(train):  # once for all models: none may release it while others fit
+        done = _parallel(lambda n: tune_model(train, n, grids.get(n), parallelism=2), list(names), parallelism)
     tuned, preds = {}, None
     for n, t in zip(names, done):
         tuned[n] = t

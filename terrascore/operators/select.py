@@ -5,9 +5,8 @@ Statistical selectors are aggregations that return small DataFrames
 ``groupBy(feature)`` -- no list ever has to leave Spark:
 
 * L1 population variance > t: one pass, all columns.
-* L2 |Pearson r| > t with an earlier column: one pass of per-task
-  centred moments (numpy over Arrow batches) merged on the driver
-  (tasks x p^2 numbers).
+* L2 |Pearson r| > t with an earlier column: centred cross-products
+  merged on the executors (one p x p matrix reaches the driver).
 * L3 binned mutual information: exact decile edges (distributed quantile
   pass), then one ``groupBy(feature, bin, label).count`` over the
   unpivoted table -- one shuffle for all features, output bounded by
@@ -56,57 +55,23 @@ def select_variance(df: DataFrame, cols: Sequence[str], threshold: float = VARIA
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]):
-    """Pearson matrix (p x p numpy array) in one distributed pass.
+    """Pearson matrix (p x p numpy array) over the complete rows.
 
-    Every task reduces its rows (complete rows only, like pairwise corr on
-    columns without missing values) to (n, mean, centred cross-products)
-    with numpy; the driver merges the per-task moments with the parallel
-    (Chan et al.) update, which is as stable as a single-pass Welford.
-    Only tasks x p^2 numbers move; a constant column gives NaN."""
+    Spark ML's centred cross-products, merged on the executors by a tree
+    aggregation: the driver gets one p x p matrix however many tasks read
+    the table.  Vectors are built dense, as the sparse form does not centre.
+    A column without spread (standard deviation below 1e-12) or fewer than
+    two complete rows give NaN."""
     import numpy as np
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Correlation
 
     cols = list(cols)
-    p = len(cols)
     x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
-
-    def moments(batches):
-        import pandas as pd
-
-        n, mean, m2 = 0, np.zeros(p), np.zeros((p, p))
-        for pdf in batches:
-            a = pdf.to_numpy(dtype=np.float64)
-            k = a.shape[0]
-            if k == 0:
-                continue
-            mb = a.mean(axis=0)
-            cb = a - mb
-            m2b = cb.T @ cb
-            if n == 0:
-                n, mean, m2 = k, mb, m2b
-            else:
-                d = mb - mean
-                tot = n + k
-                m2 = m2 + m2b + np.outer(d, d) * (n * k / tot)
-                mean = mean + d * (k / tot)
-                n = tot
-        if n:
-            yield pd.DataFrame({"n": [n], "mean": [mean.tolist()], "m2": [m2.ravel().tolist()]})
-
-    parts = x.mapInPandas(moments, "n long, mean array<double>, m2 array<double>").collect()
-    n, mean, m2 = 0, np.zeros(p), np.zeros((p, p))  # merge: one row per task
-    for r in parts:
-        k, mb, m2b = r["n"], np.array(r["mean"]), np.array(r["m2"]).reshape(p, p)
-        if n == 0:
-            n, mean, m2 = k, mb, m2b
-            continue
-        d = mb - mean
-        tot = n + k
-        m2 = m2 + m2b + np.outer(d, d) * (n * k / tot)
-        mean = mean + d * (k / tot)
-        n = tot
-    sd = np.sqrt(np.diag(m2))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return m2 / np.outer(sd, sd)
+    if x.limit(2).count() < 2:
+        return np.full((len(cols), len(cols)), np.nan)
+    v = x.select(array_to_vector(F.array(*x.columns)).alias("v"))
+    return Correlation.corr(v, "v").head()[0].toArray()
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str], matrix=None) -> DataFrame:
@@ -170,10 +135,14 @@ def mi_scores(df: DataFrame, cols: Sequence[str], label: str, bins: int = MI_BIN
     return t.groupBy("feature").agg(F.round(F.sum(term), 12).alias("score"))
 
 
-def top_k(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
-    """Top-k by score then name; ``scores`` has one row per feature."""
+def ranked(scores: DataFrame, score: str = "score") -> DataFrame:
+    """Rank by score then name; ``scores`` has one row per feature."""
     w = Window.orderBy(F.desc(score), F.asc("feature"))
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scores.withColumn("rank", F.row_number().over(w))
+
+
+def top_k(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
+    return ranked(scores, score).where(F.col("rank") <= k)
 
 
 def select_univariate(df: DataFrame, cols: Sequence[str], label: str, k: int = 30,
@@ -283,6 +252,19 @@ def method_table(spark, method: str, selected: Sequence[str] | DataFrame) -> Dat
                                                T.StructField("feature", T.StringType())]))
 
 
+def ensemble_choices(x: DataFrame, cols: Sequence[str], label: str, k: int = 30) -> DataFrame:
+    """(method, feature) choices of all six selectors at their defaults."""
+    spark = x.sparkSession
+    parts = {"variance": select_variance(x, cols), "correlation": select_correlation(x, cols),
+             "univariate": select_univariate(x, cols, label, k), "rfe": select_rfe(x, cols, label, k),
+             "tree_based": select_tree(x, cols, label), "lasso": select_lasso(x, cols, label)}
+    out = None
+    for method, chosen in parts.items():
+        t = method_table(spark, method, chosen)
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 def selection_votes(choices: DataFrame, cols: Sequence[str], min_votes: int = MIN_VOTES) -> DataFrame:
     """L7 (pos, feature, votes, selected): votes = number of methods choosing
     the feature, kept at >= min_votes; ``pos`` keeps the input order."""
@@ -295,7 +277,7 @@ def selection_votes(choices: DataFrame, cols: Sequence[str], min_votes: int = MI
 
 def feature_scores(scores: DataFrame, method: str) -> DataFrame:
     """L8 (method, feature, score, rank) ranked by score desc then name."""
-    return top_k(scores, 1 << 30).select(F.lit(method).alias("method"), "feature", "score", "rank")
+    return ranked(scores).select(F.lit(method).alias("method"), "feature", "score", "rank")
 
 
 def selection_report(choices: DataFrame, top: int = 10) -> DataFrame:

@@ -7,25 +7,28 @@ over the whole sample table; grids and tree counts are parameters.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from terrascore.config import SCORING_MAX_DISTANCE, TESTDATA
+from terrascore.config import HYPERPARAMETERS, SCORING_MAX_DISTANCE, TESTDATA
 from terrascore.operators import clean as Cl
 from terrascore.operators import encode as EN
 from terrascore.operators import ensemble as N
+from terrascore.operators import features as FE
 from terrascore.operators import metrics as T
 from terrascore.operators import models as M
 from terrascore.operators import score as C
 from terrascore.operators import spatial as V
 from terrascore.plans import training as PL
 from terrascore.plans.registry import query
-from terrascore.session import checkpoint_root
+from terrascore.session import checkpoint_root, materialize
 from terrascore.sources.fixtures import samples
 
 _PREP: dict = {}
 
 
-def prepared(spark, sf, select: bool = False) -> PL.Prepared:
+def prepared(spark, sf, select: bool = True) -> PL.Prepared:
     """Training preparation of the sample table, memoised per session and
     input (its tables are materialised in the checkpoint folder)."""
     key = (spark.sparkContext.applicationId, sf, select)
@@ -60,10 +63,24 @@ def trained(spark, sf):
     return _TRAINED[key]
 
 
+def evaluated(spark, sf):
+    """(predictions of members and all five ensembles, their metrics),
+    written once per session and input."""
+    key = (spark.sparkContext.applicationId, sf, "evaluated")
+    if key not in _TRAINED:
+        p = prepared(spark, sf)
+        tuned, preds = trained(spark, sf)
+        preds = materialize(preds, "predictions")
+        both = materialize(preds.unionByName(N.all_ensembles(preds)).unionByName(M.stack(p.train, p.test, tuned)),
+                           "evaluated")
+        _TRAINED[key] = both, materialize(T.evaluate_models(both), "metrics")
+    return _TRAINED[key]
+
+
 @query("tune_model")
 def q_tune_model(spark, sf):
     p = prepared(spark, sf)
-    t = M.tune_model(p.train, "logistic_regression", {"C": [0.1, 1.0]})
+    t = M.tune_model(p.train, "logistic_regression", HYPERPARAMETERS["logistic_regression"])
     return M.model_summary(spark, {t.name: t})
 
 
@@ -95,9 +112,7 @@ def q_model_summary(spark, sf):
 
 @query("stack")
 def q_stack(spark, sf):
-    p = prepared(spark, sf)
-    tuned, _ = trained(spark, sf)
-    return M.stack(p.train, p.test, tuned)
+    return evaluated(spark, sf)[0].where(F.col("model") == "stacking")
 
 
 @query("blend")
@@ -114,8 +129,7 @@ def q_blend(spark, sf):
 @query("train_ensembles")
 def q_train_ensembles(spark, sf):
     """N9 all ensembles over the fitted members' validation predictions."""
-    _, preds = trained(spark, sf)
-    return N.all_ensembles(preds)
+    return evaluated(spark, sf)[0].where(F.col("type") == "ensemble")
 
 
 @query("evaluation_report")
@@ -123,9 +137,7 @@ def q_evaluation_report(spark, sf):
     """T13 one long table (section, type, model, metric, value): metrics and
     confusion counts of members and ensembles, models per type, and the
     top-20 feature importances of every member."""
-    _, preds = trained(spark, sf)
-    allp = preds.unionByName(N.all_ensembles(preds))
-    met = T.evaluate_models(allp)
+    met = evaluated(spark, sf)[1]
     names = ["accuracy", "precision", "recall", "f1_score", "roc_auc", "specificity", "sensitivity",
              "true_positives", "false_positives", "true_negatives", "false_negatives"]
     long = T.metric_matrix(met, keys=["type", "model"], names=names).select(
@@ -171,12 +183,29 @@ def q_score_samples(spark, sf):
                     "xcoord", "ycoord", "fault_dist")
 
 
-@query("scoring_summary")
-def q_scoring_summary(spark, sf):
+def _summary(spark, sf):
     p = prepared(spark, sf)
     best, auc = _best(spark, sf)
-    return C.summary_table(scored(spark, sf), len(p.state.features), len(p.state.features),
-                              29, len(M.MODEL_NAMES) + 4, best.name, auc)
+    st = p.state
+    made = set(FE.created_features(st.preset))
+    return C.summary_table(scored(spark, sf), len(st.extra["candidates"]), len(st.features), len(made),
+                           evaluated(spark, sf)[1].count(), best.name, auc)
+
+
+@query("scoring_summary")
+def q_scoring_summary(spark, sf):
+    return _summary(spark, sf)
+
+
+@query("pipeline_summary")
+def q_pipeline_summary(spark, sf):
+    """C9/S4 the run's summary, written as JSON by the report sink and read back."""
+    from terrascore.sources.sinks import write_report
+
+    path = f"{checkpoint_root(spark).rstrip('/')}/summary-{uuid.uuid4().hex}"
+    summary = _summary(spark, sf)
+    write_report(summary, path)
+    return spark.read.schema(summary.schema).json(path)
 
 
 @query("prospectivity_surface")
@@ -221,8 +250,6 @@ def q_prepare_scoring(spark, sf):
 def q_dbf_source(spark, sf):
     """S1/S2 the cleaned sample table written as dBase part files (one per
     task) and read back through the dbf source (record-range partitions)."""
-    import uuid
-
     from terrascore.operators.clean import clean_data
     from terrascore.sources.dbf import register_dbf
     from terrascore.sources.tables import load_table
@@ -238,8 +265,6 @@ def q_stream_scoring(spark, sf):
     """Streaming scoring: the scoring table lands as parquet files, a stream
     (availableNow) scores it micro-batch by micro-batch with the frozen
     training state, and the sink is read back."""
-    import uuid
-
     from terrascore.streaming.scoring import start_scoring_stream
 
     root = f"{checkpoint_root(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"

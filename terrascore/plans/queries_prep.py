@@ -385,3 +385,17 @@ def q_weight_encode_fixed(spark, sf):
     d = clean_samples(spark, sf).select("sample_id", "lithology")
     e = EN.weight_encode(d, "lithology", LITHOLOGY_GOLD_COUNTS)
     return e.select("sample_id", "lithology", _r("lithology_prospectivity"))
+
+
+@query("one_hot_vector", Q.SC.rstrip() + """,
+lv AS (SELECT list(l ORDER BY l) AS levels FROM (SELECT DISTINCT lithology AS l FROM clean))
+SELECT sample_id, array_to_string(list_transform(levels, lambda x: CASE WHEN x = lithology THEN 1 ELSE 0 END), '') || '0'
+         AS lithology_bits
+FROM clean, lv""")
+def q_one_hot_vector(spark, sf):
+    """E3 for open vocabularies; the vector's last place is for unseen levels."""
+    from pyspark.ml.functions import vector_to_array
+
+    _, e = EN.one_hot_vector(clean_samples(spark, sf).select("sample_id", "lithology"), "lithology")
+    bits = F.transform(vector_to_array("lithology_vec"), lambda v: v.cast("int").cast("string"))
+    return e.select("sample_id", F.array_join(bits, "").alias("lithology_bits"))

@@ -15,7 +15,7 @@ from terrascore.plans.registry import query
 RAW = ["q1", "q2", "q3", "q4", "q5", "lineament", "fault_dist"]
 CREATED = [n for n in FE.created_features(TESTDATA) if not n.startswith("fault_cat_")]
 FEATS = RAW + CREATED
-MI_K = 10
+MI_K = 30
 
 
 def features_frame(spark, sf):
@@ -156,30 +156,36 @@ def q_selection_report(spark, sf):
 
 @query("select_rfe")
 def q_select_rfe(spark, sf):
-    x = features_frame(spark, sf)
-    kept = L.select_rfe(x, FEATS, "likely", n_features=15, step=0.25, num_trees=20, max_depth=5)
-    return L.method_table(spark, "rfe", kept)
+    return L.method_table(spark, "rfe", L.select_rfe(features_frame(spark, sf), FEATS, "likely"))
 
 
 @query("select_tree")
 def q_select_tree(spark, sf):
-    x = features_frame(spark, sf)
-    return L.method_table(spark, "tree_based", L.select_tree(x, FEATS, "likely", max_iter=20, max_depth=3))
+    return L.method_table(spark, "tree_based", L.select_tree(features_frame(spark, sf), FEATS, "likely"))
 
 
 @query("select_lasso")
 def q_select_lasso(spark, sf):
-    x = features_frame(spark, sf)
-    return L.method_table(spark, "lasso", L.select_lasso(x, FEATS, "likely", folds=3))
+    return L.method_table(spark, "lasso", L.select_lasso(features_frame(spark, sf), FEATS, "likely"))
 
 
 @query("ensemble_selection")
 def q_ensemble_selection(spark, sf):
     """All six selectors, kept at >= 3 votes (the reference's rule)."""
-    x = features_frame(spark, sf).cache()
-    ch, _ = _stat_choices(spark, sf, x)
-    ch = (ch.unionByName(L.method_table(spark, "rfe", L.select_rfe(x, FEATS, "likely", n_features=15, step=0.25,
-                                                                      num_trees=20)))
-            .unionByName(L.method_table(spark, "tree_based", L.select_tree(x, FEATS, "likely", max_iter=20)))
-            .unionByName(L.method_table(spark, "lasso", L.select_lasso(x, FEATS, "likely", folds=3))))
-    return L.selection_votes(ch, FEATS, min_votes=3)
+    return L.selection_votes(L.ensemble_choices(features_frame(spark, sf), FEATS, "likely", MI_K), FEATS)
+
+
+@query("feature_override", SX + ",\n" + POS + ",\n" + VAR_SEL + """,
+kept AS (SELECT fp.pos, fp.feature FROM fp JOIN vsel v ON fp.feature = v.feature
+         WHERE v.selected OR fp.feature IN ('fault_dist', 'lineament'))
+SELECT row_number() OVER (ORDER BY feature IN ('fault_dist', 'lineament') AND NOT feature IN
+           (SELECT feature FROM vsel WHERE selected), pos) - 1 AS pos, feature
+FROM kept WHERE feature <> 'q1'""")
+def q_feature_override(spark, sf):
+    """P12 on the variance selector's choice: two columns in, one out."""
+    v = L.select_variance(features_frame(spark, sf), FEATS).where("selected").collect()  # one row per feature
+    chosen = {r["feature"] for r in v}
+    kept = C.feature_override([f for f in FEATS if f in chosen], ["lineament", "fault_dist"], ["q1"])
+    return spark.createDataFrame(list(enumerate(kept)), "pos long, feature string")
+
+

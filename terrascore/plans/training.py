@@ -1,7 +1,8 @@
 """E10 / E11 and the two entries of the reference's main program.
 
-Training (entry A): clean -> features -> statistical selection -> split
--> robust scaling (fitted on the training part) -> assemble -> tune the
+Training (entry A): de-duplicate -> split -> clean -> features -> vote of
+six selectors -> robust scaling (every statistic fitted on the training
+part) -> assemble -> tune the
 five classifiers -> ensembles -> evaluation.  Scoring (entry B): filter
 by known category and distance -> the same cleaning/features -> the
 training feature list and scaler -> best model -> rescale, class,
@@ -25,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrascore.config import TESTDATA, Preset
+from terrascore.config import MIN_VOTES, TESTDATA, Preset
 from terrascore.operators import clean as C
 from terrascore.operators import features as FE
 from terrascore.operators import models as M
@@ -64,36 +65,34 @@ def engineered(df: DataFrame, preset: Preset = TESTDATA, medians=None, feature_s
     return FE.engineer_features(d, p, st), medians, st
 
 
-def statistical_selection(x: DataFrame, cols, label: str, min_votes: int = 2, k: int = 30) -> list[str]:
-    """Variance + correlation + mutual-information votes (model-free)."""
-    spark = x.sparkSession
-    ch = (L.method_table(spark, "variance", L.select_variance(x, cols))
-          .unionByName(L.method_table(spark, "correlation", L.select_correlation(x, cols)))
-          .unionByName(L.method_table(spark, "univariate", L.select_univariate(x, cols, label, k))))
-    v = L.selection_votes(ch, cols, min_votes).where(F.col("selected")).orderBy("pos").collect()
-    return [r["feature"] for r in v]  # one row per feature
+def voted_features(x: DataFrame, cols, label: str, min_votes: int = MIN_VOTES, k: int = 30) -> list[str]:
+    """Features that at least ``min_votes`` of the six selectors choose."""
+    v = L.selection_votes(L.ensemble_choices(x, cols, label, k), cols, min_votes).where("selected").orderBy("pos")
+    return [r["feature"] for r in v.collect()]  # one row per feature
 
 
 def prepare_training(df: DataFrame, preset: Preset = TESTDATA, select: bool = True,
                      include=(), exclude=(), exact: bool = True, folds: int = 5) -> Prepared:
-    """E10 load -> clean -> features -> (selection) -> split -> scale."""
+    """E10 load -> split -> clean -> features -> (selection) -> scale.  The
+    split comes first, so no statistic sees the validation part."""
     p = preset
-    eng, medians, st = engineered(df, p, exact=exact)
-    cols = C.feature_columns(eng, p.exclude, p.target, p.id_col)
-    x = C.prepare_features(eng, cols, keep=[p.id_col, p.target])
-    if select:
-        x = materialize(x, "features")
-        cols = C.feature_override(statistical_selection(x, cols, p.target), include, exclude)
-        x = x.select(p.id_col, p.target, *cols)
-    flagged = SA.stratified_split(x, p.id_col, p.target)
+    d = C.cast_target(C.drop_duplicates(df), p.target)
+    flagged = materialize(SA.stratified_split(d, p.id_col, p.target), "split")
     train, test = SA.split(flagged)
-    train = SA.stratified_folds(train, p.id_col, p.target, k=folds)
-    scaler = SC.fit_robust_scaler(train, cols, exact=exact)
+    eng, medians, st = engineered(train, p, exact=exact)
+    cols = candidates = C.feature_columns(eng, p.exclude, p.target, p.id_col)
+    x = materialize(C.prepare_features(eng, cols, keep=[p.id_col, p.target]), "features")
+    if select:
+        cols = C.feature_override(voted_features(x, cols, p.target), include, exclude)
+    held, _, _ = engineered(test, p, medians, st, exact)
+    train = SA.stratified_folds(x, p.id_col, p.target, k=folds)
+    scaler = SC.fit_robust_scaler(x, cols, exact=exact)
+    held = C.prepare_features(held, cols, keep=[p.id_col, p.target])
     tr = M.assemble(SC.apply_robust_scaler(train, scaler), cols, p.target, keep=[p.id_col])
-    te = M.assemble(SC.apply_robust_scaler(test, scaler), cols, p.target, keep=[p.id_col])
+    te = M.assemble(SC.apply_robust_scaler(held, scaler), cols, p.target, keep=[p.id_col])
     tr = materialize(tr, "train")
     te = materialize(te, "test")
-    return Prepared(PrepState(p, medians, st, cols, scaler), tr, te)
+    return Prepared(PrepState(p, medians, st, cols, scaler, {"candidates": candidates}), tr, te)
 
 
 def prepare_scoring(df: DataFrame, state: PrepState, refit_on_score: bool = False) -> DataFrame:

@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -80,3 +81,23 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+#: a lookup table of at most this many bytes is broadcast
+BROADCAST_BYTES = 32 << 20
+
+
+def measured_bytes(table: DataFrame) -> int:
+    """Size of a table's values, with 16 bytes of overhead a value."""
+    one = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + F.lit(16) for c in table.columns]
+    return table.agg(F.sum(sum(one[1:], one[0]).cast("long"))).head()[0] or 0
+
+
+def join_lookup(df: DataFrame, lookup: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join ``df`` with a written table of one row per key.
+
+    The lookup is broadcast when its measured size is within
+    ``BROADCAST_BYTES``, so a table whose key has few values is not shuffled
+    on it.  A larger one has many keys; that join shuffles, and adaptive
+    execution splits the partitions of hot keys."""
+    return df.join(F.broadcast(lookup) if measured_bytes(lookup) <= BROADCAST_BYTES else lookup, on, how)
