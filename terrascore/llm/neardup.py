@@ -41,6 +41,7 @@ SIMILARITY = 0.75
 SLACK = 0.25
 CHUNK = 1 << 20  # bytes of text hashed at once
 MANTISSA = 10
+MARKS = 1 << 20  # words of 64 marks at most in the broadcast filter of ids
 
 _U = np.uint64
 _GAPS = np.zeros(256, bool)
@@ -216,12 +217,28 @@ def _likely(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFram
             .mapInArrow(keep, "a long, b long"))
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts (id, text) of a written table of distinct ids.
+
+    A join would shuffle every text to find a few.  So the ids are marked in
+    at most MARKS words of 64 bits, which are broadcast and let through the
+    wanted texts and few others; the exact join follows.  Were the words to
+    fill up, more texts would be shuffled and the result stay the same."""
+    hashed = F.xxhash64("id")
+    word, bit = F.pmod(hashed, F.lit(MARKS)).alias("word"), F.shiftrightunsigned(hashed, 58).cast("int").alias("bit")
+    marks = (ids.select(word, bit).groupBy("word")
+             .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")))
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    near = (texts.select("id", "text", word, bit).join(F.broadcast(marks), "word")
+            .where(F.expr("shiftrightunsigned(mask, bit) & 1L = 1L")))
+    return near.select("id", "text").join(ids, "id", "left_semi")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose full sets reach the similarity."""
     pairs = materialize(_likely(pairs, classes, similarity), "dup-likely")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-    sets = materialize(shingle_sets(texts), "dup-sets")
+    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "dup-ids")
+    sets = materialize(shingle_sets(_texts_of(docs, ids)), "dup-sets")
     per = F.lit(round(similarity * 100))
     x = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
          .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -240,8 +257,7 @@ def _prefix_pairs(open_: DataFrame, docs: DataFrame, similarity: float) -> DataF
     Variants of one text hold their own changes first, so those too far from
     the text to be linked have no pair, however many they are.
     """
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(open_, "id", "left_semi")
-    sets = materialize(shingle_sets(texts), "dup-open-sets")
+    sets = materialize(shingle_sets(_texts_of(docs, open_.select("id"))), "dup-open-sets")
     tokens = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     own = F.sort_array(F.collect_list(F.struct("df", "token")))  # a document's own shingles
