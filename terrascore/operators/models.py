@@ -32,22 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrascore.config import MAX_GRID_COMBINATIONS, RANDOM_STATE
+from terrascore.config import (EXTRA_TREES_GRID, GRADIENT_BOOSTING_GRID,
+                               HYPERPARAMETERS, MAX_GRID_COMBINATIONS, RANDOM_STATE)
 
 MODEL_NAMES = ["logistic_regression", "random_forest", "extra_trees", "gradient_boosting", "xgboost"]
 MAX_TREE_DEPTH = 30  # deepest tree Spark grows; stands for "no limit"
 
-# Small grids used by default (the reference grids are a parameter:
-# ``config.HYPERPARAMETERS`` / ``EXTRA_TREES_GRID`` / ``GRADIENT_BOOSTING_GRID``).
-SMALL_GRIDS = {
-    "logistic_regression": {"C": [1.0]},
-    "random_forest": {"n_estimators": [20], "max_depth": [5], "min_samples_leaf": [3],
-                      "max_features": ["sqrt"]},
-    "extra_trees": {"n_estimators": [20], "max_depth": [5], "min_samples_leaf": [3]},
-    "gradient_boosting": {"n_estimators": [20], "learning_rate": [0.1], "max_depth": [3], "subsample": [0.8]},
-    "xgboost": {"n_estimators": [20], "learning_rate": [0.1], "max_depth": [3], "subsample": [0.8],
-                "colsample_bytree": [0.8]},
-}
+# What the reference's training code searches: its config grids, with grids
+# of its own for extra trees and gradient boosting.
+SEARCH_GRIDS = {**HYPERPARAMETERS, "extra_trees": EXTRA_TREES_GRID, "gradient_boosting": GRADIENT_BOOSTING_GRID}
 
 
 def _depth(v):
@@ -208,7 +201,7 @@ def train_all(train: DataFrame, test: DataFrame, names: Sequence[str] = MODEL_NA
               grids: Mapping | None = None, parallelism: int = 4) -> tuple[dict, DataFrame]:
     """M7 tune every model and predict the validation part; returns
     ({name: Tuned}, long predictions).  Models are tuned concurrently."""
-    grids = grids if grids is not None else SMALL_GRIDS
+    grids = grids if grids is not None else SEARCH_GRIDS
     with cached(train):  # once for all models: none may release it while others fit
         done = _parallel(lambda n: tune_model(train, n, grids.get(n), parallelism=2), list(names), parallelism)
     tuned, preds = {}, None

@@ -2,7 +2,7 @@
 
 They have no SQL oracle (the driver records a rows-only check); unit
 tests check them against planted-signal bars and brute force.  All run
-over the whole sample table; grids and tree counts are parameters.
+over the whole sample table and search the reference grids.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def prepared(spark, sf, select: bool = True) -> PL.Prepared:
 def _single(name):
     def fn(spark, sf):
         p = prepared(spark, sf)
-        t = M.tune_model(p.train, name, M.SMALL_GRIDS[name])
+        t = M.tune_model(p.train, name, M.SEARCH_GRIDS[name])
         return M.predict_long(t.model, p.test, name)
     return fn
 

@@ -168,7 +168,7 @@ def q_spatial_layers(spark, sf):
                                 "log1p_q2": F.round(log1p("q2"), 6)})
 
 
-G = 20
+G = 200
 
 
 @query("idw_grid", Q.S.rstrip() + f""",

@@ -82,3 +82,34 @@ def test_planted_features_lead_mutual_information(spark):
     s = L.mi_scores(features_frame(spark, SF0001), FEATS, "likely")
     top = [r["feature"] for r in L.top_k(s, 4).orderBy("rank").collect()]
     assert "q2" in top and "q1" in top, top
+
+
+def test_search_uses_the_reference_grids(monkeypatch):
+    from terrascore.operators import models as M
+    from terrascore.plans import queries_model as QM
+    from terrascore.plans import queries_score as QS
+
+    seen = {}
+
+    def tune(train, name, grid=None, **kw):
+        seen[name] = len(M.grid_combinations(grid, settings=lambda c: M.spark_params(name, c, 100)))
+        return M.Tuned(name, None, 0.0)
+
+    class Table:
+        is_cached = True
+
+    class Prepared:
+        train = test = Table()
+
+    monkeypatch.setattr(M, "tune_model", tune)
+    monkeypatch.setattr(M, "predict_long", lambda model, test, name: Table())
+    Table.unionByName = lambda self, other: self
+    monkeypatch.setattr(QM, "prepared", lambda spark, sf: Prepared())
+    want = {"logistic_regression": 5, "random_forest": 50, "extra_trees": 27, "gradient_boosting": 50, "xgboost": 50}
+    M.train_all(Table(), Table())
+    assert seen == want
+    for name in list(seen):
+        seen.clear()
+        QM._single(name)(None, "")
+        assert seen == {name: want[name]}
+    assert QS.G == 200
