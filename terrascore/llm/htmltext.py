@@ -50,8 +50,14 @@ SIDE_WORDS = set("ad ads advert advertisement alert author avatar banner bar bot
                  "newsletter notice notification outbrain overlay pager pagination popular popup promo promotion promoted recommended related reply "
                  "replies respond response search share sharing side sidebar signup skip social sponsor sponsored subscribe tags toolbar top "
                  "trending widget".split())
-TAG = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|object|head)\b[^>]*>.*?(?:</\1\s*>|$)|"
+TAG = re.compile(r"<!--.*?(?:-->|$)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|$)|"
                  r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S | re.I)
+#: elements whose text is none of the page's, with what ends them; one that nothing ends is read on as text
+_BLOCK = rf"(?=</?(?:{'|'.join(sorted(BLOCKS))}|head|link|meta|base|script|style)[\s/>])"
+END = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("noscript", "template", "iframe")}
+END |= {name: re.compile(rf"</{name}\s*>|{_BLOCK}", re.I) for name in ("svg", "title")}  # title: in the head
+#: any other element, or text, ends the head
+IN_HEAD = set("base basefont bgsound link meta noscript script style template title".split())
 TOKENS = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -107,17 +113,33 @@ def parse(page: str | None) -> tuple[list[list], list[tuple[int, str]]]:
         return False
 
     at, page = 0, page or ""
+    head, skip, endless = False, 0, set()
     for m in TAG.finditer(page):
+        if m.start() < skip:
+            at = max(at, m.end())
+            continue
         if m.start() > at:
             text = page[at:m.start()]
-            piece.append(text)
-            if links:
-                link_chars += len(text)
+            head = head and not text.strip()
+            if not head:
+                piece.append(text)
+                if links:
+                    link_chars += len(text)
         at = m.end()
         name = m.group(3)
         if not name:
             continue
         name = name.lower()
+        if name == "head":
+            head = not m.group(2) and not runs and "body" not in names
+            continue
+        head = head and (bool(m.group(2)) or name in IN_HEAD)
+        if name in END and not m.group(2) and not m.group(4).endswith("/") and name not in endless and (head or name != "title"):
+            end = END[name].search(page, at)
+            if end:
+                at = skip = end.end()
+                continue
+            endless.add(name)
         if m.group(2):
             if name == "a":
                 links = max(0, links - 1)

@@ -36,6 +36,22 @@ def test_parse_odd_markup():
     assert texts("plain  text\n only") == ["plain text only"]
 
 
+def test_parse_open_and_empty_elements():
+    texts = lambda h: [t for _, t in htmltext.parse(h)[1]]
+    assert texts("<head><title>t</title><body><article><p>Main text") == ["Main text"]
+    assert texts("<html><head><meta charset=x><title>a <b> c</title><link rel=y><p>One<p>Two</html>") == ["One", "Two"]
+    assert texts("<head><title>t</title>Bare text<p>more") == ["Bare text", "more"]
+    assert texts("<head><title>t<body><p>Main</p><svg><title>no</title></svg>") == ["Main"]
+    assert texts("<head>\n<title>t</title><style>p{}</style></head><body><header>Top</header><p>x") == ["Top", "x"]
+    assert texts('<p><svg class="i"/>Main text <svg><title>i</title><path d=1></svg>goes on</p>') == ["Main text goes on"]
+    assert texts("<p>a<svg><path d=1><p>b</p><svg></svg>c") == ["a", "b", "c"]
+    assert texts("<p>a <object data=x>not shown here</object> b</p><object><p>c") == ["a not shown here b", "c"]
+    assert texts("<p>a<iframe src=x><p>b<template><p>c<noscript>d") == ["a", "b", "cd"]
+    assert texts("<p>a<iframe src='x'/>b<iframe>no</iframe>c<template><p>no</p></template>d") == ["abcd"]
+    assert texts("a<script>no") == texts("a<style>no") == texts("a<!-- no") == ["a"]
+    assert texts("<svg>" * 20000 + "x") == ["x"]
+
+
 def test_pages_and_other_layouts(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     trees = htmltext.fit(pages)
