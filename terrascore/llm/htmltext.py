@@ -7,7 +7,8 @@ trees (Spark ML) give the log odds that a node holds main text.  Decoding
 picks the best set of kept nodes in which every kept node's parent is kept,
 so a dropped ancestor never has a kept descendant.
 
-Training pages are drawn by a hash of page_id (``FIT_PAGES``).  Their own
+Training pages are drawn by a hash of page_id (``FIT_PAGES``) from those
+that have an article or main element.  Their own
 semantic elements give first labels; each page's pieces are also laid out
 again in other markup (plain divisions, side columns, notices, comments,
 forms), with the labels known from the layout, so that the trees learn from
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrascore.session import materialize
@@ -326,15 +327,29 @@ def layout(nodes: list[list], runs: list[tuple[int, str]], seed: int) -> str:
 
 
 _SEMANTIC = re.compile(r"<(article|main)\b[^>]*>(.*?)(?:</\1\s*>|$)", re.S | re.I)
+#: no text and no element of the page, so an article in it is none
+_UNREAD = r"<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<(noscript|template|iframe)\b[^>]*>.*?</\2\s*>"
+_HIDDEN = re.compile(_UNREAD, re.S | re.I)
+
+
+def has_article(page: Column) -> Column:
+    """Whether a page has an article or main element with text."""
+    left = F.regexp_replace(page, rf"(?is){_UNREAD}|</?(?!(?:article|main)\b)[a-z][^>]*>", "")
+    return left.rlike(r"(?i)<(?:article|main)\b[^>]*>\s*[^<\s]")
 
 
 def marked(page: str) -> str | None:
     """A page with its own article (or main) text marked, if it has one."""
-    m = _SEMANTIC.search(page)
-    if not m:
-        return None
-    inner = re.sub(r"(<[^>]*>)(?=[^<\s])", lambda t: t[0] + MARK, m[2])
-    return page[:m.start(2)] + MARK + inner + page[m.end(2):]
+    hidden, at = [m.span() for m in _HIDDEN.finditer(page)], 0
+    while m := _SEMANTIC.search(page, at):
+        at = next((b for a, b in hidden if a <= m.start() < b), 0)
+        if at:
+            continue
+        if re.sub(r"<[^>]*>", "", _HIDDEN.sub("", m[2])).strip():
+            inner = re.sub(r"(<[^>]*>)(?=[^<\s])", lambda t: t[0] + MARK, m[2])
+            return page[:m.start(2)] + MARK + inner + page[m.end(2):]
+        at = max(m.end(), m.start() + 1)
+    return None
 
 
 def _labelled(nodes: list[list]) -> np.ndarray:
@@ -370,7 +385,7 @@ def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Trees | None:
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    ids = (pages.where("html IS NOT NULL AND page_id IS NOT NULL").select("page_id")
+    ids = (pages.where("page_id IS NOT NULL").where(has_article(F.col("html"))).select("page_id")
            .orderBy(F.xxhash64(F.lit(5), "page_id"), "page_id").limit(fit_pages).distinct())
     sample = pages.select("page_id", "html").join(F.broadcast(ids), "page_id")
     rows = materialize(training_rows(sample.repartition(8)), "html-nodes").select(array_to_vector("x").alias("features"), "label").persist()

@@ -74,6 +74,19 @@ def test_pages_and_other_layouts(spark):
     assert htmltext.extract(odd, None).count() == len(rows)
 
 
+def test_fit_draws_pages_with_an_article(spark):
+    text = "<div class=menu><a href=x>Home</a></div><p>Some words of a page, and more of them.</p>"
+    empty = ["<div>%s</div>", "<script>x='<article>'</script>%s", "<!--<main>m</main>-->%s", "<main id=app> <b></b></main><div>%s</div>"]
+    rows = [(i, empty[i % 4] % text) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    assert htmltext.fit(pages, 5) is None
+    drawn = {r[0] for r in pages.orderBy(F.xxhash64(F.lit(5), "page_id"), "page_id").limit(5).collect()}
+    rare = [i for i in range(400) if i not in drawn][:2]
+    some = [(i, f"<script>'<article>'</script><main></main><article>{text * 3}</article><div class=menu>{text}</div>" if i in rare else h) for i, h in rows]
+    assert htmltext.parse(htmltext.marked(some[rare[0]][1]))[0][-1][10] == 0
+    assert htmltext.fit(spark.createDataFrame(some, "page_id long, html string"), 5) is not None
+
+
 def test_licences(spark):
     rows = [(1, "Mit  LICENSE, mit license x\nmit\nlicense"), (2, None), (3, ""), (4, "Permission is hereby granted, free of charge, to any person obtaining a copy of the software"),
             (5, "licensed for the apache"), (6, "MİT License"), (7, "x " * 60000 + "general public license"), (7, "x"), (8, "Licensed under CC BY-NC 4.0")]
