@@ -1,8 +1,11 @@
 """Licence scan: an exact set-similarity join of text blocks with licence
 templates.
 
-A block is a line of a text; a block matches a template when it holds at
-least ``threshold`` of the template's distinct words.  Words are ordered by
+A block is a line of a text, or a window of ``WINDOW`` words of a paragraph
+(lines up to a blank one), so that a notice wrapped over lines is found; the
+windows overlap by half, which is at least the longest template.  A block
+matches a template when it holds at least ``threshold`` of the template's
+distinct words.  Words are ordered by
 their frequency over all blocks of the corpus, rarest first.  A block that
 reaches the overlap wanted must share one of the template's rarest
 |T| - wanted + 1 words (prefix filter), have enough of the templates' words
@@ -28,6 +31,8 @@ from terrascore.llm.shared import documents
 from terrascore.session import materialize
 
 THRESHOLD = 0.9
+#: words of a window, at least: twice the longest template if that is more
+WINDOW = 40
 
 # fixed values: phrases and labels that the scan always reports
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -62,9 +67,17 @@ def _spaces(c: Column) -> Column:
     return (F.length(c) - F.length(F.replace(c, F.lit(" ")))).cast("long")
 
 
-def scan_blocks(docs: DataFrame, vocabulary: list[str], phrases: dict[str, str] | None = None) -> DataFrame:
+def window_words(templates=None) -> int:
+    templates = TEMPLATES if templates is None else templates
+    return max([WINDOW, *(2 * len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)) for _, t in templates)])
+
+
+def scan_blocks(docs: DataFrame, vocabulary: list[str], phrases: dict[str, str] | None = None,
+                window: int | None = None) -> DataFrame:
     """One pass over the texts: doc_id, text_hash, n_words, the phrases'
-    places, and the template words of each block."""
+    places, and the template words of each block: the lines, then, with
+    ``window``, overlapping windows of so many words over the paragraphs of
+    several lines."""
     phrases = PHRASES if phrases is None else phrases
     low = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     lines = F.transform(F.split(low, "\n"), lambda x: F.trim(F.regexp_replace(x, SEPARATORS, " ")))
@@ -81,6 +94,15 @@ def scan_blocks(docs: DataFrame, vocabulary: list[str], phrases: dict[str, str]
         labels.append(F.when(here, F.lit(label)))
     known = F.array(*[F.lit(w) for w in vocabulary])
     words = F.transform("lines", lambda s: F.array_intersect(F.split(s, " "), known))
+    if window:
+        step = window // 2
+        paragraphs = F.filter(F.transform(F.split(F.array_join("lines", "\n"), "\n\n+"), lambda p: F.trim(p, F.lit("\n"))),
+                              lambda p: F.contains(p, F.lit("\n")))
+        # the last window starts where it still has words that the one before lacks
+        cut = lambda w: F.transform(
+            F.sequence(F.lit(0), F.greatest(F.ceil((F.size(w) - window) / step).cast("int"), F.lit(0))),
+            lambda k: F.array_intersect(F.slice(w, k * step + 1, window), known))
+        words = F.concat(words, F.flatten(F.transform(paragraphs, lambda p: cut(F.split(p, "[\n ]")))))
     total = counts[0]
     for c in counts[1:]:
         total = total + c
@@ -92,8 +114,8 @@ def scan_blocks(docs: DataFrame, vocabulary: list[str], phrases: dict[str, str]
 
 
 def matches(scanned: DataFrame, templates=None, threshold: float = THRESHOLD) -> DataFrame:
-    """Scanned texts -> doc_id, text_hash, block (line from 0), template
-    (place in the list), label, containment: every block that reaches the
+    """Scanned texts -> doc_id, text_hash, block (line from 0, then
+    windows), template (place in the list), label, containment: every block that reaches the
     threshold, once."""
     templates = TEMPLATES if templates is None else templates
     sets = [template_words(t) for _, t in templates]
@@ -131,14 +153,14 @@ def scan(docs: DataFrame, templates=None, threshold: float = THRESHOLD) -> DataF
     last_word, base_labels, labels, score.
 
     The phrases are found wherever their words stand one after the other;
-    the join adds the labels of templates a line contains.  ``score`` is 1
+    the join adds the labels of templates a line or window contains.  ``score`` is 1
     with a phrase, else the best containment, else 0.  NULL and empty text
     has no words and no labels; rows with the same doc_id and text get the
     same result; other columns are not read.
     """
     templates = TEMPLATES if templates is None else templates
     vocabulary = sorted({w for _, t in templates for w in template_words(t)})
-    scanned = materialize(scan_blocks(docs, vocabulary), "licence-blocks")
+    scanned = materialize(scan_blocks(docs, vocabulary, window=window_words(templates)), "licence-blocks")
     found = (matches(scanned, templates, threshold).groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
              .agg(F.collect_set("label").alias("more"), F.max("containment").alias("best")))  # a set of the list's labels
     base = scanned.drop("blocks")

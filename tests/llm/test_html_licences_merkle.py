@@ -101,6 +101,25 @@ def test_licences(spark):
     assert licenses.scan(df.where("false")).count() == 0
 
 
+def test_wrapped_licences(spark):
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files "
+           "(the \"Software\"), to deal\nin the Software without restriction")
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided"
+    comment = " * " + isc.replace("\n", "\n * ")
+    narrow = "\n".join(" ".join(mit.split()).split(" "))
+    far = "\n".join(f"w{i}" for i in range(173)) + "\n"
+    broken = isc.replace("any\n", "any\n\n" + "x " * 60 + "\n\n")
+    rows = [(1, mit), (2, bsd), (3, isc), (4, "/*\n *\n" + comment + "\n */"), (5, narrow), (6, far + bsd + "\n" + far), (7, broken),
+            (8, "title\n\n" + mit + "\n\n" + bsd), (9, mit.replace("\n", "\r\n")), (10, "\n\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["labels"] for r in licenses.scan(df).collect()}
+    assert out == {1: "mit", 2: "bsd", 3: "isc", 4: "isc", 5: "mit", 6: "bsd", 7: "", 8: "bsd,mit", 9: "mit", 10: ""}
+    # wherever a window begins
+    moved = [(n, "\n".join(["x"] * n + isc.split()) + "\ny" * 50) for n in range(90)]
+    assert {r["labels"] for r in licenses.scan(spark.createDataFrame(moved, "doc_id long, text string")).collect()} == {"isc"}
+
+
 def test_join_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in licenses.template_words(t)})
