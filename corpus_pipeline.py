@@ -28,19 +28,19 @@ def _kept_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that are text in one of the known languages.
-    Rows that share a doc_id stay together if one of them does."""
+    """Keeps the rows that are text in one of the known languages; each row
+    is judged by its own text."""
     filters = langid.fit(docs.where(fold(F.col("doc_id"), 4) != 2))
-    found = langid.identify(docs, filters)
-    return _kept_rows(docs, found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)))
+    found = langid.identify(docs, filters, docs.columns)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that are not predicted toxic."""
+    """Keeps the rows that are not predicted toxic; each row is judged by its
+    own text."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(fold(F.col("doc_id"), 3) != 1)
-    found = toxicity.score(docs, toxicity.fit(docs, labels))
-    bad = materialize(found.where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct(), "toxic-ids")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    found = toxicity.score(docs, toxicity.fit(docs, labels), docs.columns)
+    return found.where("predicted = 0").select(*docs.columns)
 
 
 def distinct(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +58,9 @@ def distinct(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    return mixing.mixed_rows(docs)
+    """Each document as many times as the mix takes it; documents without an
+    id are drawn one by one, by their texts."""
+    return mixing.mixed_rows(docs, key=[F.col("doc_id"), F.xxhash64("text")])
 
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,13 +15,14 @@ doc_id); prediction reads every text as a whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrascore.llm.shared import documents, fold
 
@@ -158,27 +159,31 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, typical: float = TYPICAL) ->
     return Filters(languages, codes.view(_U), (rate > 0) & (rate >= typical * rate.max(axis=1, keepdims=True, initial=0)))
 
 
-def identify(docs: DataFrame, filters: Filters) -> DataFrame:
+def identify(docs: DataFrame, filters: Filters, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """(doc_id, text) -> doc_id, lang_pred, score; a row for each row.
+    ``keep`` names the columns of ``docs`` that go along instead of doc_id.
 
     ``und`` with score 0 if a text is NULL or has no letter; ties go to the
     language that sorts first.  ``score`` is the share of the text's trigrams
     that the language holds, corrected for false positives.
     """
     sent = docs.sparkSession.sparkContext.broadcast(filters)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    read = [*keep, *(["text"] if "text" not in keep else [])]
+    at, made = read.index("text"), [*keep, "lang_pred", "score"]
+    kinds = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep]
+                         + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores = [], [np.zeros(0)]
-            for part in _chunks(batch.column(1).to_pylist()):
+            for part in _chunks(batch.column(at).to_pylist()):
                 n, s = sent.value.predict(part)
                 names += n
                 scores.append(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(scores))],
-                                             names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(made) - 2], pa.array(names, pa.string()), pa.array(np.concatenate(scores))],
+                                             names=made)
 
-    return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select(*read).mapInArrow(predict, kinds)
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:

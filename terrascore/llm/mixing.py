@@ -22,6 +22,8 @@ source is joined back.  Everything runs on the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,19 +66,19 @@ def targets(sources: DataFrame, share: float = 1.5, max_copies: int = 2) -> Data
 
 
 def mix(docs: DataFrame, weights=cycle_weights, share: float = 1.5, max_copies: int = 2,
-        seed: int = SEED, odds_col: str | None = None) -> DataFrame:
+        seed: int = SEED, odds_col: str | None = None, key: Sequence[Column] | None = None) -> DataFrame:
     """Documents (doc_id, text, source, ...) -> the same rows with ``size``,
     ``source_size``, ``target``, ``copies`` and ``taken`` = copies * size.
 
     ``weights`` adds the column weight (> 0) to the table of sources.
     NULL text has size 0; NULL is a source of its own.  Rows with the same
-    doc_id and source are taken alike.  An empty table gives no rows.  Other
+    doc_id (or ``key``, if given) and source are taken alike.  An empty table gives no rows.  Other
     columns pass through; one called like an output column is replaced.
     """
     made = ["size", "source_size", "target", "copies", "taken"]
     docs = docs.drop(*made)
     sized = docs.withColumn("size", n_words(F.col("text")))
-    u = uniform(seed, F.col("doc_id"))
+    u = uniform(seed, *(key or [F.col("doc_id")]))
     odds = (F.coalesce(F.col(odds_col).cast("double"), F.lit(1.0)) if odds_col else F.lit(1.0))
     # within a source the fraction's odds are one factor: the order is by what each document adds
     draw = u / (F.lit(1.0) - u) / odds

@@ -22,12 +22,13 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrascore.llm.shared import documents, fold
 from terrascore.session import materialize
@@ -217,25 +218,28 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: dict[int, int] | None = No
     return dictionaries, ratios, *logistic(np.array([features(s, ratios) for s in saved]), y)
 
 
-def score(docs: DataFrame, model) -> DataFrame:
+def score(docs: DataFrame, model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """(doc_id, text) -> doc_id, score, predicted; a row for each row.  NULL,
     empty and wordless texts get the score of a text that saves nothing;
-    without a model every score is 0."""
+    without a model every score is 0.  ``keep`` names the columns of ``docs``
+    that go along instead of doc_id."""
     if model is None:
-        return docs.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    read = [*keep, *(["text"] if "text" not in keep else [])]
+    at, made = read.index("text"), [*keep, "score"]
+    kinds = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep] + [T.StructField("score", T.DoubleType())])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionaries, ratios, weights, intercept = sent.value
         plain, both = _compressors(*dictionaries)
         for batch in batches:
-            x = np.array([features(savings(t.as_py(), plain, both), ratios) for t in batch.column(1)]).reshape(-1, len(weights))
+            x = np.array([features(savings(t.as_py(), plain, both), ratios) for t in batch.column(at)]).reshape(-1, len(weights))
             logit = np.clip(x @ weights + intercept, -500, 500)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-logit)))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(made) - 1], pa.array(1 / (1 + np.exp(-logit)))], names=made)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return (docs.select("doc_id", "text").mapInArrow(rate, f"doc_id {kind}, score double")
-            .select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")))
+    return (docs.select(*read).mapInArrow(rate, kinds)
+            .select(*made, (F.col("score") >= THRESHOLD).cast("int").alias("predicted")))
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -63,3 +63,29 @@ def test_odd_rows(spark):
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
     assert toxicity.fit(docs.where("false"), docs.selectExpr("doc_id", "1 as toxic")) is None
+
+
+def test_rows_without_id_are_judged_one_by_one(spark, monkeypatch):
+    text = " ".join(f"the word{i} of a house" for i in range(30))
+    rows = [(None, text, "en", "a", 1), (None, "1234 !!!", "en", "a", 1), (7, text + " bad", "en", "a", 1), (7, text, "en", "a", 1),
+            (None, text + " bad", "en", "a", 1), (7, "5678 ???", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    one = P.language(spark, docs, SF)
+    assert one.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in one.collect()) == sorted((r[0] or 0, r[1]) for r in rows if "word" in r[1])
+    # a model by which a text with "bad" is toxic
+    monkeypatch.setattr(toxicity, "fit", lambda docs, labels: ((b"", b""), None, [1.0], -0.5))
+    monkeypatch.setattr(toxicity, "_compressors", lambda *a: (None, None))
+    monkeypatch.setattr(toxicity, "savings", lambda t, *a: t)
+    monkeypatch.setattr(toxicity, "features", lambda t, *a: [10.0 * t.endswith("bad")])
+    two = P.clean(spark, one, SF)
+    assert two.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in two.collect()) == [(0, text), (7, text)]
+
+
+def test_mix_draws_rows_without_id_one_by_one(spark):
+    rows = [(None, f"text {i} of six words here", "en", s, 1) for s in "abc" for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    by = {r["source"]: r["count"] for r in P.mixed(spark, docs, SF).groupBy("source").count().collect()}
+    # 1.5 x 180 documents by weights 3, 1, 2, at most 120 of a source
+    assert by == {"a": 120, "b": 50, "c": 100}
