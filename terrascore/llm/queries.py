@@ -20,8 +20,6 @@ def queries():
 
 def oracle_sql():
     return {"op1_licenses": licenses.OP1_SQL,
-            "op3_topk": topk.op3_topk,
-            "op4_langid": langid.op4_langid,
             "op3_topk": topk.OP3_SQL,
             "op6_merkle": merkle.OP6_SQL,
             "op7_mixing": mixing.OP7_SQL}

@@ -71,3 +71,11 @@ def test_quality_edge_cases(spark):
     out = quality.rate(docs, fitted).collect()
     assert len(out) == 5 and all(0 <= r["tail"] <= 1 and 0 <= r["expected"] <= 2 for r in out)
     assert quality.rate(docs.where("false"), fitted).count() == 0
+
+
+def test_oracles_are_sql():
+    import __spark_entry__ as E
+
+    found = E.oracle_sql()
+    assert all(isinstance(sql, str) for sql in found.values())
+    assert {"op1_licenses", "op3_topk", "op6_merkle", "op7_mixing"} <= set(found) and "op4_langid" not in found
