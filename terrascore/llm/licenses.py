@@ -102,7 +102,8 @@ def scan_blocks(docs: DataFrame, vocabulary: list[str], phrases: dict[str, str]
         cut = lambda w: F.transform(
             F.sequence(F.lit(0), F.greatest(F.ceil((F.size(w) - window) / step).cast("int"), F.lit(0))),
             lambda k: F.array_intersect(F.slice(w, k * step + 1, window), known))
-        words = F.concat(words, F.flatten(F.transform(paragraphs, lambda p: cut(F.split(p, "[\n ]")))))
+        split = F.transform(paragraphs, lambda p: F.split(F.translate(p, "\n", " "), " "))  # once, not for every window
+        words = F.concat(words, F.flatten(F.transform(split, cut)))
     total = counts[0]
     for c in counts[1:]:
         total = total + c
