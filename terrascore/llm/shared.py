@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,3 +35,18 @@ def fold(col: Column, folds: int) -> Column:
 
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def worker_state(key, make: Callable):
+    """What ``make()`` gave for ``key``, kept by this worker process from task
+    to task.  Task code is unpickled for each task with globals of its own, so
+    it is held outside of them; a worker keeps one thing at a time."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_terrascore_worker", types.ModuleType("_terrascore_worker"))
+    if getattr(kept, "key", None) != key:
+        kept.key, kept.value = None, None
+        kept.value = make()
+        kept.key = key
+    return kept.value
