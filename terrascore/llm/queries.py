@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from terrascore.llm import htmltext, langid, licenses, merkle, mixing, neardup, packing, quality, topk, toxicity
+from terrascore.llm import (chat, htmltext, langid, licenses, merkle, mixing, neardup, packing, quality, resample, topk, toxicity,
+                            trie)
 
 
 def queries():
@@ -15,11 +16,15 @@ def queries():
             "op7_mixing": mixing.op7_mixing,
             "op8_packing": packing.op8_packing,
             "op9_quality": quality.op9_quality,
-            "op10_toxicity": toxicity.op10_toxicity}
+            "op10_toxicity": toxicity.op10_toxicity,
+            "op11_chat": chat.op11_chat,
+            "op12_trie": trie.op12_trie,
+            "op13_resample": resample.op13_resample}
 
 
 def oracle_sql():
     return {"op1_licenses": licenses.OP1_SQL,
             "op3_topk": topk.OP3_SQL,
             "op6_merkle": merkle.OP6_SQL,
-            "op7_mixing": mixing.OP7_SQL}
+            "op7_mixing": mixing.OP7_SQL,
+            "op11_chat": chat.OP11_SQL}
