@@ -415,15 +415,16 @@ def extract(pages: DataFrame, trees: Trees | None) -> DataFrame:
     """(page_id, url, html) -> page_id, url, text, n_chars; a row for each
     row.  NULL or empty html, or html without text, gives an empty text;
     without trees every text run is kept."""
-    sent = pages.sparkSession.sparkContext.broadcast(trees)
+    sent = pages.sparkSession.sparkContext.broadcast(trees and (trees.trees, trees.weights))  # plain arrays
     names = ["page_id", "url"]
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value and Trees(*sent.value)
         for batch in batches:
             texts: list[str] = []
             for i in range(0, batch.num_rows, PAGES_AT_ONCE):
-                texts += main_texts(batch.column(2).slice(i, PAGES_AT_ONCE).to_pylist(), sent.value)
+                texts += main_texts(batch.column(2).slice(i, PAGES_AT_ONCE).to_pylist(), known)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 

@@ -16,7 +16,6 @@ doc_id); prediction reads every text as a whole.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrascore.llm.shared import documents, fold
+from terrascore.llm.shared import documents, fold, worker_memo
 
 #: labelled texts a language, at most, that the filters are fitted on
 FIT_DOCS = 1000
@@ -37,9 +36,8 @@ CHUNK = 1 << 19  # characters looked up at once
 _U = np.uint64
 
 
-@lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(0x110000)])
+    return worker_memo("letters", lambda: np.array([chr(i).isalpha() for i in range(0x110000)]))
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +88,16 @@ class Filters:
         fill = np.array([((self.masks[i // 64] >> _U(i % 64)) & _U(1)).mean() for i in range(len(languages))])
         self.false = fill ** HASHES
 
+    def state(self) -> tuple:
+        """Plain values, which a broadcast carries to workers without this class."""
+        return self.languages, self.bits, self.masks, self.false
+
+    @classmethod
+    def of(cls, state: tuple) -> Filters:
+        made = cls.__new__(cls)
+        made.languages, made.bits, made.masks, made.false = state
+        return made
+
     def hits(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Corrected number of each text's n-grams in each language."""
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -159,25 +167,28 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, typical: float = TYPICAL) ->
     return Filters(languages, codes.view(_U), (rate > 0) & (rate >= typical * rate.max(axis=1, keepdims=True, initial=0)))
 
 
-def identify(docs: DataFrame, filters: Filters, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def identify(docs: DataFrame, filters: Filters, keep: Sequence[str] = ("doc_id",),
+             out: Sequence[str] = ("lang_pred", "score")) -> DataFrame:
     """(doc_id, text) -> doc_id, lang_pred, score; a row for each row.
-    ``keep`` names the columns of ``docs`` that go along instead of doc_id.
+    ``keep`` names the columns of ``docs`` that go along instead of doc_id,
+    ``out`` the two new ones.
 
     ``und`` with score 0 if a text is NULL or has no letter; ties go to the
     language that sorts first.  ``score`` is the share of the text's trigrams
     that the language holds, corrected for false positives.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(filters)
+    sent = docs.sparkSession.sparkContext.broadcast(filters.state())
     read = [*keep, *(["text"] if "text" not in keep else [])]
-    at, made = read.index("text"), [*keep, "lang_pred", "score"]
+    at, made = read.index("text"), [*keep, *out]
     kinds = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep]
-                         + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+                         + [T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Filters.of(sent.value)
         for batch in batches:
             names, scores = [], [np.zeros(0)]
             for part in _chunks(batch.column(at).to_pylist()):
-                n, s = sent.value.predict(part)
+                n, s = known.predict(part)
                 names += n
                 scores.append(s)
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(made) - 2], pa.array(names, pa.string()), pa.array(np.concatenate(scores))],

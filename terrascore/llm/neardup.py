@@ -24,7 +24,6 @@ the exact test on the full shingle sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrascore.llm.components import components
-from terrascore.llm.shared import documents
+from terrascore.llm.shared import documents, worker_memo
 from terrascore.session import materialize
 
 SHINGLE = 5
@@ -59,18 +58,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=2)
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rnd = np.random.default_rng(20)
-    return (rnd.integers(0, 1 << 63, n, dtype=np.uint64) * _U(2) + _U(1),
-            rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+    def made():
+        rnd = np.random.default_rng(20)
+        return (rnd.integers(0, 1 << 63, n, dtype=np.uint64) * _U(2) + _U(1),
+                rnd.integers(0, 1 << 63, n, dtype=np.uint64))
+
+    return worker_memo(("dup-functions", n), made)
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE), np.full(n, _BASE_INV)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+    def made():
+        up, down = np.full(n, _BASE), np.full(n, _BASE_INV)
+        up[0] = down[0] = 1
+        return np.cumprod(up), np.cumprod(down)
+
+    # longer tables, for a text beyond CHUNK, are not kept
+    return worker_memo(("dup-powers", n), made) if n <= 2 * CHUNK else made()
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,10 +183,13 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(sets, "id long, shingles array<long>")
 
 
-@lru_cache(maxsize=4096)
 def _chance(n: int, m: int) -> float:
     """Chance that registers of different smallest hashes among 2^(n/2) and
     2^(m/2) agree."""
+    return worker_memo(("dup-chance", n, m), lambda: _chance_of(n, m))
+
+
+def _chance_of(n: int, m: int) -> float:
     zeros = np.arange(48)[:, None]
     low = 2.0 ** -(zeros + 1) * (1 + np.arange(1 << MANTISSA)[None, :] / (1 << MANTISSA))
     high = low + 2.0 ** -(zeros + 1 + MANTISSA)

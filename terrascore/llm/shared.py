@@ -50,3 +50,24 @@ def worker_state(key, make: Callable):
         kept.value = make()
         kept.key = key
     return kept.value
+
+
+def worker_memo(key, make: Callable):
+    """Like ``worker_state`` for small tables, of which a worker keeps all."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_terrascore_worker", types.ModuleType("_terrascore_worker")).__dict__.setdefault("memo", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """``names``, each with underscores behind it until no column has it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
