@@ -130,10 +130,14 @@ def mix(docs: DataFrame, weights=cycle_weights, share: float = 1.5, max_copies:
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as many times as it has copies."""
-    return (mix(docs, **options).where("copies > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select(*docs.columns))
+    """The mix itself: each document as many times as it has copies, with its
+    own columns, whatever their names."""
+    used = ["doc_id", "text", "source"]
+    rest = [c for c in docs.columns if c not in used]
+    own = docs.select(*used, F.struct(*rest).alias("_rest")) if rest else docs
+    mixed = (mix(own, **options).where("copies > 0")
+             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
+    return mixed.select(*[F.col(c) if c in used else F.col("_rest").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
