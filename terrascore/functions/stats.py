@@ -3,16 +3,19 @@
 Everything returned here is bounded by (#columns x #probabilities), never
 by the row count, so it is safe to bring to the driver.
 
-Exact quantiles do not use the global ``percentile`` aggregate: that
-keeps one value->count map for the whole table in a single final task.
-Instead (per column, all columns in the same jobs):
-
-1. unpivot to (column, value) and ``groupBy(column, value).count()`` --
-   map-side combine collapses ties, so a value held by a third of the
-   rows costs one row;
-2. distributed running count over the distinct values (H1);
-3. the (at most 2 per probability) ranks needed for linear interpolation
-   are found with a broadcast join against a tiny target table.
+Exact quantiles do not use the global ``percentile`` aggregate, which
+keeps one value->count map for the whole table in a single final task, nor
+do they shuffle the values.  They are found by selection, all columns (and groups) in
+the same jobs:
+
+1. a mergeable sketch of each column gives a bracket of values around each
+   wanted rank,
+2. a counting pass gives every value its slot: a bracket or a gap between
+   brackets.  Values in gaps are only counted (map-side combine leaves a row
+   a gap and task); the few in brackets are counted by value,
+3. the counts tell whether each rank lies in its bracket.  A bracket that
+   missed is widened and the pass repeated; the others hold the values of
+   their ranks.
 
 Interpolation is ``lo + (hi - lo) * frac`` at position ``p * (n - 1)``,
 i.e. ``quantile_cont`` / pandas ``quantile`` semantics.
@@ -23,12 +26,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrascore.functions.expr import unpivot_columns
-from terrascore.operators.ranks import prefix_sum
+#: relative accuracy of the sketch: a bracket holds about 4 in ACCURACY of the values
+ACCURACY = 1000
 
 
 def one_pass(df: DataFrame, aggs: dict[str, F.Column]) -> dict:
@@ -53,8 +56,9 @@ def null_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     return one_pass(df, {c: F.count_if(missing(c)) for c in cols})
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles of every column, NULLs ignored.
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                    accuracy: int = ACCURACY) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles of every column, NULL and NaN ignored.
 
     Returns ``{col: [q(p) for p in probs]}``; an all-NULL column gives
     ``None`` for every p.
@@ -62,60 +66,130 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     cols = list(cols)
     if not cols:
         return {}
-    long = unpivot_columns(df, [], cols, key="k", value="v").withColumn("g", F.lit(0))
-    res = _long_quantiles(long, probs)
-    return {c: res.get((0, c), [None] * len(probs)) for c in cols}
+    found = _select_quantiles(df.select(F.lit(0).alias("g"), *_doubles(df, cols)), cols, probs, accuracy)
+    return {c: found.get((0, c), [None] * len(probs)) for c in cols}
 
 
-def grouped_quantiles(df: DataFrame, group_col: str, cols: Sequence[str], probs: Sequence[float]) -> dict[tuple, list[float | None]]:
-    """Exact quantiles per (group, column): ``{(group, col): [...]}``.
+def grouped_quantiles(df: DataFrame, group_col: str, cols: Sequence[str], probs: Sequence[float],
+                      accuracy: int = ACCURACY) -> dict[tuple, list[float | None]]:
+    """Exact quantiles per (group, column): ``{(group, col): [...]}``, without
+    the groups that have no value.
 
-    The result -- and the totals collected on the way -- hold one entry per
+    The result -- and the brackets on the way -- hold one entry per
     (group, column), so ``group_col`` must be a bounded category (bands,
     top-k levels)."""
-    long = unpivot_columns(df, [group_col], list(cols), key="k", value="v").withColumnRenamed(group_col, "g")
-    return _long_quantiles(long, probs)
-
-
-def _long_quantiles(long: DataFrame, probs: Sequence[float]) -> dict[tuple, list[float | None]]:
-    spark = long.sparkSession
-    probs = [float(p) for p in probs]
-    long = long.where(F.col("v").isNotNull() & ~F.isnan("v"))  # NaN counts as missing
-    # persisted: the per-group sizes, the range sampling (large inputs) and
-    # the running-count pass read it once computed
-    counts = long.groupBy("g", "k", "v").agg(F.count(F.lit(1)).alias("n")).persist()
-    totals = {(r["g"], r["k"]): r["n"] for r in counts.groupBy("g", "k").agg(F.sum("n").alias("n")).collect()}
-    cum = prefix_sum(counts, ["v"], ["n"], group_cols=["g", "k"])  # n_cum inclusive
-    targets, plan = [], {}
-    for key, n in totals.items():
-        for p in probs:
-            pos = p * (n - 1)
-            lo = math.floor(pos)
-            hi = min(lo + 1, n - 1)
-            plan[(key, p)] = (lo, hi, pos - lo)
-            targets.append((*key, lo))
-            targets.append((*key, hi))
-    values = {}
-    if targets:
-        gtype = long.schema["g"].dataType
-        tdf = spark.createDataFrame(sorted(set(targets), key=str), T.StructType([
-            T.StructField("g", gtype, True), T.StructField("k", T.StringType(), False),
-            T.StructField("r", T.LongType(), False)]))
-        hit = cum.join(F.broadcast(tdf), (cum.g.eqNullSafe(tdf.g)) & (cum.k == tdf.k)).where(
-            (F.col("n_cum") - F.col("n") <= F.col("r")) & (F.col("r") < F.col("n_cum")))
-        values = {(r[0], r[1], r[2]): r[3] for r in hit.select(cum.g, cum.k, tdf.r, cum.v).collect()}
-    counts.unpersist()
-    out = {}
-    for key in totals:
-        res = []
-        for p in probs:
-            lo, hi, frac = plan[(key, p)]
-            a, b = values[(*key, lo)], values[(*key, hi)]
-            res.append(a if frac == 0 or a == b else a + (b - a) * frac)
-        out[key] = res
+    cols = list(cols)
+    return _select_quantiles(df.select(F.col(group_col).alias("g"), *_doubles(df, cols)), cols, probs, accuracy)
+
+
+def _doubles(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """The columns as doubles c0, c1, ...; NaN counts as missing."""
+    return [F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(f"c{i}") for i, c in enumerate(cols)]
+
+
+def _merge(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(brackets):
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(hi, out[-1][1])
+        else:
+            out.append((lo, hi))
     return out
 
 
+def _slots(df: DataFrame, n: int, brackets: dict[tuple, list[tuple[float, float]]]) -> DataFrame:
+    """(g, c0, ...) -> g, k (number of the column), slot, v: one row per value.
+    Bracket j is slot 2j + 1 and keeps its value, the gap before it slot 2j."""
+    groups = {g for g, _ in brackets}
+    if groups == {0} and df.schema["g"].dataType == T.IntegerType():
+        # one group: edges are literals in the projection
+        def slot(i):
+            v = F.col(f"c{i}")
+            return sum(((v >= F.lit(lo)).cast("int") + (v > F.lit(hi)).cast("int") for lo, hi in brackets.get((0, i), [])), F.lit(0))
+    else:
+        edges = df.sparkSession.createDataFrame(
+            [(g, [[b[e] for b in brackets.get((g, i), [])] for i in range(n) for e in (0, 1)]) for g in sorted(groups, key=str)],
+            T.StructType([T.StructField("g", df.schema["g"].dataType), T.StructField("e", T.ArrayType(T.ArrayType(T.DoubleType())))]))
+        edges = edges.select(F.col("g").alias("_g"), "e")
+        df = df.join(F.broadcast(edges), F.col("g").eqNullSafe(F.col("_g")))  # a row a group
+
+        def slot(i):
+            v = F.col(f"c{i}")
+            return (F.size(F.filter(F.col("e")[2 * i], lambda x: v >= x)) + F.size(F.filter(F.col("e")[2 * i + 1], lambda x: v > x)))
+
+    wide = df.select("g", *[F.struct(F.lit(i).alias("k"), slot(i).alias("slot"), F.col(f"c{i}").alias("v")).alias(f"s{i}") for i in range(n)])
+    each = wide.select("g", F.inline(F.array(*[f"s{i}" for i in range(n)]))).where("v IS NOT NULL")
+    return each.select("g", "k", "slot", F.when(F.col("slot") % 2 == 1, F.col("v")).alias("v"))
+
+
+def _select_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int) -> dict[tuple, list[float | None]]:
+    """(g, c0, c1, ...) -> {(g, column): quantiles}."""
+    n, probs = len(cols), [float(p) for p in probs]
+    if not n or not probs:
+        return {}
+    # an error of 1 / accuracy of the ranks on either side, twice over
+    wide = 2.0 / accuracy
+    around = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-wide, wide)})
+    asked = F.array(*[F.lit(p) for p in around])
+    rows = df.groupBy("g").agg(*[x for i in range(n) for x in (
+        F.count(f"c{i}").alias(f"n{i}"), F.percentile_approx(f"c{i}", asked, accuracy).alias(f"q{i}"),
+        F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}"))]).collect()  # one row a group
+    totals = {(r["g"], i): r[f"n{i}"] for r in rows for i in range(n) if r[f"n{i}"]}
+    sketch = {(r["g"], i): dict(zip(around, r[f"q{i}"])) for r in rows for i in range(n) if r[f"n{i}"]}
+    ends = {(r["g"], i): (r[f"lo{i}"], r[f"hi{i}"]) for r in rows for i in range(n) if r[f"n{i}"]}
+    wanted = {key: sorted({r for p in probs for r in (math.floor(p * (m - 1)), min(math.floor(p * (m - 1)) + 1, m - 1))})
+              for key, m in totals.items()}
+
+    def bracket(key, p):
+        lo, hi = (sketch[key][min(1.0, max(0.0, p + d))] for d in (-wide, wide))
+        return (ends[key][0] if p - wide <= 0 else lo), (ends[key][1] if p + wide >= 1 else hi)
+
+    brackets = {key: _merge([bracket(key, p) for p in probs]) for key in totals}
+    values: dict[tuple, float] = {}
+    left = dict(wanted)
+    while left:
+        counts = (_slots(df, n, {key: brackets[key] for key in left}).groupBy("g", "k", "slot", "v").agg(F.count(F.lit(1)).alias("n")).persist())
+        try:
+            sums = {(r["g"], r["k"], r["slot"]): r["n"] for r in counts.groupBy("g", "k", "slot").agg(F.sum("n").alias("n")).collect()}
+            targets, again = [], {}
+            for key, ranks in left.items():
+                before = 0
+                for slot in range(2 * len(brackets[key]) + 1):
+                    own = sums.get((*key, slot), 0)
+                    for r in (r for r in ranks if before <= r < before + own):
+                        if slot % 2:
+                            targets.append((*key, slot, r - before, r))
+                        else:
+                            again.setdefault(key, []).append(r)
+                    before += own
+            if targets:
+                # a bracket holds a small share of the values, each once: a task a bracket
+                run = Window.partitionBy("g", "k", "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+                cum = counts.where("v IS NOT NULL").withColumn("upto", F.sum("n").over(run))
+                table = df.sparkSession.createDataFrame(targets, T.StructType([
+                    T.StructField("_g", df.schema["g"].dataType), T.StructField("_k", T.IntegerType()), T.StructField("_slot", T.IntegerType()),
+                    T.StructField("_r", T.LongType()), T.StructField("rank", T.LongType())]))
+                hit = cum.join(F.broadcast(table), F.col("g").eqNullSafe(F.col("_g")) & (F.col("k") == F.col("_k")) & (F.col("slot") == F.col("_slot"))
+                               & (F.col("upto") - F.col("n") <= F.col("_r")) & (F.col("_r") < F.col("upto")))
+                values.update({(r["g"], r["k"], r["rank"]): r["v"] for r in hit.select("g", "k", "rank", "v").collect()})
+        finally:
+            counts.unpersist()
+        # a rank in a gap: its neighbours' brackets reach over the gap
+        for key in again:
+            lo, hi = ends[key]
+            edge = [lo, *[x for b in brackets[key] for x in b], hi]
+            brackets[key] = _merge([(edge[max(0, 2 * j - 1)], edge[min(len(edge) - 1, 2 * j + 2)]) for j in range(len(brackets[key]) + 1)])
+        left = again
+
+    def quantile(key, p):
+        pos = p * (totals[key] - 1)
+        at = math.floor(pos)
+        a, b = values[(*key, at)], values[(*key, min(at + 1, totals[key] - 1))]
+        return a if pos == at or a == b else a + (b - a) * (pos - at)
+
+    return {(g, cols[i]): [quantile((g, i), p) for p in probs] for g, i in totals}
+
+
 def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     q = exact_quantiles(df, cols, [0.5])
     return {c: q[c][0] for c in cols}

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from terrascore.config import CORRELATION_THRESHOLD, MIN_VOTES, VARIANCE_THRESHOLD
 from terrascore.functions import stats
+from terrascore.functions.moments import merged, moments
 
 MI_BINS = 10
 
@@ -57,21 +58,19 @@ def select_variance(df: DataFrame, cols: Sequence[str], threshold: float = VARIA
 def correlation_matrix(df: DataFrame, cols: Sequence[str]):
     """Pearson matrix (p x p numpy array) over the complete rows.
 
-    Spark ML's centred cross-products, merged on the executors by a tree
-    aggregation: the driver gets one p x p matrix however many tasks read
-    the table.  Vectors are built dense, as the sparse form does not centre.
-    A column without spread (standard deviation below 1e-12) or fewer than
-    two complete rows give NaN."""
+    One pass of centred cross-products (``functions.moments``), merged on
+    executors.  A column without spread (standard deviation below 1e-12) or
+    fewer than two complete rows give NaN."""
     import numpy as np
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Correlation
 
     cols = list(cols)
-    x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).dropna()
-    if x.limit(2).count() < 2:
+    n, _, products = moments(df, cols).get(0, (0, None, None))
+    if n < 2:
         return np.full((len(cols), len(cols)), np.nan)
-    v = x.select(array_to_vector(F.array(*x.columns)).alias("v"))
-    return Correlation.corr(v, "v").head()[0].toArray()
+    spread = np.sqrt(np.diag(products) / (n - 1))
+    spread = np.where(spread < 1e-12, np.nan, spread)
+    r = products / (n - 1) / np.outer(spread, spread)
+    return np.where(np.eye(len(cols), dtype=bool), 1.0, r)
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str], matrix=None) -> DataFrame:
@@ -216,22 +215,85 @@ def select_tree(df: DataFrame, cols: Sequence[str], label: str, threshold="media
     return [c for c, v in imp if v >= t]
 
 
-def lasso_coefficients(df: DataFrame, cols: Sequence[str], label: str, reg_params=None,
-                       folds: int = 5, seed: int = 42) -> tuple[list[tuple[str, float]], float]:
+def lasso_path(products, cross, penalties, tol: float = 1e-10, max_rounds: int = 5000):
+    """Coefficients for each penalty in descending order, by coordinate descent
+    on the centred products per row (X'X / n, X'y / n), each starting from the last.
+
+    Minimises 1/2 w'(X'X/n)w - w'(X'y/n) + penalty * |w|_1.  Columns without
+    spread stay 0."""
+    import numpy as np
+
+    own = np.diag(products)
+    used = np.flatnonzero(own > 1e-12 * max(own.max(initial=0), 1e-300))
+    w, out = np.zeros(len(own)), []
+    fit = products @ w  # X'Xw / n
+    for penalty in penalties:
+        active = used
+        for rounds in range(max_rounds):
+            largest = 0.0
+            for j in active:
+                old = w[j]
+                rho = cross[j] - fit[j] + own[j] * old
+                w[j] = np.sign(rho) * max(abs(rho) - penalty, 0.0) / own[j]
+                if w[j] != old:
+                    fit += products[:, j] * (w[j] - old)
+                    largest = max(largest, abs(w[j] - old) * np.sqrt(own[j]))
+            if largest <= tol:
+                if len(active) == len(used):
+                    break
+                active = used  # all columns once more, as one may have become useful
+            else:
+                active = used[w[used] != 0] if rounds % 10 else used
+        out.append(w.copy())
+    return out
+
+
+def lasso_coefficients(df: DataFrame, cols: Sequence[str], label: str, reg_params=None, n_penalties: int = 100,
+                       eps: float = 1e-3, folds: int = 5, seed: int = 42) -> tuple[list[tuple[str, float]], float]:
     """L1-penalised linear regression on the 0/1 label, no standardisation,
-    penalty chosen by k-fold CV over a log path.  Returns (coefs, best)."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    reg_params = reg_params or [1e-4, 1e-3, 1e-2, 1e-1]
-    lr = LinearRegression(elasticNetParam=1.0, standardization=False, maxIter=100)
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, numFolds=folds, seed=seed,
-                        evaluator=RegressionEvaluator(metricName="mse"), parallelism=4)
-    m = cv.fit(assemble(df, cols, label))
-    coef = m.bestModel.coefficients.toArray()
-    return [(c, float(coef[i])) for i, c in enumerate(cols)], m.bestModel.getRegParam()
+    the penalty chosen by k-fold CV over a path of ``n_penalties`` values from
+    the smallest that leaves no column down to ``eps`` times it (or over
+    ``reg_params``).  Returns (coefs, best).
+
+    One pass over the table: the centred products of each fold (dealt by a
+    hash of the row) give its complement's by subtraction, the path on them,
+    and the held-out error, all on p x p matrices."""
+    import numpy as np
+
+    cols = list(cols)
+    y = "__label"
+    x = df.withColumn(y, F.col(label).cast("double"))
+    fold = F.pmod(F.xxhash64(F.lit(seed), *cols, y), F.lit(folds))
+    parts = moments(x, [*cols, y], fold)
+    whole = None
+    for part in parts.values():
+        whole = part if whole is None else merged(whole, part)
+    if whole is None:
+        return [(c, 0.0) for c in cols], 0.0
+    p = len(cols)
+
+    def scaled(m):
+        return m[2][:p, :p] / m[0], m[2][:p, p] / m[0]
+
+    gram, cross = scaled(whole)
+    top = float(np.abs(cross).max(initial=0.0))
+    path = sorted(reg_params, reverse=True) if reg_params else list(top * np.logspace(0, np.log10(eps), n_penalties)) if top > 0 else [0.0]
+    error, tried = np.zeros(len(path)), 0
+    for f, (n, mean, products) in parts.items():
+        rest = None
+        for other, part in parts.items():
+            if other != f:
+                rest = part if rest is None else merged(rest, part)
+        if rest is None:
+            continue
+        tried += 1
+        gap = mean - rest[1]  # held-out rows about the training means
+        seen = products + n * np.outer(gap, gap)
+        for i, w in enumerate(lasso_path(*scaled(rest), path)):
+            error[i] += (seen[p, p] - 2 * w @ seen[:p, p] + w @ seen[:p, :p] @ w) / n
+    best = int(np.argmin(error)) if tried else len(path) - 1
+    w = lasso_path(gram, cross, path[:best + 1])[-1]
+    return [(c, float(v)) for c, v in zip(cols, w)], float(path[best])
 
 
 def select_lasso(df: DataFrame, cols: Sequence[str], label: str, **kw) -> list[str]:

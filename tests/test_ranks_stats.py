@@ -74,3 +74,50 @@ def test_grouped_quantiles(spark):
     df = spark.createDataFrame(rows, "g string, v double")
     q = stats.grouped_quantiles(df, "g", ["v"], [0.5])
     assert q[("x", "v")] == [5.0] and q[("y", "v")] == [2.0]
+
+
+def test_quantiles_whose_brackets_miss(spark):
+    """A coarse sketch on skewed values with ties: brackets are widened until
+    each rank lies in one."""
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["a", "a", "b", None]), rnd.paretovariate(0.3), float(rnd.randint(0, 3)), None if i % 3 else float("nan")) for i in range(2000)]
+    rows += [("a", float("inf"), -0.0, None), ("b", float("-inf"), 0.0, 1.0), ("one", 5.0, None, None)]
+    df = spark.createDataFrame(rows, "g string, x double, t double, e double").repartition(7)
+    probs = [0.0, 0.1, 0.5, 0.505, 0.9, 0.999, 1.0]
+    for accuracy in (2, 10, 1000):
+        got = stats.exact_quantiles(df, ["x", "t", "e"], probs, accuracy)
+        by = stats.grouped_quantiles(df, "g", ["x", "t", "e"], probs, accuracy)
+        for i, c in enumerate(("x", "t", "e"), 1):
+            for g in ("all", "a", "b", None, "one"):
+                xs = np.sort([r[i] for r in rows if r[i] is not None and r[i] == r[i] and g in ("all", r[0])])
+                found = got[c] if g == "all" else by.get((g, c))
+                if not len(xs):
+                    assert found in (None, [None] * len(probs))
+                    continue
+                for p, v in zip(probs, found):
+                    at = p * (len(xs) - 1)
+                    a, b = xs[math.floor(at)], xs[min(math.floor(at) + 1, len(xs) - 1)]
+                    assert v == (a if a == b or at == math.floor(at) else a + (b - a) * (at - math.floor(at)))
+
+
+def test_ordinal_rank_in_groups_and_one_exchange(spark):
+    df = spark.createDataFrame(_rows(), "id long, g string, v double, w long")
+    r = ordinal_rank(df, ["v", "id"], ["g"], out="rk")
+    exp = df.withColumn("e", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")))
+    assert r.join(exp, "id").where(F.col("rk") == F.col("e")).count() == df.count()
+    # what is left of the plan reads the written rows and joins a small table: no exchange of rows
+    for made in (r, prefix_sum(df, ["v", "id"], ["w"], ["g"])):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
+def test_running_sums_of_doubles_and_zero_keys(spark):
+    rows = [(i, [0.0, -0.0, 1.5, None][i % 4], 0.1 * i, None if i % 5 == 0 else 1.0 / (i + 1)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g double, v double, w double")
+    for native in (False, True):
+        got = {r["id"]: r["w_cum"] for r in prefix_sum(df, ["v", "id"], ["w"], ["g"], num_partitions=5, native=native).collect()}
+        for g in (0.0, 1.5, None):
+            total = 0.0
+            for i, k, v, w in sorted((r for r in rows if r[1] == g), key=lambda r: r[2]):
+                total += w or 0.0
+                assert math.isclose(got[i], total, rel_tol=1e-12)
