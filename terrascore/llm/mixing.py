@@ -99,7 +99,7 @@ def mix(docs: DataFrame, weights=cycle_weights, share: float = 1.5, max_copies:
     ranked = (join_counted(keyed, plan.where("odds IS NOT NULL").select("source_key", "odds", "wanted"), ["source_key"])
               .withColumn("_q", F.col("_draw") / F.col("odds"))
               .groupBy("source_key", "wanted", "_q").agg(F.sum("size").alias("size")))
-    cum = materialize(prefix_sum(materialize(ranked, "mix-ranked"), ["_q"], ["size"], ["source_key", "wanted"]), "mix-cum")
+    cum = materialize(prefix_sum(materialize(ranked, "mix-ranked"), ["_q"], ["size"], ["source_key", "wanted"], native=True), "mix-cum")
 
     gap = F.abs(F.col("size_cum") - F.col("wanted"))
     cut = (cum.groupBy("source_key", "wanted").agg(F.min(F.struct(gap.alias("gap"), F.col("_q").alias("q"),
