@@ -11,6 +11,13 @@ translates them.  A grid with more than ``MAX_GRID_COMBINATIONS``
 combinations is sampled (seeded, without replacement), as the reference
 does.  Cross-validation uses an explicit, class-balanced fold column
 (``sample.stratified_folds``) and exact ROC-AUC.
+
+Candidates that differ only in their number of trees are one fit a fold:
+the longest ensemble is grown, and its first trees are the shorter ones.
+(Boosted trees are the same as in a fit of that length; a forest's are drawn
+alike.)  Held-out predictions of all candidates and folds go to one long
+table, whose AUCs come from one pass; the winner's are kept, so stacking
+needs no fits of its own.
 """
 
 from __future__ import annotations
@@ -18,22 +25,24 @@ from __future__ import annotations
 import itertools
 import json
 import random
+import uuid
 from collections.abc import Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark import SparkContext
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrascore.config import (EXTRA_TREES_GRID, GRADIENT_BOOSTING_GRID,
                                HYPERPARAMETERS, MAX_GRID_COMBINATIONS, RANDOM_STATE)
+from terrascore.operators.metrics import roc_auc
+from terrascore.session import checkpoint_root, materialize
 
 MODEL_NAMES = ["logistic_regression", "random_forest", "extra_trees", "gradient_boosting", "xgboost"]
 MAX_TREE_DEPTH = 30  # deepest tree Spark grows; stands for "no limit"
@@ -133,6 +142,8 @@ class Tuned:
     cv_score: float
     best_params: dict = field(default_factory=dict)
     spark_params: dict = field(default_factory=dict)
+    #: (sample_id, fold, y, probability): each training row by the fit that left its fold out
+    held_out: DataFrame | None = None
 
     def fresh(self):
         """An unfitted estimator with the chosen parameters (for refits)."""
@@ -153,6 +164,82 @@ def cached(df: DataFrame):
             df.unpersist()
 
 
+#: the parameter that is an ensemble's number of trees
+LENGTH = {"random_forest": "numTrees", "extra_trees": "numTrees", "gradient_boosting": "maxIter", "xgboost": "maxIter"}
+#: a task of a fit reads this many rows at least
+ROWS_PER_TASK = 20_000
+
+
+def first_trees(model, k: int):
+    """The ensemble of the first ``k`` trees of a fitted forest or boosted model."""
+    fitted = model._java_obj
+    if k >= len(fitted.trees()):
+        return model
+    sc = SparkContext._active_spark_context
+    gateway, ml = sc._gateway, sc._jvm.org.apache.spark.ml
+    boosted = isinstance(model, GBTClassificationModel)
+    kind = ml.regression.DecisionTreeRegressionModel if boosted else ml.classification.DecisionTreeClassificationModel
+    trees, grown = gateway.new_array(kind, k), fitted.trees()
+    for i in range(k):
+        trees[i] = grown[i]
+    if not boosted:
+        return RandomForestClassificationModel(ml.classification.RandomForestClassificationModel(
+            fitted.uid(), trees, fitted.numFeatures(), fitted.numClasses()))
+    weights, given = gateway.new_array(sc._jvm.double, k), fitted.treeWeights()
+    for i in range(k):
+        weights[i] = given[i]
+    return GBTClassificationModel(ml.classification.GBTClassificationModel(fitted.uid(), trees, weights, fitted.numFeatures(), fitted.numClasses()))
+
+
+def fit_plan(name: str, settings: Sequence[Mapping]) -> list[tuple[dict, list[tuple[int, int | None]]]]:
+    """Parameters of the fits that a fold needs, each with the candidates (and
+    their numbers of trees) that it serves."""
+    length, groups = LENGTH.get(name), {}
+    for i, p in enumerate(settings):
+        rest = {k: v for k, v in p.items() if k != length}
+        groups.setdefault(json.dumps(rest, sort_keys=True), (rest, []))[1].append((i, p.get(length)))
+    plan = []
+    for rest, members in groups.values():
+        named = [k for _, k in members if k is not None]
+        if named and len(named) < len(members):  # a default length among given ones: fits of their own
+            plan += [({**rest, **({length: k} if k else {})}, [(i, k)]) for i, k in members]
+        else:
+            plan.append(({**rest, length: max(named)} if named else rest, members))
+    return plan
+
+
+def cross_validate(train: DataFrame, name: str, settings: Sequence[Mapping], fold_col: str = "fold", folds: int = 5,
+                   parallelism: int = 4, seed: int = RANDOM_STATE) -> tuple[list[float], DataFrame]:
+    """Mean held-out AUC of each candidate, and the written long table
+    (candidate, fold, sample_id, y, probability) that it comes from."""
+    spark = train.sparkSession
+    root = f"{checkpoint_root(spark).rstrip('/')}/held-out-{uuid.uuid4().hex}"
+    key = F.col("sample_id") if "sample_id" in train.columns else F.lit(None).cast("long").alias("sample_id")
+
+    def job(task):
+        number, (fold, (params, members)) = task
+        est = estimator(name, seed)
+        fitted = est.copy({est.getParam(k): v for k, v in params.items()}).fit(train.where(F.col(fold_col) != fold))
+        out = train.where(F.col(fold_col) == fold)
+        scored = []
+        for i, k in members:
+            m = first_trees(fitted, k) if k is not None else fitted
+            raw, column = m.getRawPredictionCol(), f"p{i}"
+            out = (m.copy({m.probabilityCol: column, m.predictionCol: f"c{i}", m.rawPredictionCol: f"{raw}{i}"}).transform(out))
+            scored.append(F.struct(F.lit(i).alias("candidate"), vector_to_array(column)[1].alias("probability")))
+        (out.select(key, F.col(fold_col).cast("int").alias("fold"), F.col("label").cast("int").alias("y"), F.inline(F.array(*scored)))
+         .write.parquet(f"{root}/fit={number}"))
+
+    jobs = [(f, p) for p in fit_plan(name, settings) for f in range(folds)]
+    _parallel(job, list(enumerate(jobs)), parallelism)
+    held = spark.read.parquet(root).drop("fit")
+    by = {}
+    for r in roc_auc(held, ["candidate", "fold"]).collect():  # one row a candidate and fold
+        if r["roc_auc"] is not None:
+            by.setdefault(r["candidate"], []).append(r["roc_auc"])
+    return [sum(by[i]) / len(by[i]) if i in by else 0.0 for i in range(len(settings))], held
+
+
 def tune_model(train: DataFrame, name: str, grid: Mapping | None = None, fold_col: str = "fold",
                folds: int = 5, parallelism: int = 4, seed: int = RANDOM_STATE) -> Tuned:
     """M6 grid (or sampled) search with k-fold CV on ROC-AUC, refit on all.
@@ -162,20 +249,18 @@ def tune_model(train: DataFrame, name: str, grid: Mapping | None = None, fold_co
     est = estimator(name, seed)
     if not grid:
         return Tuned(name, est.fit(train), 0.0, {})
-    n = train.count() if name == "logistic_regression" else None
-    combos = grid_combinations(grid, seed=seed, settings=lambda c: spark_params(name, c, n))
-    maps = [{est.getParam(k): v for k, v in spark_params(name, c, n).items()} for c in combos]
-    ev = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
-    kw = dict(estimator=est, estimatorParamMaps=maps, evaluator=ev, parallelism=parallelism, seed=seed)
-    if fold_col in train.columns:
-        cv = CrossValidator(foldCol=fold_col, numFolds=folds, **kw)
-    else:
-        cv = CrossValidator(numFolds=folds, **kw)
+    if fold_col not in train.columns:  # written, as a draw would differ from job to job
+        train = materialize(train.withColumn(fold_col, F.floor(F.rand(seed) * folds).cast("int")), "folds")
     with cached(train):  # every fold fit and the refit iterate over it
-        m = cv.fit(train)
-    scores = list(m.avgMetrics)
-    best = max(range(len(scores)), key=lambda i: scores[i])
-    return Tuned(name, m.bestModel, float(scores[best]), combos[best], spark_params(name, combos[best], n))
+        n = train.count()
+        few = train.coalesce(max(1, -(-n // ROWS_PER_TASK)))
+        combos = grid_combinations(grid, seed=seed, settings=lambda c: spark_params(name, c, n))
+        settings = [spark_params(name, c, n) for c in combos]
+        scores, held = cross_validate(few, name, settings, fold_col, folds, parallelism, seed)
+        best = max(range(len(scores)), key=lambda i: scores[i])
+        fitted = est.copy({est.getParam(k): v for k, v in settings[best].items()}).fit(few)
+    return Tuned(name, fitted, float(scores[best]), combos[best], settings[best],
+                 held.where(F.col("candidate") == best).select("sample_id", "fold", "y", "probability"))
 
 
 def predict_long(model, data: DataFrame, name: str, type_: str = "individual",
@@ -250,21 +335,26 @@ def _meta_frame(wide: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def stack(train: DataFrame, test: DataFrame, tuned: Mapping[str, Tuned], name: str = "stacking",
           k: int = 5, parallelism: int = 4) -> DataFrame:
-    """N3 stacking: members refit on k-1 folds predict the held-out fold
+    """N3 stacking: members fitted on k-1 folds predict the held-out fold
     (out-of-fold features for every training row), a logistic regression
     learns from them; on the validation part it reads the members' fitted
-    (all-data) predictions.  ``train`` must carry a ``fold`` column."""
+    (all-data) predictions.  The search has kept the winners' held-out
+    predictions; only a member that was not searched is fitted again here, by
+    the ``fold`` column of ``train``."""
     names = list(tuned)
-    jobs = [(f, n) for f in range(k) for n in names]
+    jobs = [(f, n) for n in names if tuned[n].held_out is None for f in range(k)]
 
     def oof_part(job):
         f, n = job
         fitted = tuned[n].fresh().fit(train.where(F.col("fold") != f))
         return predict_long(fitted, train.where(F.col("fold") == f), n)
 
-    oof = None
-    for p in _parallel(oof_part, jobs, parallelism):
-        oof = p if oof is None else oof.unionByName(p)
+    parts = [tuned[n].held_out.select("sample_id", F.lit(n).alias("model"), "y", "probability")
+             for n in names if tuned[n].held_out is not None]
+    parts += [p.select("sample_id", "model", "y", "probability") for p in _parallel(oof_part, jobs, parallelism)]
+    oof = parts[0]
+    for p in parts[1:]:
+        oof = oof.unionByName(p)
     meta = LogisticRegression(maxIter=100).fit(_meta_frame(_wide(oof, names), names))
     test_preds = None
     for n in names:
