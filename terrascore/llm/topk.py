@@ -1,18 +1,19 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
 A component's impact is floor(256 * x).  The index keeps blocks of vectors;
-in a block each dimension's posting list is sorted by impact, so postings of
-equal impact are a segment.  A query takes segments in descending order of
-what they contribute (its own component times the impact), tier by tier over
-all dimensions.  After each tier what is still to come is at most ``theta`` a
-dimension, which bounds every member's score from above; exact scores of the
-best bounds give the k-th score from below.  When few members can still reach
+a block's postings (member, dimension) are stored in descending order of the
+impact's size, cut into segments at quantised impacts.  A block of queries takes the
+segments in that order: a segment adds each query's products with its
+postings at once (a matrix product).  What is still to come of a member is at
+most the length of the query times that of the member's postings not yet
+taken, which bounds every score from both sides.  The k-th lower bound of a
+query is a score that is sure to be reached; when few members can still reach
 it, they are scored exactly and the block is done: nothing else can belong to
-the answer.
+the answer.  Rows of the query's own id are left out before any bound.
 
-Queries are packed into blocks as well; a block of queries meets a block of
-vectors by an equi-join on (query block, spread key), so neither side is
-broadcast or gathered, and each meeting returns k rows a query.
+Blocks of vectors and of queries meet by an equi-join on the tiles of a grid,
+so neither side is broadcast or gathered, each block is copied about as often
+as the root of the number of tiles, and a meeting returns k rows a query.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from pyspark.sql import functions as F
 from terrascore.session import materialize
 
 SCALE = 256
-VECTORS_PER_BLOCK = 16384
+VECTORS_PER_BLOCK = 4096
 QUERIES_PER_BLOCK = 512
-SPREAD = 16
-TIERS = (0.5, 0.25, 0.1, 0.0, -0.05, -0.1, -0.2)
+#: ends of the segments, as shares of a block's largest impact
+TIERS = (0.5, 0.25, 0.0)
 FEW = 0.03
 
 
@@ -44,126 +45,139 @@ def impacts(rows: DataFrame, id_col: str = "vec_id", vector: str = "embedding")
 
 
 def _blocks(rows: DataFrame, per_block: int, n: int) -> DataFrame:
-    """(id, impacts) -> block, ids, values (row-major longs) and width: up to
-    ``per_block`` vectors of one width a row.  Shorter vectors among longer
+    """(id, impacts) -> block, ids, values (row-major longs), width, postings
+    and cuts: up to ``per_block`` vectors a row.  Shorter vectors among longer
     ones count as ending in zeros."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, values, width, part = [], [], 0, 0
-        tag = 0
+        from pyspark import TaskContext
+
+        ids, values, part = [], [], 0
 
         def out():
-            m = np.zeros((len(ids), width), np.int64)
+            m = np.zeros((len(ids), max(map(len, values), default=0)), np.int64)
             for i, v in enumerate(values):
                 m[i, :len(v)] = v
+            postings, cuts = impact_order(m)
             return pa.RecordBatch.from_arrays(
-                [pa.array([tag]), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([width])],
-                names=["block", "ids", "values", "width"])
-
-        from pyspark import TaskContext
+                [pa.array([TaskContext.get().partitionId() + (part << 32)]), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()),
+                 pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]]), pa.array([postings.tobytes()], pa.binary()),
+                 pa.array([cuts], pa.list_(pa.int64()))], names=["block", "ids", "values", "width", "postings", "cuts"])
 
         for batch in batches:
             for i, v in zip(batch.column(0).to_pylist(), (x.values.to_numpy(zero_copy_only=False) for x in batch.column(1))):
                 if len(ids) == per_block:
-                    tag = TaskContext.get().partitionId() + (part << 32)
                     yield out()
-                    ids, values, width, part = [], [], 0, part + 1
+                    ids, values, part = [], [], part + 1
                 ids.append(i)
                 values.append(v)
-                width = max(width, len(v))
         if ids:
-            tag = TaskContext.get().partitionId() + (part << 32)
             yield out()
 
-    return rows.repartition(n, "id").mapInArrow(pack, "block long, ids binary, values binary, width long")
-
-
-class ImpactIndex:
-    """Posting lists of one block, by dimension in ascending impact."""
-
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids, self.values = ids, values
-        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)  # dimension by place
-        self.sorted = np.ascontiguousarray(np.take_along_axis(values.T, self.order, axis=1))
-
-    def search(self, query: np.ndarray, k: int, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, ties to the smaller id."""
-        n = len(self.ids)
-        dims = np.flatnonzero(query[:self.values.shape[1]])
-        bound = np.zeros(n, np.int64)
-        largest = np.maximum(query[dims] * self.sorted[dims, 0], query[dims] * self.sorted[dims, -1]) if n else np.zeros(0)
-        top = int(largest.max(initial=0))
-        done = np.where(query[dims] > 0, n, 0)  # what is left of each list: [0, done) or [done, n)
-        members = np.arange(n)
-        for tier in TIERS if n > 8 * k else ():
-            theta = int(top * tier)
-            for j, d in enumerate(dims):
-                q, row = query[d], self.sorted[d]
-                if q > 0:  # contributions of at least theta: impacts of at least theta / q
-                    at = np.searchsorted(row, -(-theta // q), "left")
-                    part = slice(at, done[j])
-                else:
-                    at = np.searchsorted(row, (-theta) // (-q), "right")
-                    part = slice(done[j], at)
-                if part.start < part.stop:
-                    bound[self.order[d, part]] += q * row[part]
-                    done[j] = at
-            if tier > 0.1:
-                continue
-            # a dimension not yet met adds at most theta, if that is positive
-            rest = len(dims) * max(0, theta)
-            best = np.argpartition(bound, n - k - 1)[n - k - 1:]
-            sure = np.sort(self.values[best] @ query[:self.values.shape[1]])[::-1]
-            # one of the k + 1 may be the query itself
-            members = np.flatnonzero(bound + rest >= sure[k])
-            if len(members) <= max(4 * k, FEW * n):
+    # dealt by all that a row has: one id may hold any share of the rows
+    return rows.repartition(n, F.xxhash64("id", "impacts")).mapInArrow(
+        pack, "block long, ids binary, values binary, width long, postings binary, cuts array<long>")
+
+
+def impact_order(values: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Flat places of the postings by descending size of impact, and where
+    each segment ends; zero impacts are no postings."""
+    size = np.abs(values).ravel()
+    order = np.argsort(-size, kind="stable").astype(np.int32)
+    ranked = -size[order]
+    top = int(size.max(initial=0))
+    return order, [int(np.searchsorted(ranked, -max(1, int(top * t)), "right")) for t in TIERS]
+
+
+def search_block(ids: np.ndarray, values: np.ndarray, postings: np.ndarray, cuts: list[int], query_ids: np.ndarray,
+                 queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member id, score) of the k best members for each query, ties to
+    the smaller id; members with the query's id are left out."""
+    n, m = len(ids), len(query_ids)
+    width = max(values.shape[1], queries.shape[1])
+    queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
+    exact = float(np.abs(values).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(width, 1) < 2 ** 53
+    kind = np.float64 if exact else np.int64  # whole numbers below 2^53 are exact in doubles
+    q, left = queries[:, :values.shape[1]].astype(kind), values.astype(kind)
+    order = np.argsort(ids, kind="stable")
+    lo, hi = np.searchsorted(ids[order], query_ids, "left"), np.searchsorted(ids[order], query_ids, "right")
+    own_q = np.repeat(np.arange(m), hi - lo)
+    own_v = order[np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])] if len(own_q) else np.zeros(0, np.int64)
+
+    possible = np.ones((m, n), bool)
+    if exact and n > 8 * k:
+        scores, length, at = np.zeros((m, n)), np.sqrt((q ** 2).sum(axis=1)), 0
+        for cut in cuts[:-1]:
+            segment = np.zeros(n * values.shape[1])
+            taken = postings[at:cut]
+            segment[taken] = left.ravel()[taken]
+            scores += q @ segment.reshape(n, -1).T
+            left.ravel()[taken], at = 0, cut
+            # rounding of the lengths is far below a part in 10^9
+            slack = length[:, None] * np.sqrt((left ** 2).sum(axis=1))[None, :] * (1 + 1e-9)
+            low = scores - slack
+            low[own_q, own_v] = -np.inf
+            sure = np.partition(low, n - k, axis=1)[:, n - k]
+            possible = scores + slack >= sure[:, None]
+            if possible.mean() <= FEW:
                 break
-        scores = self.values[members] @ query[:self.values.shape[1]]
-        ids = self.ids[members]
-        if but is not None:
-            keep = ids != but
-            scores, ids = scores[keep], ids[keep]
-        if len(ids) > k:
-            near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-            scores, ids = scores[near], ids[near]
-        o = np.lexsort((ids, -scores))[:k]
-        return ids[o], scores[o]
+    possible[own_q, own_v] = False
+    v = values.astype(kind)
+    if possible.mean() <= FEW:
+        rows, members = np.nonzero(possible)
+        scores = (q[rows] * v[members]).sum(axis=1)
+    else:
+        every = q @ v.T
+        if n > k:
+            low = np.where(possible, every, -np.inf) if exact else np.where(possible, every, np.iinfo(np.int64).min)
+            possible &= every >= np.partition(low, n - k, axis=1)[:, n - k][:, None]
+        rows, members = np.nonzero(possible)
+        scores = every[rows, members]
+    order = np.lexsort((ids[members], -scores, rows))
+    rows, members, scores = rows[order], members[order], scores[order]
+    first = np.searchsorted(rows, rows, "left")
+    best = np.arange(len(rows)) - first < k
+    return query_ids[rows[best]], ids[members[best]], scores[best].astype(np.int64)
 
 
 def build_index(vectors: DataFrame, per_block: int = VECTORS_PER_BLOCK) -> DataFrame:
-    """(id, impacts) -> index blocks (block, ids, values, width)."""
+    """(id, impacts) -> the index, written: a row per block with its vectors
+    and their postings in impact order."""
     n = max(1, -(-vectors.count() // per_block))
-    return _blocks(vectors, per_block, n)
+    return materialize(_blocks(vectors, per_block, n), "topk-index")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 5, per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
     """Index blocks and queries (id, impacts) -> query_id, rank, vec_id,
     score: each query's k highest scores among the other ids (all, if fewer),
-    ties to the smaller vec_id.  Repeated rows of an id count each."""
-    asked = materialize(queries, "topk-queries")
+    ties to the smaller vec_id.  Repeated rows of a vec_id count each; queries
+    alike in id and vector ask once, and those of one id with several vectors
+    get their best together.  An empty table gives no rows."""
+    asked = materialize(queries.select("id", "impacts").distinct(), "topk-queries")
     n = -(-asked.count() // per_block)
     if n == 0:
         return asked.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
     packed = materialize(_blocks(asked, per_block, n), "topk-query-blocks")
-    packed = packed.withColumn("qb", F.row_number().over(Window.orderBy("block")) - 1)  # a row per block
-    packed = materialize(packed, "topk-query-blocks")
-    blocks = packed.count()
-    left = (index.withColumn("spread", F.pmod(F.xxhash64("block"), F.lit(SPREAD)))
-            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    right = packed.select("qb", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), F.col("width").alias("q_width"),
-                          F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("spread"))
-    met = left.join(right, ["qb", "spread"]).select("ids", "values", "width", "q_ids", "q_values", "q_width")
+    # a grid of about as many tiles as there are tasks; a block goes to the tiles of its row or column
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    across = min(packed.count(), max(1, round(tasks ** 0.5)))
+    down = min(index.count(), -(-tasks // across))
+    left = (index.withColumn("row", F.pmod(F.xxhash64("block"), F.lit(down)))
+            .withColumn("tile", F.explode(F.sequence(F.col("row") * across, F.col("row") * across + across - 1))))
+    right = (packed.select(*[F.col(c).alias(f"q_{c}") for c in ("block", "ids", "values", "width")])
+             .withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(down - 1).cast("long"))))
+             .withColumn("tile", F.col("row") * across + F.pmod(F.xxhash64("q_block"), F.lit(across))).drop("row"))
+    parts = 4 * across * down  # few tiles share a task
+    met = (left.repartition(parts, "tile").join(right.repartition(parts, "tile").hint("shuffle_merge"), "tile")
+           .select("ids", "values", "width", "postings", "cuts", "q_ids", "q_values", "q_width"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, values, width, q_ids, q_values, q_width in zip(*(c.to_pylist() for c in batch.columns)):
+            for i in range(batch.num_rows):
+                ids, values, width, postings, cuts, q_ids, q_values, q_width = (batch.column(c)[i].as_py() for c in range(8))
                 vec_ids, query_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                index = ImpactIndex(vec_ids, np.frombuffer(values, np.int64).reshape(len(vec_ids), width))
-                asked = np.frombuffer(q_values, np.int64).reshape(len(query_ids), q_width)
-                found = [(q, *index.search(v, k, q)) for q, v in zip(query_ids, asked)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([q for q, *_ in found], [len(i) for _, i, _ in found]).astype(np.int64)),
-                     pa.array(np.concatenate([i for _, i, _ in found])), pa.array(np.concatenate([s for *_, s in found]))],
-                    names=["query_id", "vec_id", "score"])
+                found = search_block(vec_ids, np.frombuffer(values, np.int64).reshape(len(vec_ids), width), np.frombuffer(postings, np.int32), cuts,
+                                     query_ids, np.frombuffer(q_values, np.int64).reshape(len(query_ids), q_width), k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
     best = met.mapInArrow(meet, "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
@@ -179,7 +193,7 @@ OP3_SQL = """
 WITH v AS (SELECT vec_id AS id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS i FROM embeddings
            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (SELECT q.id AS query_id, c.id AS vec_id, list_dot_product(q.i::DOUBLE[], c.i::DOUBLE[])::BIGINT AS score
-      FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 50 = 0),
+      FROM (SELECT DISTINCT * FROM v WHERE id % 50 = 0) q JOIN v c ON q.id <> c.id),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
 """

@@ -20,8 +20,9 @@ def brute(rows, query_every, k):
 def _found(spark, rows, query_every=7, k=5, per_block=64):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
     v = topk.impacts(df)
-    out = topk.search(topk.build_index(v, per_block), v.where(f"id % {query_every} = 0"), k, per_block=9)
-    return {tuple(r) for r in out.collect()}
+    out = topk.search(topk.build_index(v, per_block), v.where(f"id % {query_every} = 0"), k, per_block=9).collect()
+    assert len(out) == len({(r["query_id"], r["rank"]) for r in out})
+    return {tuple(r) for r in out}
 
 
 def test_topk_against_brute_force(spark):
@@ -35,16 +36,32 @@ def test_topk_against_brute_force(spark):
     assert _found(spark, []) == set()
 
 
+def test_query_ids_that_repeat(spark):
+    rnd = np.random.default_rng(4)
+    one = [float(x) for x in rnd.normal(0, 0.1, 16)]
+    rows = [(i, [float(x) for x in rnd.normal(0, 0.1, 16)]) for i in range(1, 289)] + [(700, one)] * 12
+    assert _found(spark, rows, 700) == brute(rows, 700, 5) and len(_found(spark, rows, 700)) == 5
+    # a third of all rows is one id
+    hot = [(7, [float(x) for x in rnd.normal(0, 0.1, 16)]) for _ in range(100)] + rows[:200]
+    best = sorted((-sum(int(np.floor(256 * a)) * int(np.floor(256 * b)) for a, b in zip(x, y)), j)
+                  for i, x in hot if i == 7 for j, y in hot if j != 7)[:5]
+    assert sorted((r, j, s) for q, r, j, s in _found(spark, hot, 7) if q == 7) == [(r + 1, j, -s) for r, (s, j) in enumerate(best)]
+
+
 def test_search_stops_early_and_stays_exact():
     rnd = np.random.default_rng(0)
-    values = np.floor(rnd.normal(0, 32, (5000, 64))).astype(np.int64)
-    index = topk.ImpactIndex(np.arange(5000), values)
-    for q in range(20):
-        ids, scores = index.search(values[q], 5, q)
-        every = values @ values[q]
-        every[q] = -(1 << 60)
-        best = np.lexsort((np.arange(5000), -every))[:5]
-        assert list(ids) == list(best) and list(scores) == list(every[best])
+    # few large impacts decide: most members are ruled out before the last segment
+    values = np.floor(rnd.normal(0, 2, (3000, 64))).astype(np.int64)
+    values[np.arange(3000)[:, None], rnd.integers(0, 64, (3000, 3))] = rnd.integers(-400, 400, (3000, 3))
+    for scale in (1, 1 << 20):  # in doubles, and beyond what they hold exactly
+        v, ids = values * scale, rnd.permutation(3000) // 2
+        some = [int(np.flatnonzero(ids == i)[0]) for i in range(20)]
+        queries = np.concatenate([v[some], rnd.integers(-50, 50, (5, 64)) * scale])
+        q_ids = np.concatenate([np.arange(20), np.arange(9000, 9005)])
+        query, member, score = topk.search_block(ids, v, *topk.impact_order(v), q_ids, queries, 5)
+        for q, x in zip(q_ids, queries):
+            best = sorted((-s, j) for s, j in zip(v.astype(object) @ x.astype(object), ids) if j != q)[:5]
+            assert [(-s, j) for s, j in zip(score[query == q], member[query == q])] == best
 
 
 def test_quality_orders_grades(spark):
