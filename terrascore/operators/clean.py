@@ -75,10 +75,12 @@ def cast_target(df: DataFrame, target: str = TARGET_COLUMN) -> DataFrame:
 
 
 def clean_data_fit(df: DataFrame, exclude: Iterable[str] = tuple(EXCLUDE_COLUMNS),
-                   target: str = TARGET_COLUMN, medians=None, exact: bool = True, complete: bool = True):
+                   target: str = TARGET_COLUMN, medians=None, exact: bool = True, complete: bool = True,
+                   keys: Iterable[str] = ("sample_id",)):
     """P5 returning (cleaned frame, medians).  The state holds a median for
-    every floating-point column, since later rows can lack values where these
-    do not (integer columns, such as keys, only if they lack values here); ``complete=False`` fits only what this frame needs.  When the medians are fitted
+    every numeric column but keys, excluded columns and the target, since later
+    rows can lack values where these do not; ``complete=False`` fits only what
+    this frame needs.  When the medians are fitted
     here, the de-duplicated frame is written once to the checkpoint folder
     and read by the missing-value count, the median pass and the final
     projection, instead of shuffling the duplicates away three times."""
@@ -89,11 +91,14 @@ def clean_data_fit(df: DataFrame, exclude: Iterable[str] = tuple(EXCLUDE_COLUMNS
         d = materialize(d, "dedup")
         needed = medians = fit_median_impute(d, exact=exact)
         if complete:
-            rest = [c for c, kind in d.dtypes if kind in ("double", "float") and c not in {*needed, *exclude, target}]
+            rest = [c for c in numeric_columns(d) if c not in {*needed, *exclude, *keys, target}]
             medians = needed | {c: q[0] for c, q in stats.quantiles(d, rest, [0.5], exact=exact).items()}
         d = apply_median_impute(d, needed)
     else:
-        d = apply_median_impute(d, medians)
+        # a column that lacks nothing keeps its type
+        whole = [f.name for f in d.schema.fields if f.name in medians and isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType))]
+        lacking = stats.null_counts(d, whole)
+        d = apply_median_impute(d, {c: m for c, m in medians.items() if lacking.get(c, 1)})
     d = fill_unknown(d, exclude, target)
     return cast_target(d, target), medians
 

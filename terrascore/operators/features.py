@@ -236,7 +236,9 @@ def engineer_features(df: DataFrame, p: Preset, st: dict | None = None, exact: b
                       density_counts: DataFrame | None = None,
                       extra: dict[str, Column] | None = None) -> DataFrame:
     """F1-F21 (+ user ``extra`` expressions), then +-inf/missing -> 0 on
-    every numeric column.  Band dummies stay boolean."""
+    every numeric column but the key, the target and the excluded ones, which
+    are no measurements: a missing coordinate or label stays missing.  Band
+    dummies stay boolean."""
     p = p.available(df.columns)
     st = st if st is not None else fit_feature_stats(df, p, exact)
     base = df
@@ -254,7 +256,8 @@ def engineer_features(df: DataFrame, p: Preset, st: dict | None = None, exact: b
     keep = [c for c in df.columns if c not in new_names]
     sel = [F.col(c) for c in keep] + [e.alias(n) for n, e in feats]
     wide = base.select(*sel)
-    return wide.select(*[_zero_missing(wide, c) for c in wide.columns])
+    held = {p.id_col, p.target, *p.exclude}
+    return wide.select(*[F.col(c) if c in held else _zero_missing(wide, c) for c in wide.columns])
 
 
 def _zero_missing(df: DataFrame, c: str) -> Column:
@@ -290,6 +293,22 @@ def feature_categories(features: Sequence[str], groups: dict | None = None) -> l
     return out
 
 
+#: created features by what their names hold
+ENGINEERED_GROUPS = {
+    "engineered_alteration": ("index", "ratio"),
+    "engineered_anomaly": ("anomaly",),
+    "engineered_spatial": ("fault", "lineament", "mag"),
+    "engineered_ree": ("REE", "Eu_anomaly"),
+}
+
+
+def feature_groups(created: Sequence[str], groups: dict | None = None) -> list[tuple[str, str]]:
+    """F23 (group, feature): the configured groups, and four groups of created
+    features by what their names hold; a feature may be in several."""
+    out = [(g, f) for g, fs in (groups or GEOLOGICAL_FEATURES).items() for f in fs]
+    return out + [(g, f) for g, marks in ENGINEERED_GROUPS.items() for f in created if any(m in f for m in marks)]
+
+
 def log1p(column: str) -> Column:
     """F24."""
     return F.log1p(F.col(column).cast("double"))

@@ -197,3 +197,51 @@ def best_model(metrics: DataFrame, order: Sequence[str] | None = None, by: str =
 def count_by_type(metrics: DataFrame) -> DataFrame:
     """T15 models per type."""
     return metrics.groupBy("type").agg(F.count(F.lit(1)).alias("n_models"))
+
+
+PROFILE = ("accuracy", "precision", "recall", "f1_score", "specificity")
+
+
+def best_model_profile(metrics: DataFrame, by: str = "roc_auc", names: Sequence[str] = PROFILE) -> DataFrame:
+    """T14 (model, metric, value) of the model with the highest ``by`` (ties by
+    type and name: the metric table has one row per model)."""
+    first = metrics.orderBy(F.desc_nulls_last(by), F.desc("type"), F.asc("model")).limit(1)
+    return metric_matrix(first, names=names)
+
+
+def report_sections(metrics: DataFrame, importance: DataFrame, top: int = 20) -> DataFrame:
+    """T13 the evaluation report as one table (section, type, model, item, value,
+    text): ``summary`` (models in all and by type, the best one and its AUC),
+    ``metrics`` and ``confusion`` of every model, the ``top`` importances
+    (model, feature, importance, rank) and ``recommendations`` worded from the
+    best model's figures."""
+    none = F.lit(None).cast("string")
+    first = metrics.orderBy(F.desc_nulls_last("roc_auc"), F.desc("type"), F.asc("model")).limit(1)
+    counts = metrics.agg(*[F.count(c).cast("double").alias(n) for n, c in (
+        ("total_models", F.lit(1)), ("individual_models", F.when(F.col("type") == "individual", 1)),
+        ("ensemble_models", F.when(F.col("type") == "ensemble", 1)))])
+
+    def shaped(df, section, type_, model, item, value, text=none):
+        return df.select(F.lit(section).alias("section"), type_.alias("type"), model.alias("model"), item.alias("item"),
+                         value.cast("double").alias("value"), text.alias("text"))
+
+    def listed(df, *pairs):
+        return df.select("*", F.inline(F.array(*[F.struct(F.lit(n).alias("_item"), c.cast("double").alias("_value"), t.alias("_text")) for n, c, t in pairs])))
+
+    totals = listed(counts, *[(n, F.col(n), none) for n in ("total_models", "individual_models", "ensemble_models")])
+    best = listed(first, ("best_roc_auc", F.col("roc_auc"), F.col("model")))
+    words = [("best", F.col("roc_auc"), F.format_string("%s has the highest ROC-AUC, %.4f", F.col("model"), F.col("roc_auc"))),
+             ("recall", F.col("recall"), F.format_string("it finds %.2f%% of the prospective samples", F.col("recall") * 100)),
+             ("specificity", F.col("specificity"), F.format_string("it clears %.2f%% of the barren samples", F.col("specificity") * 100)),
+             ("type", F.lit(None), F.format_string("the best model is of type %s", F.col("type")))]
+    shapes = [shaped(totals, "summary", none, none, F.col("_item"), F.col("_value")),
+              shaped(best, "summary", F.col("type"), F.col("model"), F.col("_item"), F.col("_value"), F.col("_text"))]
+    for section, names in (("metrics", ("accuracy", "precision", "recall", "f1_score", "roc_auc", "specificity", "sensitivity")),
+                           ("confusion", ("true_positives", "false_positives", "true_negatives", "false_negatives"))):
+        shapes.append(shaped(metric_matrix(metrics, ["type", "model"], names), section, F.col("type"), F.col("model"), F.col("metric"), F.col("value")))
+    shapes.append(shaped(importance.where(F.col("rank") <= top), "importance", F.lit("individual"), F.col("model"), F.col("feature"), F.col("importance")))
+    shapes.append(shaped(listed(first, *words), "recommendations", F.col("type"), F.col("model"), F.col("_item"), F.col("_value"), F.col("_text")))
+    out = shapes[0]
+    for x in shapes[1:]:
+        out = out.unionByName(x)
+    return out

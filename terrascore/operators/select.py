@@ -356,3 +356,14 @@ def selection_report(choices: DataFrame, top: int = 10) -> DataFrame:
 def selection_summary(choices: DataFrame) -> DataFrame:
     """L10 features per method."""
     return choices.groupBy("method").agg(F.count(F.lit(1)).alias("n_features"))
+
+
+def score_tops(tables: dict[str, DataFrame], top: int = 10) -> DataFrame:
+    """L9/L10 (method, rank, feature, score): the first ``top`` rows of each
+    score table (feature, score), by score then name."""
+    out = None
+    for method, t in tables.items():
+        rows = top_k(t.select("feature", F.col("score").cast("double").alias("score")), top).select(
+            F.lit(method).alias("method"), "rank", "feature", "score")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -9,6 +9,7 @@ from terrascore.operators import ensemble as N
 from terrascore.operators import metrics as T
 from terrascore.plans import sqltext as Q
 from terrascore.plans.registry import query
+from terrascore.session import materialize
 from terrascore.sources.fixtures import predictions
 
 
@@ -237,7 +238,7 @@ def q_ensemble_summary(spark, sf):
     return N.ensemble_summary(_ens_scores(spark, sf))
 
 
-@query("evaluate_all", SP + ",\n" + _ENS_SCORES + """,
+_ALL_EVAL = _ENS_SCORES + """,
 allp AS (SELECT sample_id, model, 'individual' AS type, y, probability, prediction FROM predictions
          UNION ALL SELECT sample_id, model, type, y, probability, prediction FROM ens),
 asc_ AS (SELECT type, model, probability, CAST(SUM(y) AS DOUBLE) AS pos, CAST(SUM(1 - y) AS DOUBLE) AS neg
@@ -248,11 +249,52 @@ aac AS (SELECT *, SUM(neg) OVER (PARTITION BY type, model ORDER BY probability
                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_cum FROM asc_),
 aauc AS (SELECT type, model, SUM(pos * (neg_cum - neg + neg * 0.5)) / (SUM(pos) * SUM(neg)) AS roc_auc
          FROM aac GROUP BY type, model),
-acm AS (SELECT type, model, """ + CM_SELECT + """ FROM allp GROUP BY type, model)
-SELECT acm.*, """ + DERIVED + """, ROUND(aauc.roc_auc, 6) AS roc_auc
-FROM acm LEFT JOIN aauc USING (type, model)""")
-def q_evaluate_all(spark, sf):
+acm AS (SELECT type, model, """ + CM_SELECT + """ FROM allp GROUP BY type, model)"""
+_ALL_METRICS = """SELECT acm.*, """ + DERIVED + """, ROUND(aauc.roc_auc, 6) AS roc_auc
+FROM acm LEFT JOIN aauc USING (type, model)"""
+
+
+def all_metrics(spark, sf):
+    """Metrics of the pseudo-models and their ensembles."""
     p = preds(spark, sf)
     allp = p.select("sample_id", "model", "type", "y", "probability", "prediction").unionByName(
         N.all_ensembles(p))
     return rnd(T.evaluate_models(allp))
+
+
+@query("evaluate_all", SP + ",\n" + _ALL_EVAL + "\n" + _ALL_METRICS)
+def q_evaluate_all(spark, sf):
+    return all_metrics(spark, sf)
+
+
+_FIRST = "first_ AS (SELECT * FROM am ORDER BY roc_auc DESC NULLS LAST, type DESC, model LIMIT 1)"
+
+
+@query("best_model_profile", SP + ",\n" + _ALL_EVAL + ",\nam AS (" + _ALL_METRICS + "),\n" + _FIRST + "\n" + " UNION ALL ".join(
+    f"SELECT model, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM first_" for m in T.PROFILE))
+def q_best_model_profile(spark, sf):
+    """T14 five metrics of the best of all members and ensembles."""
+    return T.best_model_profile(materialize(all_metrics(spark, sf), "metrics"))
+
+
+@query("report_sections", SP + ",\n" + _ALL_EVAL + ",\nam AS (" + _ALL_METRICS + "),\n" + _FIRST + """,
+weights AS (SELECT 'individual' AS type, model, model || '_auc' AS item, ROUND(roc_auc * roc_auc, 6) AS value FROM am WHERE type = 'individual')
+SELECT 'summary' AS section, NULL AS type, NULL AS model, item, value, NULL AS text
+FROM (UNPIVOT (SELECT CAST(COUNT(*) AS DOUBLE) AS total_models, CAST(COUNT(*) FILTER (WHERE type = 'individual') AS DOUBLE) AS individual_models,
+                      CAST(COUNT(*) FILTER (WHERE type = 'ensemble') AS DOUBLE) AS ensemble_models FROM am) ON COLUMNS(*) INTO NAME item VALUE value)
+UNION ALL SELECT 'summary', type, model, 'best_roc_auc', roc_auc, model FROM first_
+""" + "".join(f"UNION ALL SELECT '{s}', type, model, '{m}', CAST({m} AS DOUBLE), NULL FROM am\n" for s, ms in (
+    ("metrics", ("accuracy", "precision", "recall", "f1_score", "roc_auc", "specificity", "sensitivity")),
+    ("confusion", ("true_positives", "false_positives", "true_negatives", "false_negatives"))) for m in ms) + """
+UNION ALL SELECT 'importance', type, model, item, value, NULL FROM weights
+UNION ALL SELECT 'recommendations', type, model, 'best', roc_auc, printf('%s has the highest ROC-AUC, %.4f', model, roc_auc) FROM first_
+UNION ALL SELECT 'recommendations', type, model, 'recall', recall, printf('it finds %.2f%% of the prospective samples', recall * 100) FROM first_
+UNION ALL SELECT 'recommendations', type, model, 'specificity', specificity, printf('it clears %.2f%% of the barren samples', specificity * 100) FROM first_
+UNION ALL SELECT 'recommendations', type, model, 'type', NULL, 'the best model is of type ' || type FROM first_""")
+def q_report_sections(spark, sf):
+    """T13 the report over the pseudo-models and their ensembles; their AUC
+    weights stand where fitted models have importances."""
+    m = materialize(all_metrics(spark, sf), "metrics")
+    weights = m.where("type = 'individual'").select("model", F.concat("model", F.lit("_auc")).alias("feature"),
+                                                    F.round(F.col("roc_auc") * F.col("roc_auc"), 6).alias("importance"), F.lit(1).alias("rank"))
+    return T.report_sections(m, weights)

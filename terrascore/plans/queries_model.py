@@ -134,21 +134,9 @@ def q_train_ensembles(spark, sf):
 
 @query("evaluation_report")
 def q_evaluation_report(spark, sf):
-    """T13 one long table (section, type, model, metric, value): metrics and
-    confusion counts of members and ensembles, models per type, and the
-    top-20 feature importances of every member."""
-    met = evaluated(spark, sf)[1]
-    names = ["accuracy", "precision", "recall", "f1_score", "roc_auc", "specificity", "sensitivity",
-             "true_positives", "false_positives", "true_negatives", "false_negatives"]
-    long = T.metric_matrix(met, keys=["type", "model"], names=names).select(
-        F.lit("metrics").alias("section"), "type", "model", "metric", "value")
-    counts = T.count_by_type(met).select(F.lit("counts").alias("section"), "type",
-                                         F.lit("all").alias("model"), F.lit("n_models").alias("metric"),
-                                         F.col("n_models").cast("double").alias("value"))
-    imp = V.importance_by_group(q_feature_importance(spark, sf), top=20).select(
-        F.lit("importance").alias("section"), F.lit("individual").alias("type"), "model",
-        F.col("feature").alias("metric"), F.col("importance").alias("value"))
-    return long.unionByName(counts).unionByName(imp)
+    """T13 one long table: summary, metrics and confusion counts of members
+    and ensembles, the top-20 feature importances of every member, advice."""
+    return T.report_sections(evaluated(spark, sf)[1], V.importance_by_group(q_feature_importance(spark, sf), top=20))
 
 
 def _best(spark, sf):
@@ -208,14 +196,10 @@ def q_pipeline_summary(spark, sf):
     return spark.read.schema(summary.schema).json(path)
 
 
-@query("prospectivity_surface")
-def q_prospectivity_surface(spark, sf):
-    return V.prospectivity_surface(scored(spark, sf), n=200)
-
-
-@query("surface_classes")
-def q_surface_classes(spark, sf):
-    return V.surface_classes(V.prospectivity_surface(scored(spark, sf), n=200))
+@query("summary_texts")
+def q_summary_texts(spark, sf):
+    """C9 the run's findings and advice."""
+    return C.summary_texts(_summary(spark, sf))
 
 
 @query("model_roundtrip")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from terrascore.operators import score as C
 from terrascore.operators import select as L
 from terrascore.operators import spatial as V
-from terrascore.operators.features import ratio, share_index
+from terrascore.config import TESTDATA
+from terrascore.operators import features as FE
 from terrascore.operators.clean import clean_data
 from terrascore.plans import sqltext as Q
 from terrascore.plans.queries_eval import rnd
@@ -137,54 +138,98 @@ def q_association_matrix(spark, sf):
     return L.correlation_pairs(s, EL).withColumn("r", F.round("r", 6))
 
 
-_IDX_SQL = {"sericite_index": Q.FEATURE_SQL["sericite_index"], "Cu_Pb_ratio": Q.FEATURE_SQL["Cu_Pb_ratio"]}
+_IDX = [n for n in FE.created_features(TESTDATA) if "index" in n or "ratio" in n]
+_IDX_CTE = (Q.SC.rstrip() + ",\n" + Q.MEAN_CTE + """,
+idx AS (SELECT lithology, """ + ", ".join(f"COALESCE({Q.FEATURE_SQL[n]}, 0) AS {n}" for n in _IDX) + """ FROM clean, mn)""")
 
 
-@query("boxstats_by_top_category", Q.SC.rstrip() + """,
-idx AS (SELECT lithology, """ + ", ".join(f"COALESCE({e}, 0) AS {n}" for n, e in _IDX_SQL.items()) + """ FROM clean),
+@query("boxstats_by_top_category", _IDX_CTE + """,
 top AS (SELECT lithology FROM idx GROUP BY lithology ORDER BY COUNT(*) DESC, lithology LIMIT 6),
 sub AS (SELECT * FROM idx WHERE lithology IN (SELECT lithology FROM top))
-""" + _box_sql("sub", "lithology", list(_IDX_SQL)))
+""" + _box_sql("sub", "lithology", _IDX))
 def q_boxstats_by_top_category(spark, sf):
-    from terrascore.config import TESTDATA as P
-    from terrascore.functions.expr import finite_or_zero
-    d = clean_data(samples(spark, sf))
-    d = d.select("lithology",
-                 finite_or_zero(share_index([P.c("K2O_%")], [P.c("Na2O_%")], eps=0.001)).alias("sericite_index"),
-                 finite_or_zero(ratio(P.c("Cu_ppm"), P.c("Pb_ppm"), 0.001)).alias("Cu_Pb_ratio"))
-    return rnd(V.boxstats_by_top_category(d, "lithology", list(_IDX_SQL), k=6))
+    """V3 every index and ratio by the six most frequent categories."""
+    d = FE.engineer_features(clean_data(samples(spark, sf)), TESTDATA)
+    return rnd(V.boxstats_by_top_category(d, "lithology", V.index_ratio_columns(d.columns), k=6))
+
+
+@query("index_histograms", _IDX_CTE + " " + " UNION ALL ".join(f"""
+SELECT '{c}' AS feature, bin, ROUND(lo + bin * ((hi - lo) / 30), 6) AS bin_start, ROUND(lo + (bin + 1) * ((hi - lo) / 30), 6) AS bin_end, COUNT(*) AS n
+FROM (SELECT lo, hi, CAST(least(floor(({c} - lo) / ((hi - lo) / 30)), 29) AS INTEGER) AS bin
+      FROM idx, (SELECT MIN({c}) AS lo, MAX({c}) AS hi FROM idx)) GROUP BY bin, lo, hi""" for c in _IDX))
+def q_index_histograms(spark, sf):
+    """V3 where there is no category: 30 bins of every index and ratio."""
+    d = FE.engineer_features(clean_data(samples(spark, sf)), TESTDATA)
+    return rnd(V.histogram(d, V.index_ratio_columns(d.columns)))
 
 
 @query("spatial_layers", Q.S + " UNION ALL ".join(
     f"SELECT sample_id, xcoord AS x, ycoord AS y, '{n}' AS layer, CAST({e} AS DOUBLE) AS value FROM samples"
     for n, e in [("likely", "likely"), ("fault_dist", "fault_dist"), ("q2", "q2"),
-                 ("log1p_q2", "ROUND(ln(1 + q2), 6)")]))
+                 ("log1p_q2", "ROUND(ln(1 + q2), 6)")]) + """
+UNION ALL SELECT sample_id, xcoord, ycoord, 'category', CAST(r AS DOUBLE)
+FROM samples LEFT JOIN (SELECT lithology, row_number() OVER (ORDER BY COUNT(*) DESC, lithology) - 1 AS r FROM samples
+                        WHERE lithology IS NOT NULL GROUP BY lithology) t USING (lithology)""")
 def q_spatial_layers(spark, sf):
-    """V4 label, distance, element and log1p(element) (F24) layers."""
-    from terrascore.operators.features import log1p
-
-    s = samples(spark, sf)
+    """V4 label, distance, element, log1p(element) (F24) and category layers."""
+    s = V.category_layer(samples(spark, sf), "lithology")
     return V.spatial_layers(s, {"likely": F.col("likely"), "fault_dist": F.col("fault_dist"), "q2": F.col("q2"),
-                                "log1p_q2": F.round(log1p("q2"), 6)})
+                                "log1p_q2": F.round(FE.log1p("q2"), 6), "category": F.col("category_rank")})
 
 
 G = 200
 
 
-@query("idw_grid", Q.S.rstrip() + f""",
-ext AS (SELECT MIN(xcoord) AS x0, MAX(xcoord) AS x1, MIN(ycoord) AS y0, MAX(ycoord) AS y1 FROM samples
-        WHERE q2 IS NOT NULL),
+def _grid_sql(src: str, z: str) -> str:
+    return f"""ext AS (SELECT MIN(xcoord) AS x0, MAX(xcoord) AS x1, MIN(ycoord) AS y0, MAX(ycoord) AS y1 FROM {src}
+        WHERE {z} IS NOT NULL),
 gx AS (SELECT i AS ix, CASE WHEN i = {G - 1} THEN x1 ELSE i * ((x1 - x0) / {G - 1}) + x0 END AS gx
        FROM range({G}) t(i), ext),
 gy AS (SELECT i AS iy, CASE WHEN i = {G - 1} THEN y1 ELSE i * ((y1 - y0) / {G - 1}) + y0 END AS gy
        FROM range({G}) t(i), ext),
-pts AS (SELECT xcoord AS x, ycoord AS y, q2 AS z FROM samples WHERE q2 IS NOT NULL),
+pts AS (SELECT xcoord AS x, ycoord AS y, {z} AS z FROM {src} WHERE {z} IS NOT NULL),
 pw AS (SELECT ix, iy, gx, gy, z,
               1.0 / pow(CASE WHEN sqrt((gx - x) * (gx - x) + (gy - y) * (gy - y)) = 0 THEN 1e-10
                              ELSE sqrt((gx - x) * (gx - x) + (gy - y) * (gy - y)) END, 2) AS w
-       FROM gx, gy, pts)
-SELECT CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, ROUND(gx, 6) AS gx, ROUND(gy, 6) AS gy,
+       FROM gx, gy, pts),
+grid AS (SELECT CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, ROUND(gx, 6) AS gx, ROUND(gy, 6) AS gy,
        ROUND(SUM(w * z) / SUM(w), 6) AS z
-FROM pw GROUP BY ix, iy, gx, gy""")
+FROM pw GROUP BY ix, iy, gx, gy)"""
+
+
+@query("idw_grid", Q.S.rstrip() + ",\n" + _grid_sql("samples", "q2") + "\nSELECT * FROM grid")
 def q_idw_grid(spark, sf):
     return rnd(V.idw_grid(samples(spark, sf), "xcoord", "ycoord", "q2", G, G))
+
+
+_SURFACE = SCORED.rstrip() + ",\n" + _grid_sql("(SELECT xcoord, ycoord, greatest(0.0, least(1.0, raw_score)) AS raw_score FROM scored)", "raw_score")
+
+
+@query("prospectivity_surface", _SURFACE + "\nSELECT * FROM grid")
+def q_prospectivity_surface(spark, sf):
+    """V7 the surface of the scores."""
+    return rnd(V.prospectivity_surface(scored_samples(spark, sf), n=G))
+
+
+@query("surface_classes", _SURFACE + """
+SELECT CAST((z >= 0.3) AS INTEGER) + CAST((z >= 0.5) AS INTEGER) + CAST((z >= 0.7) AS INTEGER) + CAST((z >= 0.9) AS INTEGER) AS level_class,
+       COUNT(*) AS cells FROM grid GROUP BY 1""")
+def q_surface_classes(spark, sf):
+    """V8 cells of the surface by contour class."""
+    return V.surface_classes(rnd(V.prospectivity_surface(scored_samples(spark, sf), n=G)))
+
+
+@query("predictions_csv", SCORED + f"""
+SELECT sample_id, {_RESCALE} AS prospectivity_score, xcoord, ycoord, fault_dist, CAST({_RESCALE} > 0.7 AS INTEGER) AS prospectivity_class,
+       ROUND(raw_score, 6) AS raw_score FROM scored""")
+def q_predictions_csv(spark, sf):
+    """S3 the predictions written as CSV with a header and read back."""
+    import uuid
+
+    from terrascore.session import checkpoint_root
+    from terrascore.sources.sinks import write_predictions
+
+    path = f"{checkpoint_root(spark).rstrip('/')}/predictions-{uuid.uuid4().hex}"
+    write_predictions(q_rescale_scores(spark, sf), path)
+    return spark.read.option("header", True).schema(
+        "sample_id long, prospectivity_score double, xcoord double, ycoord double, fault_dist double, prospectivity_class int, raw_score double").csv(path)

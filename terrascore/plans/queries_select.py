@@ -152,6 +152,76 @@ def q_selection_report(spark, sf):
     return rep.select("method", "n_features", F.array_join("first_features", ",").alias("first_features"))
 
 
+@query("selection_score_tops", ALL_SEL + """,
+votes AS (SELECT feature, CAST(COUNT(DISTINCT method) AS DOUBLE) AS score FROM choices GROUP BY feature),
+tops AS (SELECT 'mutual_info' AS method, rank, feature, score FROM mrank
+         UNION ALL SELECT 'ensemble_votes', row_number() OVER (ORDER BY score DESC, feature), feature, score FROM votes)
+SELECT method, CAST(rank AS INTEGER) AS rank, feature, ROUND(score, 6) AS score FROM tops WHERE rank <= 20""")
+def q_selection_score_tops(spark, sf):
+    """L9/L10 the first rows (10 in the report, 20 in the summary) of each score table."""
+    ch, scores = _stat_choices(spark, sf)
+    votes = ch.groupBy("feature").agg(F.count_distinct("method").alias("score"))
+    return L.score_tops({"mutual_info": scores, "ensemble_votes": votes}, 20).withColumn("score", F.round("score", 6))
+
+
+_COLS = """
+SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS pos, feature
+FROM (UNPIVOT (SELECT typeof(COLUMNS(*)) FROM (SELECT eng.*, """ + ", ".join(
+    f"({Q.BAND_SQL}) = '{b}' AS fault_cat_{b}" for b in Q.BAND_LABELS) + """ FROM eng) LIMIT 1)
+      ON COLUMNS(*) INTO NAME feature VALUE kind)
+WHERE kind IN ('DOUBLE', 'FLOAT', 'BIGINT', 'INTEGER') AND feature NOT IN ('sample_id', 'xcoord', 'ycoord', 'likely')"""
+_WALK = Q.SC.rstrip() + ",\n" + Q.QUANT_CTE + ",\n" + Q.MEAN_CTE + ",\n" + Q.DENS_CTE + ",\n" + _eng_cte()
+
+
+@query("feature_columns", _WALK + ",\nwalk AS (" + _COLS + ")\nSELECT feature FROM walk")
+def q_feature_columns(spark, sf):
+    """P6 the columns that are features, by type: band dummies, strings, key,
+    target and coordinates are none."""
+    cols = C.feature_columns(FE.engineer_features(clean_samples(spark, sf), TESTDATA))
+    return spark.createDataFrame([(c,) for c in cols], "feature string")
+
+
+@query("feature_categories", _WALK + ",\nwalk AS (" + _COLS + """)
+SELECT feature, CASE WHEN feature = 'fault_dist' THEN 'structural' WHEN feature = 'lineament' THEN 'structural'
+                     WHEN contains(feature, 'index') OR contains(feature, 'ratio') OR contains(feature, 'anomaly') THEN 'engineered'
+                     ELSE 'other' END AS category FROM walk""")
+def q_feature_categories(spark, sf):
+    """F23 the category of each feature of the engineered table."""
+    cols = C.feature_columns(FE.engineer_features(clean_samples(spark, sf), TESTDATA))
+    return spark.createDataFrame(FE.feature_categories(cols), "feature string, category string")
+
+
+@query("feature_groups", _WALK + ",\nwalk AS (" + _COLS + """),
+made AS (SELECT feature FROM walk WHERE feature NOT IN ('q1', 'q2', 'q3', 'q4', 'q5', 'lineament', 'fault_dist')
+         UNION ALL SELECT 'fault_cat_' || unnest(['very_close', 'close', 'moderate', 'far', 'very_far']))
+SELECT 'engineered_alteration' AS grp, feature FROM made WHERE contains(feature, 'index') OR contains(feature, 'ratio')
+UNION ALL SELECT 'engineered_anomaly', feature FROM made WHERE contains(feature, 'anomaly')
+UNION ALL SELECT 'engineered_spatial', feature FROM made WHERE contains(feature, 'fault') OR contains(feature, 'lineament') OR contains(feature, 'mag')
+UNION ALL SELECT 'engineered_ree', feature FROM made WHERE contains(feature, 'REE') OR contains(feature, 'Eu_anomaly')""")
+def q_feature_groups(spark, sf):
+    """F23 the groups of created features of the engineered table."""
+    base = clean_samples(spark, sf)
+    made = [c for c in FE.engineer_features(base, TESTDATA).columns if c not in base.columns]
+    return spark.createDataFrame(FE.feature_groups(made, {"none": []}), "grp string, feature string")
+
+
+_GROUPED = """
+SELECT 'mutual_info' AS model, feature, ROUND(score, 6) AS importance, rank,
+       CASE WHEN feature IN ('fault_dist', 'lineament') THEN 'structural'
+            WHEN contains(feature, 'index') OR contains(feature, 'ratio') OR contains(feature, 'anomaly') THEN 'engineered'
+            ELSE 'other' END AS category
+FROM mrank WHERE rank <= 20"""
+
+
+@query("scores_by_group", SX + ",\n" + POS + ",\n" + EDGES + ",\n" + MI + _GROUPED)
+def q_scores_by_group(spark, sf):
+    """V5 mutual information as importance, with feature groups."""
+    from terrascore.operators import spatial as V
+
+    s = L.mi_scores(features_frame(spark, sf), FEATS, "likely").select(F.lit("mutual_info").alias("model"), "feature", F.col("score").alias("importance"))
+    return V.importance_by_group(s).withColumn("importance", F.round("importance", 6)).withColumn("rank", F.col("rank").cast("long"))
+
+
 # ---------------------------------------------------------------- model-based selectors (rows only)
 
 @query("select_rfe")
