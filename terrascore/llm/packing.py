@@ -21,27 +21,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrascore.llm.shared import worker_state
 from terrascore.operators.ranks import ordinal_rank
 from terrascore.session import materialize
 
 CAPACITY = 4096
 SEPARATOR = 1
-#: pre-tokens whose ids a worker remembers; beyond it starts afresh
-MEMO = 400_000
+#: bytes of words and their ids, about, in each of the two halves of a worker's memo
+MEMO_BYTES = 64 << 20
+#: longest remembered word
+MEMO_WORD = 48
+#: characters of text encoded at once
+CHUNK = 4 << 20
 
-_WORKER: dict = {}  # tokenizer and memo of this worker process, by tokenizer text
 
-
-class _Encoder:
-    """The tokenizer with a memo by pre-token.
+class _Encoder(dict):
+    """The tokenizer with a memo from a word between white space to its ids.
 
     The fast way holds for Latin text in NFC with plain white space and no
     special token: there the pre-tokenizer's split, made on the lower-cased
-    text, gives pieces whose ids don't depend on what stands around them.
-    Any other text goes to the tokenizer as a whole.
+    text, gives pieces that hold no white space and whose ids don't depend on
+    what stands around them.  Any other text goes to the tokenizer as a whole.
     """
 
     # the tokenizer's own split pattern for such text (fixed value)
@@ -50,38 +54,81 @@ class _Encoder:
 
     def __init__(self, tokenizer_json: str):
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(tokenizer_json)
         self.model = self.whole.model
-        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.latin = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.memo: dict[str, bytes] = {}
+        # byte-level letters: printable bytes stand for themselves, the others for U+0100 onwards
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = (b for b in range(256) if b not in plain)
+        self.letters = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+        self.size, self.older = 0, {}
+
+    def _split(self, word: str) -> list[str]:
+        if word.isalpha():
+            return [word]
+        if word[:-1].isalpha():
+            return [word[:-1], word[-1]]  # what no letter is stands alone
+        return (self.ASCII if word.isascii() else self.latin).findall(word)
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            out = []
+            for w in self._split(word):
+                mapped = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
+                out += [t.id for t in self.model.tokenize(mapped)]
+            ids = array("I", out).tobytes()
+        if len(word) <= MEMO_WORD:
+            if self.size > MEMO_BYTES:  # words in use come back from the older half
+                self.older, self.size = dict(self), 0
+                self.clear()
+            self[word] = ids
+            self.size += 160 + len(word) + len(ids)  # with what Python adds to each
+        return ids
+
+    def plain(self, text: str) -> bool:
+        return not self.OTHER.search(text) and (text.isascii() or unicodedata.is_normalized("NFC", text))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.OTHER.search(text) or not unicodedata.is_normalized("NFC", text):
-            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        pre = (self.ASCII if text.isascii() else self.latin).findall(text.lower())
-        memo = self.memo
-        try:
-            return b"".join([memo[w] for w in pre])
-        except KeyError:
-            pass
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in pre:
-            if w not in memo:
-                mapped = w if w.isascii() else self.to_bytes.pre_tokenize_str(w)[0][0]
-                memo[w] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-        return b"".join([memo[w] for w in pre])
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text.  The texts' words are split and made distinct
+        by Arrow, so that the memo is asked once for each distinct word."""
+        for part in _chunks(texts):
+            plain = [self.plain(t) for t in part]
+            words = pc.ascii_split_whitespace(pa.array([t.lower() if ok else "" for t, ok in zip(part, plain)], pa.string()))
+            coded = words.values.dictionary_encode()
+            found = list(map(self.__getitem__, coded.dictionary.to_pylist()))
+            flat = np.frombuffer(b"".join(found), "<u4")
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            at = coded.indices.to_numpy()
+            length, first = sizes[at], (np.cumsum(sizes) - sizes)[at]
+            ends = np.concatenate([[0], np.cumsum(length)])
+            # each word's ids in their place
+            blob = flat[np.repeat(first - ends[:-1], length) + np.arange(ends[-1])].tobytes()
+            edges = (4 * ends[words.offsets.to_numpy()]).tolist()
+            for i, ok in enumerate(plain):
+                yield blob[edges[i]:edges[i + 1]] if ok else array("I", self.whole.encode(part[i], add_special_tokens=False).ids).tobytes()
+
+
+def _chunks(texts: list[str]) -> Iterator[list[str]]:
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= CHUNK:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def _encoder(tokenizer_json: str) -> _Encoder:
-    if tokenizer_json not in _WORKER:
-        _WORKER.clear()
-        _WORKER[tokenizer_json] = _Encoder(tokenizer_json)
-    return _WORKER[tokenizer_json]
+    return worker_state(("packing", zlib.crc32(tokenizer_json.encode())), lambda: _Encoder(tokenizer_json))
 
 
 def pieces(docs: DataFrame, tokenizer_file: str | None = None, capacity: int = CAPACITY,
@@ -101,9 +148,9 @@ def pieces(docs: DataFrame, tokenizer_file: str | None = None, capacity: int = C
         coder = _encoder(sent.value)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            texts = batch.column(1)
-            for doc, text in zip(batch.column(0).to_pylist(), (x.as_py() for x in texts)):
-                ids = coder.encode(text or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode_all(texts)):
+                ids += end
                 for i, at in enumerate(range(0, len(ids), step)):
                     part = ids[at:at + step]
                     out["doc_id"].append(doc)

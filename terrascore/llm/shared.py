@@ -46,12 +46,29 @@ def worker_state(key, make: Callable):
 
     kept = sys.modules.setdefault("_terrascore_worker", types.ModuleType("_terrascore_worker"))
     if getattr(kept, "key", None) != key:
-        kept.key, kept.value = None, None
+        if getattr(kept, "value", None) is not None:
+            kept.key, kept.value = None, None
+            give_back()
         kept.value = make()
         kept.key = key
     return kept.value
 
 
+def give_back() -> None:
+    """Hands memory that Python and Arrow no longer use to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def worker_memo(key, make: Callable):
     """Like ``worker_state`` for small tables, of which a worker keeps all."""
     import sys
