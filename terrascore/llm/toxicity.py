@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrascore.llm.shared import documents, fold
+from terrascore.llm.shared import documents, fold, worker_state
 from terrascore.session import materialize
 
 #: labelled documents, at most, of each label in each of the two fits
@@ -120,14 +120,11 @@ def fit_dictionaries(rows: list[tuple[str | None, int]]) -> tuple[bytes, bytes]:
     return (_dictionary(TOXIC_BYTES, toxic) if toxic else b""), _dictionary(ORDINARY_BYTES, ordinary)
 
 
-_WORKER: dict = {}
-
-
 def _compressors(toxic: bytes, ordinary: bytes):
+    """The ordinary and the joint compressor, kept by the worker."""
     import zstandard as z
 
-    key = zlib.crc32(toxic + ordinary)
-    if key not in _WORKER:
+    def both():
         how = z.ZstdCompressionParameters(window_log=17, chain_log=16, hash_log=16, search_log=4, min_match=3, target_length=16,
                                           strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
 
@@ -136,9 +133,9 @@ def _compressors(toxic: bytes, ordinary: bytes):
             known.precompute_compress(compression_params=how)
             return z.ZstdCompressor(dict_data=known, compression_params=how)
 
-        _WORKER.clear()
-        _WORKER[key] = made(ordinary), made(toxic + ordinary)
-    return _WORKER[key]
+        return made(ordinary), made(toxic + ordinary)
+
+    return worker_state(("toxicity", len(toxic), zlib.crc32(toxic + ordinary)), both)
 
 
 def savings(text: str | None, plain, both) -> np.ndarray:
@@ -218,17 +215,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: dict[int, int] | None = No
     return dictionaries, ratios, *logistic(np.array([features(s, ratios) for s in saved]), y)
 
 
-def score(docs: DataFrame, model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model, keep: Sequence[str] = ("doc_id",), out: Sequence[str] = ("score", "predicted")) -> DataFrame:
     """(doc_id, text) -> doc_id, score, predicted; a row for each row.  NULL,
     empty and wordless texts get the score of a text that saves nothing;
     without a model every score is 0.  ``keep`` names the columns of ``docs``
-    that go along instead of doc_id."""
+    that go along instead of doc_id, ``out`` the two new ones."""
     if model is None:
-        return docs.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return docs.select(*keep, F.lit(0.0).alias(out[0]), F.lit(0).alias(out[1]))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     read = [*keep, *(["text"] if "text" not in keep else [])]
-    at, made = read.index("text"), [*keep, "score"]
-    kinds = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep] + [T.StructField("score", T.DoubleType())])
+    at, made = read.index("text"), [*keep, out[0]]
+    kinds = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep] + [T.StructField(out[0], T.DoubleType())])
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionaries, ratios, weights, intercept = sent.value
@@ -239,7 +236,7 @@ def score(docs: DataFrame, model, keep: Sequence[str] = ("doc_id",)) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(made) - 1], pa.array(1 / (1 + np.exp(-logit)))], names=made)
 
     return (docs.select(*read).mapInArrow(rate, kinds)
-            .select(*made, (F.col("score") >= THRESHOLD).cast("int").alias("predicted")))
+            .select(*made, (F.col(out[0]) >= THRESHOLD).cast("int").alias(out[1])))
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """The pipeline stage by stage against plain Python on a small table."""
 
+import os
 import re
+import subprocess
+import sys
 
 import corpus_pipeline as P
 from terrascore.llm import langid, toxicity
@@ -89,3 +92,37 @@ def test_mix_draws_rows_without_id_one_by_one(spark):
     by = {r["source"]: r["count"] for r in P.mixed(spark, docs, SF).groupBy("source").count().collect()}
     # 1.5 x 180 documents by weights 3, 1, 2, at most 120 of a source
     assert by == {"a": 120, "b": 50, "c": 100}
+
+
+def test_columns_with_clashing_names(spark):
+    text = " ".join(f"the word{i} of a house" for i in range(30))
+    rows = [(1, text, "en", "a", 1, 0.5, 7, "x", 3, 9, 1), (1, text, "en", "a", 1, 0.5, 7, "x", 3, 9, 1), (2, text + " b", "en", "a", 1, 0.5, 8, "y", 4, 9, 2),
+            (5, "other words of the house and a garden", "en", "b", 1, 0.1, 9, "z", 5, 9, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, predicted long, "
+                                       "lang_pred string, _id long, r long, size long")
+    before = {r["doc_id"]: (r["score"], r["predicted"], r["lang_pred"], r["_id"], r["r"], r["size"]) for r in docs.collect()}
+    one = docs
+    for _, stage in P.STAGES[:-1]:
+        one = stage(spark, one, SF)
+        assert one.columns == docs.columns
+        found = one.collect()
+        assert found and all((r["score"], r["predicted"], r["lang_pred"], r["_id"], r["r"], r["size"]) == before[r["doc_id"]] for r in found)
+    assert {r["doc_id"] for r in found} == {1, 5}
+    assert P.packed(spark, one, SF).count() == len(found)
+
+
+def test_workers_need_no_installed_package(tmp_path):
+    """Run where only the driver's path has the package."""
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+import __spark_entry__ as E
+from terrascore.session import get_session
+spark = get_session("local[2]", shuffle_partitions=4, extra={{"spark.checkpoint.dir": {str(tmp_path)!r}, "spark.driver.memory": "2g"}})
+for name in ("op2_neardup", "op3_topk", "op4_langid", "op5_html", "op8_packing", "op10_toxicity", "op11_chat", "op12_trie", "op13_resample"):
+    print(name, E.queries()[name](spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0 and len(done.stdout.split()) == 18, done.stderr[-2000:]
