@@ -22,6 +22,7 @@ from terrascore.operators import score as C
 from terrascore.operators import spatial as V
 from terrascore.plans import training as PL
 from terrascore.plans.registry import query
+from terrascore.plans.sqltext import SC
 from terrascore.session import checkpoint_root, materialize
 from terrascore.sources.fixtures import samples
 
@@ -230,7 +231,9 @@ def q_prepare_scoring(spark, sf):
     return x.select("sample_id", vector_to_array("features").alias("features"))
 
 
-@query("dbf_source")
+@query("dbf_source", SC + """
+SELECT sample_id, xcoord, ycoord, CAST(q1 AS DOUBLE) AS q1, q2, q3, q4, q5, CAST(lineament AS BIGINT) AS lineament, fault_dist, lithology, formation,
+       CAST(likely AS BIGINT) AS likely FROM clean""")
 def q_dbf_source(spark, sf):
     """S1/S2 the cleaned sample table written as dBase part files (one per
     task) and read back through the dbf source (record-range partitions)."""

@@ -8,10 +8,12 @@ into an Arrow batch.  The schema comes from the first file's field
 descriptors (C -> string, N/F -> long or double, L -> boolean,
 D -> date).
 
-``df.write.format("dbf").save(folder)`` writes one part file per task from
-its Arrow batches, column-wise (strings sized to the longest value of
-that task, numbers as N fields:
-integers with 0 decimals, doubles with ``decimals`` decimals, default 10).
+``df.write.format("dbf").save(folder)`` writes from Arrow batches,
+column-wise: a task writes a part file for every ``recordsPerFile`` records
+(strings sized to the file's longest value, integers with 0 decimals,
+doubles in their shortest form that reads back as the same number), so it
+holds one part at a time.  The parts are staged beside the table and
+published when the job commits; an attempt that failed or was repeated leaves nothing in the table.
 Files are opened through ``pyarrow.fs``, so the folder may be a local or
 mounted path or a URI of shared storage (``hdfs://``, ``s3://``, ...).
 """
@@ -95,6 +97,10 @@ def _spark_type(ftype: str, length: int, dec: int):
     return StringType()
 
 
+#: records decoded at once
+READ_RECORDS = 50_000
+
+
 class DbfPartition(InputPartition):
     def __init__(self, path: str, start: int, count: int):
         super().__init__((path, start, count))
@@ -106,7 +112,7 @@ class DbfReader(DataSourceReader):
         self.options, self.schema = options, schema
 
     def partitions(self):
-        per = int(self.options.get("recordsPerPartition", 1_000_000))
+        per = int(self.options.get("recordsPerPartition", 250_000))
         parts = []
         for f in _files(self.options["path"]):
             n = read_header(f)[0]
@@ -115,9 +121,6 @@ class DbfReader(DataSourceReader):
         return parts or [DbfPartition("", 0, 0)]
 
     def read(self, partition):
-        import numpy as np
-        import pyarrow as pa
-
         if not partition.count:
             return
         _, hlen, rlen, fields = read_header(partition.path)
@@ -125,7 +128,13 @@ class DbfReader(DataSourceReader):
         f, p = _fs(partition.path)
         with f.open_input_file(p) as fh:
             fh.seek(hlen + partition.start * rlen)
-            buf = fh.read(partition.count * rlen)
+            for left in range(partition.count, 0, -READ_RECORDS):
+                yield self._decoded(fh.read(min(left, READ_RECORDS) * rlen), rlen, fields, enc)
+
+    def _decoded(self, buf, rlen, fields, enc):
+        import numpy as np
+        import pyarrow as pa
+
         m = np.frombuffer(buf, dtype=np.uint8)[: (len(buf) // rlen) * rlen].reshape(-1, rlen)
         m = m[m[:, 0] != ord("*")]  # deleted records
         cols = []
@@ -165,7 +174,7 @@ class DbfReader(DataSourceReader):
                 part = [np.ascontiguousarray(c[:, a:b]).view(f"U{b - a}").ravel() for a, b in ((0, 4), (4, 6), (6, 8))]
                 iso = np.char.add(np.char.add(np.char.add(np.char.add(part[0], "-"), part[1]), "-"), part[2])
                 cols.append(pa.array(iso.astype("datetime64[D]"), pa.date32(), mask=~ok))
-        yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in self.schema.fields])
+        return pa.RecordBatch.from_arrays(cols, names=[f.name for f in self.schema.fields])
 
 
 def _to_float(v: str) -> float:
@@ -176,8 +185,10 @@ def _to_float(v: str) -> float:
 
 
 class DbfCommit(WriterCommitMessage):
-    def __init__(self, path: str, rows: int):
-        self.path, self.rows = path, rows
+    """The staged part files of a task that ended well."""
+
+    def __init__(self, names: list[str], rows: int):
+        self.names, self.rows = names, rows
 
 
 def _fixed_width(values, width: int, right: bool):
@@ -192,83 +203,127 @@ def _fixed_width(values, width: int, right: bool):
     return np.frombuffer(b.tobytes(), dtype=np.uint8).reshape(-1, width)
 
 
+def _encoded(fld, col) -> tuple[tuple[str, str, int, int], object]:
+    """A column of one part -> (name, type, length, decimals), bytes block."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    t, n = fld.dataType, len(col)
+    valid = pc.is_valid(col).to_numpy(zero_copy_only=False)
+    if isinstance(t, StringType):
+        txt = pc.fill_null(col, "").to_numpy(zero_copy_only=False).astype(str)
+        enc = np.char.encode(txt, "latin-1")  # an unmappable character is an error
+        w = max(int(np.char.str_len(enc).max()) if n else 1, 1)
+        if w > 254:
+            raise ValueError(f"{fld.name}: a dBase text field holds 254 bytes, a value has {w}")
+        return (fld.name, "C", w, 0), _fixed_width(enc, w, right=False)
+    if isinstance(t, (LongType, IntegerType)):
+        ln, d, ftype = 20, 0, "N"
+        txt = np.char.mod("%d", pc.fill_null(col, 0).to_numpy(zero_copy_only=False))
+    elif isinstance(t, BooleanType):
+        ln, d, ftype = 1, 0, "L"
+        txt = np.where(pc.fill_null(col, False).to_numpy(zero_copy_only=False), "T", "F")
+    elif isinstance(t, DateType):
+        ln, d, ftype = 8, 0, "D"
+        days = pc.fill_null(col.cast(pa.int32()), 0).to_numpy(zero_copy_only=False)
+        txt = np.char.replace(days.astype("datetime64[D]").astype("U10"), "-", "")
+    else:
+        # a NaN is a missing value; the shortest form of a double has 24 characters at most
+        ln, d, ftype = 25, 10, "N"
+        num = col.cast(pa.float64())
+        valid &= ~pc.fill_null(pc.is_nan(num), False).to_numpy(zero_copy_only=False)
+        if pc.any(pc.is_inf(num)).as_py():
+            raise ValueError(f"{fld.name}: a dBase number field holds no infinity")
+        txt = pc.fill_null(num, 0.0).cast(pa.string()).to_numpy(zero_copy_only=False).astype(str)
+    txt = np.where(valid, txt, "")
+    return (fld.name, ftype, ln, d), _fixed_width(np.char.encode(txt.astype(str), "latin-1"), ln, right=(ftype == "N"))
+
+
 class DbfWriter(DataSourceArrowWriter):
     """Arrow batches in; each column becomes a block of fixed-width bytes
-    (numpy string operations) that is copied into the record buffer."""
+    (numpy string operations) that is copied into the record buffer.
+
+    Made on the driver; tasks write into a staging folder of the job, and
+    ``commit`` moves the files of the attempts that Spark accepted."""
 
     def __init__(self, options, schema):
         self.options, self.schema = options, schema
+        self.job = uuid.uuid4().hex
+
+    def _places(self):
+        fsys, inner = _fs(self.options["path"])
+        return fsys, inner.rstrip("/"), f"{inner.rstrip('/')}/_staging-{self.job}"
 
     def write(self, iterator):
-        import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        folder = self.options["path"]
-        fsys, inner = _fs(folder)
-        fsys.create_dir(inner, recursive=True)
-        # one task's data: the string widths need a first pass
-        batches = list(iterator)
-        if not batches:
-            return DbfCommit("", 0)
-        table = pa.Table.from_batches(batches)
-        n = table.num_rows
-        dec = int(self.options.get("decimals", 10))
-        specs, blocks = [], []
         long = [f.name for f in self.schema.fields if len(f.name.encode()) > 10]
         if long:
             raise ValueError(f"dBase field names have 10 bytes at most: {', '.join(long)}")
-        for fld, col in zip(self.schema.fields, table.columns):
-            t = fld.dataType
-            name = fld.name
-            valid = pc.is_valid(col).to_numpy(zero_copy_only=False)
-            if isinstance(t, StringType):
-                txt = pc.fill_null(col, "").to_numpy(zero_copy_only=False).astype(str)
-                enc = np.char.encode(txt, "latin-1")  # an unmappable character is an error
-                w = max(int(np.char.str_len(enc).max()) if n else 1, 1)
-                if w > 254:
-                    raise ValueError(f"{fld.name}: a dBase text field holds 254 bytes, a value has {w}")
-                specs.append((name, "C", w, 0))
-                blocks.append(_fixed_width(enc, w, right=False))
-                continue
-            if isinstance(t, (LongType, IntegerType)):
-                ln, d = 20, 0
-                txt = np.char.mod("%d", pc.fill_null(col, 0).to_numpy(zero_copy_only=False))
-                ftype = "N"
-            elif isinstance(t, BooleanType):
-                ln, d, ftype = 1, 0, "L"
-                txt = np.where(pc.fill_null(col, False).to_numpy(zero_copy_only=False), "T", "F")
-            elif isinstance(t, DateType):
-                ln, d, ftype = 8, 0, "D"
-                days = pc.fill_null(col.cast(pa.int32()), 0).to_numpy(zero_copy_only=False)
-                txt = np.char.replace(days.astype("datetime64[D]").astype("U10"), "-", "")
-            else:
-                ln, d, ftype = 32, dec, "N"
-                txt = np.char.mod(f"%.{dec}f", pc.fill_null(col.cast(pa.float64()), 0.0)
-                                  .to_numpy(zero_copy_only=False))
-            txt = np.where(valid, txt, "")
-            specs.append((name, ftype, ln, d))
-            blocks.append(_fixed_width(np.char.encode(txt.astype(str), "latin-1"), ln,
-                                       right=(ftype == "N")))
+        fsys, _, staging = self._places()
+        fsys.create_dir(staging, recursive=True)
+        most = int(self.options.get("recordsPerFile", 100_000))
+        names, total, held, size = [], 0, [], 0
+
+        def part(table):
+            name = f"part-{TaskContext.get().partitionId():05d}-{len(names):05d}-{uuid.uuid4().hex[:8]}.dbf"
+            with fsys.open_output_stream(f"{staging}/{name}") as fh:
+                for piece in self._file(table):
+                    fh.write(piece)
+            names.append(name)
+
+        for batch in iterator:
+            while batch.num_rows:
+                some = batch.slice(0, most - size)
+                batch = batch.slice(some.num_rows)
+                held.append(some)
+                size += some.num_rows
+                total += some.num_rows
+                if size >= most:
+                    part(pa.Table.from_batches(held))
+                    held, size = [], 0
+        if held:
+            part(pa.Table.from_batches(held))
+        return DbfCommit(names, total)
+
+    def _file(self, table):
+        """The bytes of a part file: header, records, end mark."""
+        import numpy as np
+
+        n = table.num_rows
+        specs, blocks = zip(*[_encoded(f, c.combine_chunks()) for f, c in zip(self.schema.fields, table.columns)])
         rlen = 1 + sum(sp[2] for sp in specs)
-        hlen = 32 + 32 * len(specs) + 1
         rec = np.full((n, rlen), ord(" "), dtype=np.uint8)
         off = 1
         for blk, sp in zip(blocks, specs):
             rec[:, off:off + sp[2]] = blk
             off += sp[2]
         today = _dt.date.today()
-        header = struct.pack("<BBBBIHH20x", 3, today.year - 1900, today.month, today.day, n, hlen, rlen)
-        desc = b"".join(struct.pack("<11sc4xBB14x", nm.encode("ascii", "replace"), t.encode(), ln, d)
-                        for nm, t, ln, d in specs)
-        fname = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}.dbf"
-        path = folder.rstrip("/") + "/" + fname
-        with fsys.open_output_stream(inner.rstrip("/") + "/" + fname) as fh:
-            fh.write(header + desc + b"\x0D")
-            fh.write(rec.tobytes())
-            fh.write(b"\x1A")
-        return DbfCommit(path, n)
+        yield struct.pack("<BBBBIHH20x", 3, today.year - 1900, today.month, today.day, n, 32 + 32 * len(specs) + 1, rlen)
+        for nm, t, ln, d in specs:
+            yield struct.pack("<11sc4xBB14x", nm.encode("ascii", "replace"), t.encode(), ln, d)
+        yield b"\x0D"
+        yield rec.tobytes()
+        yield b"\x1A"
+
+    def commit(self, messages):
+        fsys, inner, staging = self._places()
+        for m in messages:
+            for name in m.names if m else ():
+                fsys.move(f"{staging}/{name}", f"{inner}/{name}")
+        self._drop(fsys, staging)
+
+    def abort(self, messages):
+        fsys, _, staging = self._places()
+        self._drop(fsys, staging)
+
+    def _drop(self, fsys, staging) -> None:
+        from pyarrow import fs
+
+        if fsys.get_file_info(staging).type == fs.FileType.Directory:
+            fsys.delete_dir(staging)
 
 
 class DbfDataSource(DataSource):

@@ -129,6 +129,54 @@ def test_dbf_refuses_what_it_cannot_hold(spark, tmp_path):
     register_dbf(spark)
     for k, df in enumerate([spark.createDataFrame([("x" * 300,)], "a string"), spark.createDataFrame([("漢",)], "a string"),
                             spark.createDataFrame([(1.0,)], "prospectivity_score double"),
-                            spark.createDataFrame([(1e40,)], "a double")]):
+                            spark.createDataFrame([(float("inf"),)], "a double")]):
         with pytest.raises(Exception, match="dBase|latin-1"):
             df.write.format("dbf").mode("append").option("path", str(tmp_path / str(k))).save()
+
+
+def test_dbf_doubles_come_back_as_they_were(spark, tmp_path):
+    from terrascore.sources.dbf import register_dbf
+
+    register_dbf(spark)
+    rnd = np.random.default_rng(0)
+    vals = [1e-12, 1e40, -2.2250738585072014e-308, 0.1 + 0.2, 1 / 3, -0.0, 5e-324, 1.7976931348623157e308, *map(float, rnd.normal(0, 1, 300) * 10.0 ** rnd.integers(-30, 30, 300))]
+    df = spark.createDataFrame([(i, v, "x" * (i % 40)) for i, v in enumerate(vals)] + [(998, None, None), (999, float("nan"), "y")], "id long, v double, s string").coalesce(1)
+    # several part files from one task, each with widths of its own
+    df.write.format("dbf").mode("append").option("recordsPerFile", 37).save(str(tmp_path / "t"))
+    assert len(os.listdir(tmp_path / "t")) == -(-(len(vals) + 2) // 37)
+    back = {r["id"]: (r["v"], r["s"]) for r in spark.read.format("dbf").option("recordsPerPartition", 10).load(str(tmp_path / "t")).collect()}
+    assert all(back[i][0] == v and (back[i][1] or "") == "x" * (i % 40) for i, v in enumerate(vals))
+    assert back[998] == (None, None) and back[999] == (None, "y")
+
+
+def test_dbf_publishes_only_what_is_committed(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyspark
+
+    from terrascore.sources.dbf import DbfWriter, register_dbf
+
+    class Task:
+        @staticmethod
+        def get():
+            return Task
+
+        @staticmethod
+        def partitionId():
+            return 0
+
+    df = spark.createDataFrame([(1, "a")], "id long, s string")
+    folder = str(tmp_path / "t")
+    w = DbfWriter({"path": folder}, df.schema)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a", "b"])], names=["id", "s"])
+    monkeypatch.setattr(pyspark, "TaskContext", Task)
+    first, again = w.write(iter([batch])), w.write(iter([batch]))  # an attempt that was lost, and its repetition
+    assert first.names != again.names and not [f for f in os.listdir(folder) if f.endswith(".dbf")]
+    w.commit([again, None])
+    monkeypatch.undo()
+    assert os.listdir(folder) == again.names
+    register_dbf(spark)
+    assert spark.read.format("dbf").load(folder).count() == 2
+    # a job that fails leaves the table as it was
+    with pytest.raises(Exception, match="dBase"):
+        spark.createDataFrame([(1, "z" * 300)], "id long, s string").write.format("dbf").mode("append").option("path", folder).save()
+    assert os.listdir(folder) == again.names
