@@ -82,14 +82,19 @@ def auc_weights(preds: DataFrame) -> DataFrame:
     return a.select("model", F.pow(F.col("roc_auc"), 2).alias("weight"))
 
 
+def mean_ranks(preds: DataFrame) -> DataFrame:
+    """(sample_id, y, avg_rank): mean over members of the ordinal rank."""
+    r = ordinal_rank(preds, ["probability", KEY], ["model"], out="rank")
+    return r.groupBy(KEY).agg(F.first("y").alias("y"), F.avg(F.col("rank").cast("double")).alias("avg_rank"))
+
+
 def rank_average(preds: DataFrame, name: str = "rank_average") -> DataFrame:
     """N6 ascending ordinal rank per member (ties by sample id), mean over
     members, divided by the largest mean rank.
 
     Ranks come from the distributed prefix-sum helper (a member's rows are
     spread over many partitions); the normaliser is one scalar aggregate."""
-    r = ordinal_rank(preds, ["probability", KEY], ["model"], out="rank")
-    g = r.groupBy(KEY).agg(F.first("y").alias("y"), F.avg(F.col("rank").cast("double")).alias("avg_rank"))
+    g = mean_ranks(preds)
     mx = g.agg(F.max("avg_rank")).collect()[0][0]
     s = g.select(KEY, "y", (F.col("avg_rank") / F.lit(float(mx or 1.0))).alias("p"))
     return _long(s, name, "p")

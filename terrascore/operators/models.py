@@ -333,12 +333,10 @@ def _meta_frame(wide: DataFrame, names: Sequence[str]) -> DataFrame:
     return va.transform(wide).select("sample_id", "features", F.col("y").cast("double").alias("label"))
 
 
-def stack(train: DataFrame, test: DataFrame, tuned: Mapping[str, Tuned], name: str = "stacking",
-          k: int = 5, parallelism: int = 4) -> DataFrame:
-    """N3 stacking: members fitted on k-1 folds predict the held-out fold
+def fit_stack(train: DataFrame, tuned: Mapping[str, Tuned], k: int = 5, parallelism: int = 4):
+    """N3 the meta-model: members fitted on k-1 folds predict the held-out fold
     (out-of-fold features for every training row), a logistic regression
-    learns from them; on the validation part it reads the members' fitted
-    (all-data) predictions.  The search has kept the winners' held-out
+    learns from them.  The search has kept the winners' held-out
     predictions; only a member that was not searched is fitted again here, by
     the ``fold`` column of ``train``."""
     names = list(tuned)
@@ -355,7 +353,15 @@ def stack(train: DataFrame, test: DataFrame, tuned: Mapping[str, Tuned], name: s
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
-    meta = LogisticRegression(maxIter=100).fit(_meta_frame(_wide(oof, names), names))
+    return LogisticRegression(maxIter=100).fit(_meta_frame(_wide(oof, names), names))
+
+
+def stack(train: DataFrame, test: DataFrame, tuned: Mapping[str, Tuned], name: str = "stacking",
+          k: int = 5, parallelism: int = 4, meta=None) -> DataFrame:
+    """N3 stacking: the meta-model (``fit_stack``) reads the predictions of the
+    members fitted on all training rows."""
+    names = list(tuned)
+    meta = meta if meta is not None else fit_stack(train, tuned, k, parallelism)
     test_preds = None
     for n in names:
         p = predict_long(tuned[n].model, test, n)

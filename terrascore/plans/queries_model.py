@@ -19,10 +19,11 @@ from terrascore.operators import features as FE
 from terrascore.operators import metrics as T
 from terrascore.operators import models as M
 from terrascore.operators import score as C
+from terrascore.operators import scorers as SC
 from terrascore.operators import spatial as V
 from terrascore.plans import training as PL
 from terrascore.plans.registry import query
-from terrascore.plans.sqltext import SC
+from terrascore.plans.sqltext import SC as CLEAN_SQL
 from terrascore.session import checkpoint_root, materialize
 from terrascore.sources.fixtures import samples
 
@@ -72,10 +73,12 @@ def evaluated(spark, sf):
         p = prepared(spark, sf)
         tuned, preds = trained(spark, sf)
         preds = materialize(preds, "predictions")
-        both = materialize(preds.unionByName(N.all_ensembles(preds)).unionByName(M.stack(p.train, p.test, tuned)),
+        meta = M.fit_stack(p.train, tuned)
+        both = materialize(preds.unionByName(N.all_ensembles(preds)).unionByName(M.stack(p.train, p.test, tuned, meta=meta)),
                            "evaluated")
-        _TRAINED[key] = both, materialize(T.evaluate_models(both), "metrics")
-    return _TRAINED[key]
+        _TRAINED[key] = both, materialize(T.evaluate_models(both), "metrics"), SC.all_scorers(
+            {n: t.model for n, t in tuned.items()}, preds, meta)
+    return _TRAINED[key][:2]
 
 
 @query("tune_model")
@@ -141,11 +144,10 @@ def q_evaluation_report(spark, sf):
 
 
 def _best(spark, sf):
-    tuned, preds = trained(spark, sf)
-    a = T.roc_auc(preds).collect()  # one row per model
-    order = list(tuned)
-    best = max(a, key=lambda r: (r["roc_auc"] or -1, -order.index(r["model"])))
-    return tuned[best["model"]], best["roc_auc"]
+    """The best of all ten models, and its AUC."""
+    metrics = evaluated(spark, sf)[1]
+    scorers = _TRAINED[(spark.sparkContext.applicationId, sf, "evaluated")][2]
+    return SC.best_scorer(scorers, metrics, [*M.MODEL_NAMES, *SC.ENSEMBLES])
 
 
 def scoring_table(spark, sf):
@@ -160,7 +162,7 @@ def scored(spark, sf):
     p = prepared(spark, sf)
     best, _ = _best(spark, sf)
     x = PL.prepare_scoring(scoring_table(spark, sf), p.state)
-    return PL.score_table(best.model, x)
+    return best.score(x)
 
 
 @query("score_samples")
@@ -205,14 +207,12 @@ def q_summary_texts(spark, sf):
 
 @query("model_roundtrip")
 def q_model_roundtrip(spark, sf):
-    """S5 save the best member, load it back, score the validation part."""
-    from terrascore.sources.sinks import load_model, save_model
-
+    """S5 save the best of all ten models, with its members, load it back,
+    score the validation part."""
     best, _ = _best(spark, sf)
-    path = f"{checkpoint_root(spark).rstrip('/')}/models/{best.name}"
-    save_model(best.model, path)
-    m = load_model(path)
-    return M.predict_long(m, prepared(spark, sf).test, best.name)
+    path = f"{checkpoint_root(spark).rstrip('/')}/scorer-{uuid.uuid4().hex}"
+    SC.save_scorer(best, path, spark)
+    return SC.load_scorer(path, spark).score(prepared(spark, sf).test)
 
 
 @query("prepare_training")
@@ -231,7 +231,7 @@ def q_prepare_scoring(spark, sf):
     return x.select("sample_id", vector_to_array("features").alias("features"))
 
 
-@query("dbf_source", SC + """
+@query("dbf_source", CLEAN_SQL + """
 SELECT sample_id, xcoord, ycoord, CAST(q1 AS DOUBLE) AS q1, q2, q3, q4, q5, CAST(lineament AS BIGINT) AS lineament, fault_dist, lithology, formation,
        CAST(likely AS BIGINT) AS likely FROM clean""")
 def q_dbf_source(spark, sf):
