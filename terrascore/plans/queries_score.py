@@ -233,3 +233,9 @@ def q_predictions_csv(spark, sf):
     write_predictions(q_rescale_scores(spark, sf), path)
     return spark.read.option("header", True).schema(
         "sample_id long, prospectivity_score double, xcoord double, ycoord double, fault_dist double, prospectivity_class int, raw_score double").csv(path)
+
+
+@query("surface_tiled")
+def q_surface_tiled(spark, sf):
+    """V7 by tiles: each cell within 0.001 of ``prospectivity_surface``."""
+    return V.prospectivity_surface(scored_samples(spark, sf), n=G, tolerance=1e-3)
