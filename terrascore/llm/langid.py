@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrascore.llm.shared import documents, fold, worker_memo
+from terrascore.llm.shared import documents, fold, join_counted, worker_memo
 
 #: labelled texts a language, at most, that the filters are fitted on
 FIT_DOCS = 1000
@@ -139,11 +139,13 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, typical: float = TYPICAL) ->
     """Labelled texts (doc_id, text, lang) -> filters; rows without text or
     lang are not used."""
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL")
-    draw = F.xxhash64(F.lit(4), "doc_id")
-    # ranks up to 1000 are limited before the shuffle, in each task
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(4), "doc_id"), 12) / F.lit(float(1 << 52))
+    # of a language's ids about twice as many as wanted lie below its bound, so its rank reads no more, however many rows it has
+    bounds = known.groupBy("lang").agg((F.lit(2.0 * fit_docs + 100) / F.approx_count_distinct("doc_id", 0.02)).alias("_bound"))
+    near = (join_counted(known.select("doc_id", "lang", draw.alias("_draw")), bounds, ["lang"]).where(F.col("_draw") < F.col("_bound"))
+            .select("doc_id", "lang", "_draw").distinct())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id"))
-    ids = (known.select("doc_id", "lang", draw.alias("_draw")).withColumn("_r", rank).where(F.col("_r") <= fit_docs)
-           .select(F.col("doc_id").alias("_id")).distinct())
+    ids = near.withColumn("_r", rank).where(F.col("_r") <= fit_docs).select(F.col("doc_id").alias("_id")).distinct()
     sample = known.select("doc_id", "text", "lang").join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
