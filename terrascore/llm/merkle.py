@@ -17,6 +17,8 @@ than a range.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,13 +92,21 @@ def locate_edits(pairs: DataFrame, old: str = "old", new: str = "new") -> DataFr
         .otherwise(paragraph_edits(i, s, F.get(F.col(old), i))))))
 
 
+#: text of a range of documents, about
+RANGE_BYTES = 64 << 20
+
+
 def _range_of(doc_id: Column, bounds: list[int]) -> Column:
     """Number of bounds above doc_id (they fall), by a search in two steps."""
     if not bounds:
         return F.lit(0)
-    step = 64
-    every = F.array(*[F.lit(b).cast("long") for b in bounds])
-    coarse = F.array(*[F.lit(b).cast("long") for b in bounds[step - 1::step]] or [F.lit(None).cast("long")])
+    step = max(8, math.isqrt(len(bounds)))
+    some = bounds[step - 1::step]
+
+    def listed(values):  # one literal, however many bounds
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+    every, coarse = listed(bounds), listed(some) if some else F.array().cast("array<bigint>")
     k = F.size(F.filter(coarse, lambda b: b > doc_id)) * step
     found = k + F.size(F.filter(F.slice(every, k + 1, step), lambda b: b > doc_id))
     return F.when(doc_id.isNull(), F.lit(len(bounds))).otherwise(found)
@@ -107,9 +117,11 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     descending doc_id, NULL last, equal ids by their text's hash; after the
     last comes the first."""
     spark = docs.sparkSession
-    ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if ranges is None:  # of about RANGE_BYTES, two a task at least
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     probabilities = [(i + 1) / ranges for i in range(ranges - 1)]
-    bounds = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), probabilities or [0.5], 100 * ranges)).first()[0] or []
+    bounds = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), probabilities or [0.5], min(100 * ranges, 1_000_000))).first()[0] or []
     bounds = sorted(set(bounds), reverse=True)  # at most one per range
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("_hash", F.xxhash64("text")).withColumn("_range", _range_of(F.col("doc_id").cast("long"), bounds))
