@@ -8,7 +8,7 @@ picks the best set of kept nodes in which every kept node's parent is kept,
 so a dropped ancestor never has a kept descendant.
 
 Training pages are drawn by a hash of page_id (``FIT_PAGES``) from those
-that have an article or main element.  Their own
+that have an article or main element, or are generated if none has.  Their own
 semantic elements give first labels; each page's pieces are also laid out
 again in other markup (plain divisions, side columns, notices, comments,
 forms), with the labels known from the layout, so that the trees learn from
@@ -78,9 +78,10 @@ def _kind(tag: str) -> int:
             "table": 8, "tr": 8, "td": 8, "th": 8, "#run": 9}.get(tag, 0)
 
 
-def parse(page: str | None) -> tuple[list[list], list[tuple[int, str]]]:
+def parse(page: str | None, mark: str | None = None) -> tuple[list[list], list[tuple[int, str]]]:
     """A page -> nodes in document order (values of COLUMNS) and its text
-    runs in page order as (node, text)."""
+    runs in page order as (node, text).  In training pages ``mark`` stands
+    before main text and is no text; any other page is read as it is."""
     nodes: list[list] = [[-1, 0, 0, 0, 0, 0, 0, 0, 7, 0, 0]]
     names = ["html"]
     stack, inline = [0], []  # open blocks; open inline elements as (name, blocks open)
@@ -93,8 +94,8 @@ def parse(page: str | None) -> tuple[list[list], list[tuple[int, str]]]:
         if piece:
             raw = "".join(piece)
             piece.clear()
-            label = MARK in raw
-            text = " ".join(html.unescape(raw.replace(MARK, "")).split())
+            label = mark is not None and mark in raw
+            text = " ".join(html.unescape(raw.replace(mark, "") if label else raw).split())
             if text:
                 at = stack[-1]
                 runs.append((len(nodes), text))
@@ -365,12 +366,12 @@ def training_rows(pages: DataFrame) -> DataFrame:
         for batch in batches:
             xs, ys = [], []
             for page_id, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = marked(page or "")
+                own = marked((page or "").replace(MARK, " "))
                 if own is None:
                     continue
-                nodes, runs = parse(own)
+                nodes, runs = parse(own, MARK)
                 for text in [own, *[layout(nodes, runs, (page_id or 0) * 31 + k) for k in range(LAYOUTS)]]:
-                    a = _labelled(parse(text)[0])
+                    a = _labelled(parse(text, MARK)[0])
                     xs.append(features(a, np.array([0])))
                     ys.append(a[:, 10])
             if xs:
@@ -380,18 +381,42 @@ def training_rows(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(rows, "x array<double>, label double")
 
 
-def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Trees | None:
-    """Pages (page_id, html) -> trees, or None if no page has an article."""
+def generated_pages(n: int = 48, seed: int = 11) -> list[str]:
+    """Pages of invented words with an article between a header, a menu, a side
+    column and a footer."""
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choice("bcdfglmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 4))) for _ in range(900)]
+
+    def text(least, most, stop=""):
+        return " ".join(rnd.choices(words, k=rnd.randint(least, most))).capitalize() + stop
+
+    def paragraph():
+        return f"<p>{' '.join(text(6, 18, '.') for _ in range(rnd.randint(1, 6)))}</p>"
+
+    def items(k):
+        return "<ul>" + "".join(f'<li><a href="#">{text(1, 4)}</a></li>' for _ in range(k)) + "</ul>"
+
+    return [f"<html><body><header><h2>{text(1, 4)}</h2></header><nav>{items(rnd.randint(3, 8))}</nav><article><h1>{text(3, 9)}</h1>"
+            f"{''.join(paragraph() for _ in range(rnd.randint(2, 9)))}</article><aside><h3>{text(1, 3)}</h3>{items(rnd.randint(2, 6))}"
+            f"<p>{text(4, 12)}</p></aside><footer><p>{text(2, 8)}</p></footer></body></html>" for _ in range(n)]
+
+
+def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Trees:
+    """Pages (page_id, html) -> trees.  If no page has an article, they are
+    fitted on generated pages and their other layouts instead, so that menus,
+    notices and footers are told by structure and attributes all the same."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
     ids = (pages.where("page_id IS NOT NULL").where(has_article(F.col("html"))).select("page_id")
            .orderBy(F.xxhash64(F.lit(5), "page_id"), "page_id").limit(fit_pages).distinct())
     sample = pages.select("page_id", "html").join(F.broadcast(ids), "page_id")
-    rows = materialize(training_rows(sample.repartition(8)), "html-nodes").select(array_to_vector("x").alias("features"), "label").persist()
+    found = materialize(training_rows(sample.repartition(8)), "html-nodes")
+    if found.select("label").distinct().count() < 2:
+        made = pages.sparkSession.createDataFrame(list(enumerate(generated_pages())), "page_id long, html string")
+        found = materialize(training_rows(made), "html-nodes")
+    rows = found.select(array_to_vector("x").alias("features"), "label").persist()
     try:
-        if rows.select("label").distinct().count() < 2:
-            return None
         model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, seed=5, maxBins=32).fit(rows)
     finally:
         rows.unpersist()
