@@ -76,8 +76,9 @@ def scan_blocks(docs: DataFrame, vocabulary: list[str], phrases: dict[str, str]
                 window: int | None = None) -> DataFrame:
     """One pass over the texts: doc_id, text_hash, n_words, the phrases'
     places, and the template words of each block: the lines, then, with
-    ``window``, overlapping windows of so many words over the paragraphs of
-    several lines."""
+    ``window``, overlapping windows of so many words over the paragraphs that
+    have several lines or more words.  A line of more words is no block of its
+    own, so that words scattered over it are no match."""
     phrases = PHRASES if phrases is None else phrases
     low = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
     lines = F.transform(F.split(low, "\n"), lambda x: F.trim(F.regexp_replace(x, SEPARATORS, " ")))
@@ -93,17 +94,21 @@ def scan_blocks(docs: DataFrame, vocabulary: list[str], phrases: dict[str, str]
         lasts.append(F.when(here, F.col("n_words") - len(phrase.split()) - _spaces(F.substring_index("joined", f" {phrase} ", -1))))
         labels.append(F.when(here, F.lit(label)))
     known = F.array(*[F.lit(w) for w in vocabulary])
-    words = F.transform("lines", lambda s: F.array_intersect(F.split(s, " "), known))
+    cut_lines = F.transform("lines", lambda s: F.split(s, " "))
     if window:
+        empty = F.array().cast("array<string>")
+        words = F.transform(cut_lines, lambda w: F.when(F.size(w) <= window, F.array_intersect(w, known)).otherwise(empty))
         step = window // 2
         paragraphs = F.filter(F.transform(F.split(F.array_join("lines", "\n"), "\n\n+"), lambda p: F.trim(p, F.lit("\n"))),
-                              lambda p: F.contains(p, F.lit("\n")))
+                              lambda p: F.contains(p, F.lit("\n")) | (_spaces(p) >= window))
         # the last window starts where it still has words that the one before lacks
         cut = lambda w: F.transform(
             F.sequence(F.lit(0), F.greatest(F.ceil((F.size(w) - window) / step).cast("int"), F.lit(0))),
             lambda k: F.array_intersect(F.slice(w, k * step + 1, window), known))
         split = F.transform(paragraphs, lambda p: F.split(F.translate(p, "\n", " "), " "))  # once, not for every window
         words = F.concat(words, F.flatten(F.transform(split, cut)))
+    else:
+        words = F.transform(cut_lines, lambda w: F.array_intersect(w, known))
     total = counts[0]
     for c in counts[1:]:
         total = total + c
@@ -186,13 +191,20 @@ def _sql() -> str:
         "[{{'at': i, 'label': '{1}'}} FOR i IN range(len(w)) IF {0}]".format(
             " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p.split())), label)
         for p, label in PHRASES.items())
+    W = window_words()
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents),
 t(k, label, words, wanted) AS (VALUES {rows}),
 w AS (SELECT r, doc_id, low, regexp_extract_all(low, '{sep}') AS w FROM d),
 p AS (SELECT r, doc_id, w, {places} AS hits FROM w),
-b AS (SELECT r, list_distinct(regexp_extract_all(line, '{sep}')) AS s
-      FROM (SELECT r, unnest(string_split(low, chr(10))) AS line FROM d)),
+l AS (SELECT r, unnest([regexp_extract_all(x, '{sep}') FOR x IN string_split(low, chr(10))]) AS ws,
+             unnest(range(len(string_split(low, chr(10))))) AS i FROM d),
+-- a paragraph is a run of lines with words
+o AS (SELECT r, i, ws, i - row_number() OVER (PARTITION BY r ORDER BY i) AS run FROM l WHERE len(ws) > 0),
+q AS (SELECT r, run, count(*) AS lines, flatten(list(ws ORDER BY i)) AS ws FROM o GROUP BY r, run),
+v AS (SELECT r, ws, unnest(range(greatest(ceil((len(ws) - {W}) / {W // 2}::DOUBLE)::BIGINT, 0) + 1)) AS k FROM q WHERE lines > 1 OR len(ws) > {W}),
+b AS (SELECT r, list_distinct(ws) AS s FROM l WHERE len(ws) <= {W}
+      UNION ALL SELECT r, list_distinct(ws[k * {W // 2} + 1 : k * {W // 2} + {W}]) FROM v),
 m AS (SELECT r, label, max(len(list_intersect(s, words))::DOUBLE / len(words)) AS c
       FROM b, t WHERE len(list_intersect(s, words)) >= wanted GROUP BY r, label),
 g AS (SELECT r, list(label) AS more, max(c) AS best FROM m GROUP BY r)
