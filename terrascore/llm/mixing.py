@@ -8,8 +8,11 @@ without a loop.
 
 Sampling.  A source whose target is m times its size takes floor(m) whole
 copies of every document.  The fraction that is left is a Pareto sample of
-fixed size in words: documents are ranked by u/(1-u), with u uniform, over
-their inclusion odds (the fraction's odds, times ``odds_col`` if given), and
+fixed size in words with unequal chances: a document's chance p grows with the
+root of its size (long documents carry more of a source, yet less than in
+proportion), scaled so that the words expected are the words wanted.  Documents
+are ranked by u/(1-u), with u uniform, over their inclusion odds p/(1-p) (times
+``odds_col`` if given), and
 taken in that order up to the rank whose running sum is nearest the words
 wanted.  If words are still missing, the one document whose size fits them
 best is taken as well, so a source misses its target by less than one
@@ -80,24 +83,30 @@ def mix(docs: DataFrame, weights=cycle_weights, share: float = 1.5, max_copies:
     sized = docs.withColumn("size", n_words(F.col("text")))
     u = uniform(seed, *(key or [F.col("doc_id")]))
     odds = (F.coalesce(F.col(odds_col).cast("double"), F.lit(1.0)) if odds_col else F.lit(1.0))
-    # within a source the fraction's odds are one factor: the order is by what each document adds
     draw = u / (F.lit(1.0) - u) / odds
     rows = materialize(sized.select("source", "size", draw.alias("_draw")), "mix-sizes")
 
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # whole numbers, so that their sums don't depend on the order
+    heft = F.floor(F.col("size") * F.sqrt(F.col("size").cast("double"))).cast("long")
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(heft).alias("source_heft"))
     plan = materialize(
         targets(weights(sources), share, max_copies)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
                     .otherwise(0).cast("int"))
         .withColumn("wanted", F.col("target") - F.col("whole") * F.col("source_size"))
-        # Pareto order: random odds over inclusion odds; the fraction's odds are common to a source
-        .withColumn("fraction", F.when(F.col("source_size") > 0, F.col("wanted") / F.col("source_size")).otherwise(0.0))
         .withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-        .withColumn("odds", F.when(F.col("fraction") > 0, F.col("fraction") / (F.lit(1.0) - F.col("fraction")))), "mix-plan")
+        # a document's chance over the root of its size: chances times sizes add up to the words wanted
+        .withColumn("scale", F.when(F.col("wanted") > 0, F.col("wanted") / F.col("source_heft"))), "mix-plan")
+
+    def order(scale: Column, size: Column, drawn: Column) -> Column:
+        """Pareto order: random odds over inclusion odds; wordless documents have none."""
+        chance = F.least(F.lit(0.999), scale * F.sqrt(size.cast("double")))
+        return F.when(size > 0, drawn / (chance / (F.lit(1.0) - chance)))
+
 
     keyed = rows.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
-    ranked = (join_counted(keyed, plan.where("odds IS NOT NULL").select("source_key", "odds", "wanted"), ["source_key"])
-              .withColumn("_q", F.col("_draw") / F.col("odds"))
+    ranked = (join_counted(keyed, plan.where("scale IS NOT NULL").select("source_key", "scale", "wanted"), ["source_key"])
+              .withColumn("_q", order(F.col("scale"), F.col("size"), F.col("_draw"))).where("_q IS NOT NULL")
               .groupBy("source_key", "wanted", "_q").agg(F.sum("size").alias("size")))
     cum = materialize(prefix_sum(materialize(ranked, "mix-ranked"), ["_q"], ["size"], ["source_key", "wanted"], native=True), "mix-cum")
 
@@ -116,11 +125,11 @@ def mix(docs: DataFrame, weights=cycle_weights, share: float = 1.5, max_copies:
              .agg(F.min(F.struct(F.abs(F.col("missing") - F.col("size")).alias("gap"), F.col("_q").alias("q"))).alias("e"))
              .select("source_key", F.col("e.q").alias("extra")))
     decided = materialize(plan.join(cut.select("source_key", "cut"), "source_key", "left").join(extra, "source_key", "left")
-                          .select("source_key", "source_size", "target", "whole", "odds", "cut", "extra"), "mix-decided")
+                          .select("source_key", "source_size", "target", "whole", "scale", "cut", "extra"), "mix-decided")
 
     named = decided.select(*[F.col(c).alias("_m_" + c) for c in decided.columns])
     big = sized.withColumn("_m_source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    q = draw / F.col("_m_odds")
+    q = order(F.col("_m_scale"), F.col("size"), draw)
     more = F.coalesce(q <= F.col("_m_cut"), F.lit(False)) | F.coalesce(q == F.col("_m_extra"), F.lit(False))
     copies = F.col("_m_whole") + more.cast("int")
     return (join_counted(big, named, ["_m_source_key"])
@@ -149,21 +158,21 @@ OP7_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
                   (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
            FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(floor(size * sqrt(size::DOUBLE))::BIGINT)::BIGINT AS source_heft FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
 r AS (SELECT *, 2 * source_size AS cap, (2 * source_size)::DOUBLE / weight AS ratio FROM w),
 l AS (SELECT *, ((SELECT sum(source_size)::DOUBLE FROM s) * 1.5::DOUBLE
                  - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
                 / (sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM r),
 f AS (SELECT arg_min(level, ratio) AS level FROM l WHERE ratio > level),
-t AS (SELECT source, source_size, CASE WHEN (SELECT level FROM f) IS NULL THEN cap::DOUBLE
+t AS (SELECT source, source_size, source_heft, CASE WHEN (SELECT level FROM f) IS NULL THEN cap::DOUBLE
              ELSE least(cap::DOUBLE, weight * (SELECT level FROM f)) END AS target FROM l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 p2 AS (SELECT *, target - (whole * source_size)::DOUBLE AS wanted FROM p),
-p3 AS (SELECT *, CASE WHEN source_size > 0 AND wanted > 0
-                      THEN (wanted / source_size) / (1.0::DOUBLE - wanted / source_size) END AS odds FROM p2),
+p3 AS (SELECT *, CASE WHEN wanted > 0 THEN wanted / source_heft END AS scale FROM p2),
 x AS (SELECT d.doc_id, d.size, d.source, p3.source_size, p3.target, p3.whole, p3.wanted,
-             (d.u / (1.0::DOUBLE - d.u)) / 1.0::DOUBLE / p3.odds AS q
+             CASE WHEN d.size > 0 THEN ((d.u / (1.0::DOUBLE - d.u)) / 1.0::DOUBLE)
+                  / (least(0.999::DOUBLE, scale * sqrt(d.size::DOUBLE)) / (1.0::DOUBLE - least(0.999::DOUBLE, scale * sqrt(d.size::DOUBLE)))) END AS q
       FROM d JOIN p3 ON d.source IS NOT DISTINCT FROM p3.source),
 c AS (SELECT source, wanted, q, size, sum(size) OVER (PARTITION BY source ORDER BY q) AS cum
       FROM (SELECT source, wanted, q, sum(size) AS size FROM x WHERE q IS NOT NULL GROUP BY ALL)),
