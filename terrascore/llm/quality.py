@@ -1,21 +1,25 @@
 """Quality grades by ordinal cumulative-link regression on hashed text.
 
 The model is P(grade > j) = logistic(w . x - t_j): one weight vector for all
-grades and an ordered threshold for each step.  Every rated document is
-stacked once per threshold with the answer to "is its grade above j?"; a
-single logistic regression over the hashed text and one indicator column per
-threshold then has the shared weights and the thresholds as coefficients.
-Spark's own hashing, assembling and distributed fit do the work.
+grades and a threshold for each step, in order.  The likelihood of a document
+of grade k is the difference of neighbouring links, P(grade > k - 1) - P(grade > k);
+thresholds are the first and positive steps from each to the next, so they can't cross.  L-BFGS finds
+weights and thresholds together.  Spark hashes the texts and scores them; the
+fit reads the hashed vectors of at most ``FIT_DOCS`` rated documents, drawn by
+a hash of doc_id.
 
 Ratings.  ``labels`` holds two marks; the grade is 0 for low quality, 1 for
-good but toxic and 2 for good text.  The fit reads at most ``FIT_DOCS`` rated
-documents, drawn by a hash of doc_id.
+good but toxic and 2 for good text.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer, VectorAssembler
+import json
+
+import numpy as np
+from pyspark import SparkContext
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +31,9 @@ FIT_DOCS = 8000
 BUCKETS = 1 << 15
 TOKEN = r"\p{L}+|[^\p{L}\s]+"
 GRADES = 3
+#: weight of the squared weights beside the mean of the log likelihood
+RIDGE = 1e-6
+ROUNDS = 150
 
 
 def grade(quality: Column, toxic: Column) -> Column:
@@ -42,45 +49,111 @@ def hashed(docs: DataFrame) -> DataFrame:
     return out.drop("_text", "_tokens", "_tf")
 
 
+def _link(x: np.ndarray) -> np.ndarray:
+    return 0.5 * (1 + np.tanh(x / 2))
+
+
+def thresholds_of(steps: np.ndarray) -> np.ndarray:
+    """First threshold and log steps -> thresholds, ascending."""
+    return np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])]))
+
+
+def loss(params: np.ndarray, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, grades: int,
+         ridge: float = RIDGE) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood and its gradient.  ``params``: log steps of
+    the thresholds, then the weights; the vectors come as (row, column, value)."""
+    k, n = grades - 1, len(grade)
+    w, t = params[k:], thresholds_of(params[:k])
+    s = np.bincount(rows, values * w[cols], n)
+    ends = np.concatenate([[-np.inf], t, [np.inf]])
+    hi, lo = _link(ends[grade + 1] - s), _link(ends[grade] - s)
+    chance = np.maximum(hi - lo, 1e-300)
+    slope_hi, slope_lo = hi * (1 - hi), lo * (1 - lo)
+    by_score = (slope_hi - slope_lo) / chance / n
+    by_end = np.bincount(grade + 1, -slope_hi / chance / n, k + 2) + np.bincount(grade, slope_lo / chance / n, k + 2)
+    # a step moves its threshold and all above
+    by_step = np.cumsum(by_end[1:-1][::-1])[::-1]
+    by_step[1:] *= np.exp(params[1:k])
+    return (float(-np.log(chance).mean() + ridge / 2 * w @ w),
+            np.concatenate([by_step, np.bincount(cols, values * by_score[rows], len(w)) + ridge * w]))
+
+
+def minimise(f, x: np.ndarray, rounds: int = ROUNDS, memory: int = 8, tol: float = 1e-6) -> np.ndarray:
+    """L-BFGS with step halving."""
+    value, grad = f(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if np.abs(grad).max() < tol:
+            break
+        d, kept = grad.copy(), []
+        for s, y in reversed(past):
+            a = (s @ d) / (s @ y)
+            kept.append(a)
+            d -= a * y
+        d *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, float(np.linalg.norm(grad)))
+        for (s, y), a in zip(past, reversed(kept)):
+            d += (a - (y @ d) / (s @ y)) * s
+        step, slope = 1.0, grad @ d
+        while True:
+            new = x - step * d
+            value_new, grad_new = f(new)
+            if value_new <= value - 1e-4 * step * slope or step < 1e-10:
+                break
+            step /= 2
+        s, y = new - x, grad_new - grad
+        if s @ y > 1e-12:
+            past = [*past[-memory + 1:], (s, y)]
+        done = value - value_new < 1e-10 * max(1.0, abs(value))
+        x, value, grad = new, value_new, grad_new
+        if done:
+            break
+    return x
+
+
 def fit(docs: DataFrame, rated: DataFrame, fit_docs: int = FIT_DOCS, grades: int = GRADES):
-    """Texts and (doc_id, grade) -> (model, thresholds), or None if fewer
-    than two grades occur."""
+    """Texts and (doc_id, grade) -> (weights, thresholds), or None if fewer
+    than two grades occur.  Rows without text count as empty."""
     known = rated.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = known.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(fit_docs)
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "quality-sample")
-    if sample.select("grade").distinct().limit(2).count() < 2:
+    found = hashed(sample).select("x", "grade").collect()  # hashed vectors of the bounded sample
+    grade = np.array([r["grade"] for r in found], dtype=np.int64)
+    if len(np.unique(grade)) < 2:
         return None
-    steps = [F.array(*[F.lit(float(i == j)) for i in range(grades - 1)]) for j in range(grades - 1)]
-    stacked = (hashed(sample).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(grades - 2))))
-               .withColumn("above", (F.col("grade") > F.col("_j")).cast("double")))
-    stacked = stacked.select("x", "above", *[F.element_at(F.array(*steps), F.col("_j") + 1)[i].alias(f"_t{i}") for i in range(grades - 1)])
-    columns = ["x", *[f"_t{i}" for i in range(grades - 1)]]
-    both = VectorAssembler(inputCols=columns, outputCol="features").transform(stacked).select("features", "above").persist()
-    try:
-        model = LogisticRegression(labelCol="above", featuresCol="features", fitIntercept=False, regParam=1e-6,
-                                   standardization=False, maxIter=100).fit(both)
-    finally:
-        both.unpersist()
-    return model, [float(model.coefficients[BUCKETS + j]) for j in range(grades - 1)]
+    rows = np.repeat(np.arange(len(found)), [len(r["x"].indices) for r in found])
+    cols = np.concatenate([np.asarray(r["x"].indices) for r in found]).astype(np.int64)
+    values = np.concatenate([np.asarray(r["x"].values) for r in found])
+    del found
+    # thresholds start where the grades' shares put them
+    above = np.clip([(grade > j).mean() for j in range(grades - 1)], 1e-3, 1 - 1e-3)
+    start = np.maximum.accumulate(-np.log(above / (1 - above)) + 1e-3 * np.arange(grades - 1))
+    steps = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
+    best = minimise(lambda p: loss(p, rows, cols, values, grade, grades), np.concatenate([steps, np.zeros(BUCKETS)]))
+    return best[grades - 1:], [float(t) for t in thresholds_of(best[:grades - 1])]
+
+
+def _scored(x: DataFrame, weights: np.ndarray) -> DataFrame:
+    """x -> + ``_m``: the weights' product with each vector, in Spark ML's linear model."""
+    ml = SparkContext._active_spark_context._jvm.org.apache.spark.ml
+    at = np.flatnonzero(weights)
+    vector = ml.linalg.JsonVectorConverter.fromJson(json.dumps(
+        {"type": 0, "size": len(weights), "indices": at.tolist(), "values": weights[at].tolist()}))
+    model = LogisticRegressionModel(ml.classification.LogisticRegressionModel("quality", vector, 0.0))
+    return model.copy({model.featuresCol: "x"}).transform(x).withColumn("_m", vector_to_array(F.col("rawPrediction"))[1])
 
 
 def rate(docs: DataFrame, fitted, grades: int = GRADES) -> DataFrame:
     """(doc_id, text) -> doc_id, expected (0 to grades - 1), tail
-    (P(grade > 0)) and the probabilities ``above_j``; a row for each row.
-    NULL and empty text has no features: the thresholds alone decide.
-    Without a model everything is 0."""
+    (P(grade > 0)) and the probabilities ``above_j``, which never rise with j; a
+    row for each row.  NULL and empty text has no features: the thresholds
+    alone decide.  Without a model everything is 0."""
     named = docs.select("doc_id", "text")
     names = [f"above_{j}" for j in range(grades - 1)]
     if fitted is None:
         return named.select("doc_id", *[F.lit(0.0).alias(c) for c in ["expected", "tail", *names]])
-    model, thresholds = fitted
-    x = hashed(named)
-    for j in range(grades - 1):
-        x = x.withColumn(f"_t{j}", F.lit(0.0))
-    x = VectorAssembler(inputCols=["x", *[f"_t{j}" for j in range(grades - 1)]], outputCol="features").transform(x)
-    margin = vector_to_array(F.col("rawPrediction"))[1]
-    x = model.transform(x).select("doc_id", margin.alias("_m"))
-    above = [F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("_m") + F.lit(t)))) for t in thresholds]
+    weights, thresholds = fitted
+    x = _scored(hashed(named), weights).select("doc_id", "_m")
+    above = [F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(t) - F.col("_m"))) for t in thresholds]
     total = above[0]
     for a in above[1:]:
         total = total + a
