@@ -1,5 +1,7 @@
 """Main text, licence scan and fingerprints on planted cases."""
 
+import random
+
 import hashlib
 import re
 
@@ -67,7 +69,7 @@ def test_pages_and_other_layouts(spark):
     got = {r["page_id"]: r["text"] for r in htmltext.extract(pages, trees).collect()}
     whole = 0
     for r in pages.collect():
-        nodes, runs = htmltext.parse(htmltext.marked(r["html"]))
+        nodes, runs = htmltext.parse(htmltext.marked(r["html"]), htmltext.MARK)
         whole += got[r["page_id"]] == " ".join(t for at, t in runs if nodes[at][10])
     assert whole >= 0.95 * len(got)
     assert htmltext.fit(pages.where("false")) is None
@@ -79,7 +81,9 @@ def test_fit_draws_pages_with_an_article(spark):
     empty = ["<div>%s</div>", "<script>x='<article>'</script>%s", "<!--<main>m</main>-->%s", "<main id=app> <b></b></main><div>%s</div>"]
     rows = [(i, empty[i % 4] % text) for i in range(400)]
     pages = spark.createDataFrame(rows, "page_id long, html string")
-    assert htmltext.fit(pages, 5) is None
+    # none has an article: the trees come from generated pages
+    alone = htmltext.fit(pages, 5)
+    assert all("Home" not in t and "Some words of a page" in t for t in htmltext.main_texts([r[1] for r in rows[:4]], alone))
     drawn = {r[0] for r in pages.orderBy(F.xxhash64(F.lit(5), "page_id"), "page_id").limit(5).collect()}
     rare = [i for i in range(400) if i not in drawn][:2]
     some = [(i, f"<script>'<article>'</script><main></main><article>{text * 3}</article><div class=menu>{text}</div>" if i in rare else h) for i, h in rows]
@@ -164,3 +168,55 @@ def test_edits_are_located(spark):
     pair = a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k")
     assert [tuple(e) for e in merkle.locate_edits(pair).first()["edits"]] == [(1, 0, 1), (1, 1, 0)]
     assert merkle.locate_edits(a.withColumn("new", F.col("old"))).first()["edits"] == []
+
+
+def test_pages_without_an_article(spark):
+    """No page shows its article: menus and footers go all the same."""
+    text = [f"The {a} of the harbour was rebuilt in the year {1900 + i}, and since then the {a} has been open to all visitors." for i, a in
+            enumerate(("tower", "bridge", "market", "garden", "library", "theatre"))]
+    side = ("Home", "Imprint", "Contact us", "copyright 2020")
+    pages = [(i, f"u{i}", f'<html><body><div class="nav"><ul>{"".join(f"<li><a href=x>{m}</a></li>" for m in side[:3])}</ul></div><div class="content"><h1>About the {i}th place</h1>'
+                          f'{"".join(f"<p>{t}</p>" for t in text[i % 3:i % 3 + 4])}</div><div class="footer"><p>{side[3]}</p></div></body></html>') for i in range(12)]
+    pages.append((99, "u", "a\ue000b"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in htmltext.extract(df, htmltext.fit(df)).collect()}
+    for i in range(12):
+        assert out[i] == " ".join([f"About the {i}th place", *text[i % 3:i % 3 + 4]])
+    assert "\ue000" in htmltext.main_texts(["<p>a\ue000b</p>"], None)[0]
+
+
+def test_pages_with_other_columns_and_repeated_rows(spark):
+    page = htmltext.generated_pages(3)[1]
+    df = spark.createDataFrame([(1, "u", page, "x", 5), (1, "u", page, "x", 5), (2, None, None, "y", 6)], "page_id long, url string, html string, text string, n_chars long")
+    out = htmltext.extract(df, htmltext.fit(df)).collect()
+    assert [r["text"] for r in out][:2] == [r["text"] for r in out][1:2] * 2 and sorted(r["n_chars"] for r in out)[0] == 0
+
+
+def test_notices_wrapped_and_long_lines_like_sql(spark, tmp_path):
+    import duckdb
+
+    rnd = random.Random(4)
+    filler = [f"w{i}" for i in range(300)]
+    wordings = [t for _, t in licenses.TEMPLATES]
+    texts = [None, "", "plain text"]
+    for k, t in enumerate(wordings):
+        words = t.split()
+        wrapped = "\n".join(" ".join(words[i:i + 7]) for i in range(0, len(words), 7))
+        texts += [t, wrapped, "before\n" + wrapped + "\nafter", " ".join(rnd.choices(filler, k=500)) + " " + t + " " + " ".join(rnd.choices(filler, k=200)),
+                  wrapped.replace("\n", "\n\n")]
+        scattered = rnd.choices(filler, k=4000)
+        for i, w in enumerate(words):
+            scattered[i * (4000 // len(words))] = w
+        texts.append(" ".join(scattered))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r) for r in licenses.scan(df).collect()}
+    df.coalesce(1).write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = {r[0]: r for r in con.sql(licenses.OP1_SQL).fetchall()}
+    assert got == want
+    for k, (label, t) in enumerate(licenses.TEMPLATES):
+        base = 3 + 6 * k
+        assert all(label in got[base + j][6].split(",") for j in (0, 1, 2, 3))
+        if len(t.split()) > 12:
+            assert label not in got[base + 5][6].split(",")
