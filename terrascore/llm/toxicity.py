@@ -37,7 +37,8 @@ from terrascore.session import materialize
 FIT_DOCS = {1: 1500, 0: 3500}
 THRESHOLD = 0.7
 WINDOW = 16
-TOXIC_BYTES, ORDINARY_BYTES = 1024, 32768
+#: bytes of the toxic dictionary at least, and for each unit; of the ordinary one
+TOXIC_BYTES, UNIT_BYTES, ORDINARY_BYTES = 1024, 48, 32768
 EVIDENCE = 16.0
 #: words of a unit in the toxic dictionary's samples
 FORMS = 40
@@ -58,16 +59,18 @@ def _units(word: str) -> set[str]:
 
 
 def without_copies(rows: list[tuple[list[str], int]]) -> list[tuple[list[str], int]]:
-    """Texts that differ in each of four smallest hashes of five-word runs."""
-    for k in range(4):
-        seen, left = set(), []
-        for words, label in rows:
-            sign = min(zlib.crc32(f"{k} {' '.join(words[i:i + 5])}".encode()) for i in range(max(1, len(words) - 4)))
-            if sign not in seen:
-                seen.add(sign)
-                left.append((words, label))
-        rows = left
-    return rows
+    """Texts without their near copies: those of the same label that share three
+    of four smallest hashes of five-word runs with one before.  A passage that
+    two texts share makes neither a copy."""
+    seen, left = set(), []
+    for words, label in rows:
+        runs = [" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))]
+        sign = [min(zlib.crc32(f"{k} {r}".encode()) for r in runs) for k in range(4)]
+        most = [(label, k, *sign[:k], *sign[k + 1:]) for k in range(4)]
+        if not seen.intersection(most):
+            left.append((words, label))
+        seen.update(most)
+    return left
 
 
 def toxic_units(rows: list[tuple[list[str], int]]) -> set[str]:
@@ -109,15 +112,15 @@ def _dictionary(size: int, samples: list[bytes]) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def fit_dictionaries(rows: list[tuple[str | None, int]]) -> tuple[bytes, bytes]:
-    """Labelled texts -> (toxic, ordinary) dictionary."""
+def fit_dictionaries(rows: list[tuple[str | None, int]], toxic_bytes: int | None = None,
+                     ordinary_bytes: int = ORDINARY_BYTES) -> tuple[bytes, bytes]:
+    """Labelled texts -> (toxic, ordinary) dictionary.  The toxic one has room
+    for the units found, the ordinary one is trained on all ordinary windows."""
     known = without_copies([(words_of(t), y) for t, y in rows])
     units = toxic_units(known)
     toxic = toxic_samples(known, units)
     ordinary = [x for w, y in known if not y for x in windows(w)]
-    if len(ordinary) > 20_000:
-        ordinary = [ordinary[i] for i in np.random.default_rng(0).permutation(len(ordinary))[:20_000]]
-    return (_dictionary(TOXIC_BYTES, toxic) if toxic else b""), _dictionary(ORDINARY_BYTES, ordinary)
+    return (_dictionary(toxic_bytes or max(TOXIC_BYTES, UNIT_BYTES * len(units)), toxic) if toxic else b""), _dictionary(ordinary_bytes, ordinary)
 
 
 def _compressors(toxic: bytes, ordinary: bytes):

@@ -91,3 +91,35 @@ def test_logistic_recovers_weights():
     y = (rnd.random(4000) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1] + 0.5)))).astype(int)
     w, b = toxicity.logistic(x, y, 1e-6)
     assert w == pytest.approx([2, -1], abs=0.2) and b == pytest.approx(0.5, abs=0.15)
+
+
+def test_copies_are_of_one_label_and_most_hashes():
+    a = [f"w{i}" for i in range(60)]
+    shared = [f"p{i}" for i in range(30)]
+    rows = [(a, 0), (a, 0), (a[:58] + ["x", "y"], 0), (a, 1), (shared + [f"q{i}" for i in range(90)], 0), ([f"r{i}" for i in range(90)] + shared, 0)]
+    left = toxicity.without_copies(rows)
+    assert len(left) == 4 and [y for _, y in left] == [0, 1, 0, 0]
+
+
+def test_scores_against_a_plain_loop(spark):
+    """The query's scores are those of each text's windows, one after the other."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from terrascore.llm.shared import fold
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").where(fold(F.col("doc_id"), 3) != 1)
+    model = toxicity.fit(docs, labels)
+    assert model is not None
+    dictionaries, ratios, weights, intercept = model
+    plain, both = toxicity._compressors(*dictionaries)
+    for r in toxicity.op10_toxicity(spark, sf).join(docs, "doc_id").collect():
+        words = toxicity.WORD.findall((r["text"] or "").lower())
+        saved = []
+        for i in range(0, len(words), toxicity.WINDOW):
+            window = f" {' '.join(words[i:i + toxicity.WINDOW])} ".encode()
+            saved.append(len(plain.compress(window)) - len(both.compress(window)))
+        x = toxicity.features(np.array(saved, dtype=np.int64), ratios)
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(x @ weights + intercept, -500, 500)))) < 1e-9
+        assert r["predicted"] == int(r["score"] >= 0.7)
