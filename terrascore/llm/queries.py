@@ -27,4 +27,6 @@ def oracle_sql():
             "op3_topk": topk.OP3_SQL,
             "op6_merkle": merkle.OP6_SQL,
             "op7_mixing": mixing.OP7_SQL,
-            "op11_chat": chat.OP11_SQL}
+            "op11_chat": chat.OP11_SQL,
+            "op12_trie": trie.OP12_SQL,
+            "op13_resample": resample.OP13_SQL}

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrascore.llm.shared import documents, join_counted
+from terrascore.llm.shared import CRC_TABLE_SQL, documents, join_counted
 from terrascore.session import materialize
 
 BUCKETS = 10_000
@@ -277,3 +277,28 @@ def resample(docs: DataFrame, target: DataFrame, share: int = SHARE, least_words
 def op13_resample(spark, sf_dir: str) -> DataFrame:
     target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return resample(documents(spark, sf_dir), target).select(F.col("doc_id").cast("long").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+_WORD_SQL = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+OP13_SQL = rf"""
+WITH {CRC_TABLE_SQL},
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD_SQL}') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD_SQL}') AS w FROM benchmark),
+f AS (SELECT r, unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] || [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS f FROM d),
+g AS (SELECT unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] || [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS f FROM b),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM f UNION SELECT f FROM g)),
+k AS (SELECT f, xor(list_reduce([4294967295] || [('0x' || x[2 * i + 1 : 2 * i + 2])::BIGINT FOR i IN range(len(x) // 2)],
+                                lambda a, c: xor(a >> 8, t[(xor(a, c) & 255) + 1])), 4294967295) % 10000 AS bucket FROM h, tbl),
+fs AS (SELECT r, bucket, count(*) AS n FROM f JOIN k USING (f) GROUP BY r, bucket),
+s AS (SELECT bucket, sum(n)::BIGINT AS s FROM fs GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM g JOIN k USING (f) GROUP BY bucket),
+gain AS (SELECT s.bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE)
+                / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM fs JOIN gain USING (bucket) GROUP BY r),
+z AS (SELECT r, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+      FROM d LEFT JOIN w USING (r)),
+o AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS place,
+             count(*) FILTER (WHERE n_words >= 20) OVER () AS able FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * able // 100 THEN place END AS rank FROM o
+"""

@@ -14,6 +14,11 @@ BROADCAST_ROWS = 200_000
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: SQL for a table ``tbl`` of one row: the 256 steps of CRC-32, by its rule
+CRC_TABLE_SQL = """tbl AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+               lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t)"""
+
+
 def join_counted(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on ``on``; ``small`` (cheap to read twice) is broadcast only if a
     count finds at most ``BROADCAST_ROWS`` rows, else it is an ordinary join

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrascore.llm.shared import CRC_TABLE_SQL
 from terrascore.session import materialize
 
 #: conversations and turns after which a shard is closed
@@ -252,3 +253,32 @@ def op12_trie(spark, sf_dir: str) -> DataFrame:
     paths = materialize(turn_paths(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "trie-own-paths")
     head = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
     return trie(with_shared_heads(paths, F.col("conv_id") - F.col("conv_id") % 100, head, 5))
+
+
+OP12_SQL = f"""
+WITH {CRC_TABLE_SQL},
+own AS (SELECT conv_id, digest, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) AS pos
+        FROM (SELECT conv_id, turn, length(coalesce(text, '')) AS chars,
+                     substr(sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS digest
+              FROM conversations WHERE conv_id IS NOT NULL)),
+conv AS (SELECT conv_id AS c, conv_id - conv_id % 100 AS base,
+                xor(list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                                lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS h
+         FROM (SELECT DISTINCT conv_id FROM own), tbl),
+head AS (SELECT c, pos, digest, chars FROM conv JOIN own ON own.conv_id = base WHERE pos <= h),
+had AS (SELECT c, h, (SELECT count(*) FROM head WHERE head.c = conv.c) AS k FROM conv),
+turn AS (SELECT c, pos AS d, digest, chars FROM head
+         UNION ALL SELECT c, k + pos - h, digest, chars FROM had JOIN own ON own.conv_id = c WHERE pos > h),
+-- each conversation on each node of its path
+i AS (SELECT c, d, chars, md5(string_agg(digest, '/') OVER (PARTITION BY c ORDER BY d)) AS node FROM turn
+      UNION ALL SELECT c, 0, 0, 'root' FROM conv),
+j AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS parent, max(d) OVER (PARTITION BY c) = d AS ends FROM i),
+n AS (SELECT node, any_value(parent) AS parent, any_value(d) AS depth, any_value(chars) AS chars, min(c) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM j GROUP BY node),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+below AS (SELECT DISTINCT a.node AS top, b.node FROM i a JOIN i b ON a.c = b.c AND a.d <= b.d),
+sums AS (SELECT top, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens
+         FROM below JOIN n USING (node) LEFT JOIN kids USING (node) GROUP BY top)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n p ON p.node = n.parent LEFT JOIN kids ON kids.node = n.node JOIN sums ON sums.top = n.node
+"""
