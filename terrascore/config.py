@@ -80,21 +80,6 @@ HYPERPARAMETERS = {
         "min_samples_leaf": [3, 5, 7],
         "max_features": ["sqrt", "log2"],
     },
-    "extra_trees": {
-        "n_estimators": [50, 100, 150],
-        "max_depth": [3, 5, 7, None],
-        "min_samples_split": [5, 10, 15],
-        "min_samples_leaf": [3, 5, 7],
-        "max_features": ["sqrt", "log2"],
-    },
-    "gradient_boosting": {
-        "n_estimators": [50, 100],
-        "learning_rate": [0.01, 0.05, 0.1],
-        "max_depth": [2, 3, 4],
-        "subsample": [0.6, 0.7, 0.8],
-        "min_samples_split": [5, 10],
-        "min_samples_leaf": [3, 5],
-    },
     "xgboost": {
         "n_estimators": [50, 100, 150],
         "max_depth": [2, 3, 4],
@@ -111,8 +96,7 @@ HYPERPARAMETERS = {
         "max_iter": [1000],
     },
 }
-# Grid actually searched for extra trees and gradient boosting (the config
-# grids above for these two are not the ones used by the training code).
+# Grids searched for extra trees and gradient boosting
 EXTRA_TREES_GRID = {
     "n_estimators": [100, 200, 300],
     "max_depth": [10, 20, None],

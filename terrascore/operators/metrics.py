@@ -86,8 +86,9 @@ def classification_metrics(preds: DataFrame, keys: Sequence[str] = MODEL, label:
 def _desc_cum(preds, keys, score, label):
     sc = score_counts(preds, keys, score, label).withColumn("__neg_s", -F.col(score))
     cum = prefix_sum(sc, ["__neg_s"], ["pos", "neg"], group_cols=keys)
-    tot = sc.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return cum.join(tot, list(keys)).withColumnRenamed("pos_cum", "tps").withColumnRenamed("neg_cum", "fps")
+    # the written running sums end with the totals
+    tot = cum.groupBy(*keys).agg(F.max("pos_cum").alias("P"), F.max("neg_cum").alias("N"))
+    return cum.join(F.broadcast(tot), list(keys)).withColumnRenamed("pos_cum", "tps").withColumnRenamed("neg_cum", "fps")
 
 
 def roc_curve(preds: DataFrame, keys: Sequence[str] = MODEL, score: str = "probability",
@@ -98,7 +99,7 @@ def roc_curve(preds: DataFrame, keys: Sequence[str] = MODEL, score: str = "proba
     c = _desc_cum(preds, keys, score, label)
     pts = c.select(*keys, F.col(score).cast("double").alias("threshold"),
                    _div(F.col("fps"), F.col("N")).alias("fpr"), _div(F.col("tps"), F.col("P")).alias("tpr"))
-    start = (preds.select(*keys).distinct()
+    start = (c.select(*keys).distinct()
              .select(*keys, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"),
                      F.lit(0.0).alias("tpr")))
     return pts.unionByName(start)
@@ -109,12 +110,12 @@ def pr_curve(preds: DataFrame, keys: Sequence[str] = MODEL, score: str = "probab
     """T5 precision/recall per threshold down to the first one reaching full
     recall, plus the end point (threshold NULL, recall 0, precision 1)."""
     keys = list(keys)
-    c = _desc_cum(preds, keys, score, label)
-    c = c.where(F.col("tps") - F.col("pos") < F.col("P"))
+    every = _desc_cum(preds, keys, score, label)
+    c = every.where(F.col("tps") - F.col("pos") < F.col("P"))
     pts = c.select(*keys, F.col(score).cast("double").alias("threshold"),
                    _div(F.col("tps"), F.col("tps") + F.col("fps")).alias("precision"),
                    _div(F.col("tps"), F.col("P")).alias("recall"))
-    end = (preds.select(*keys).distinct()
+    end = (every.select(*keys).distinct()
            .select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"),
                    F.lit(0.0).alias("recall")))
     return pts.unionByName(end)

@@ -102,8 +102,8 @@ def q_average_precision(spark, sf):
     return rnd(T.average_precision(preds(spark, sf)))
 
 
-_BIN_SQL = " + ".join(f"(CASE WHEN probability > CAST('{e!r}' AS DOUBLE) THEN 1 ELSE 0 END)"
-                      for e in T.calibration_edges(10))
+# ten equal bins, right-closed: the number of edges below the score
+_BIN_SQL = "CAST(list_sum([CASE WHEN probability > i * CAST(0.1 AS DOUBLE) THEN 1 ELSE 0 END FOR i IN range(1, 10)]) AS INTEGER)"
 
 
 @query("calibration_curve", SP + f"""
@@ -147,12 +147,6 @@ def q_best_model(spark, sf):
     return T.best_model(m, order=["m_a", "m_b", "m_c"])
 
 
-@query("model_count_by_type", SP + ",\n" + AUC_CTE + ",\n" + METRICS_CTE +
-       "\nSELECT type, COUNT(*) AS n_models FROM met GROUP BY type")
-def q_model_count_by_type(spark, sf):
-    return T.count_by_type(T.evaluate_models(preds(spark, sf)))
-
-
 # ---------------------------------------------------------------- ensembles
 
 ENS_SQL = {
@@ -190,6 +184,12 @@ def q_vote_hard(spark, sf):
     return rnd(N.vote_hard(preds(spark, sf)))
 
 
+@query("vote_hard_even", SP + "\n" + ENS_R + "(" + ENS_SQL["voting_hard"].replace("FROM predictions", "FROM predictions WHERE model <> 'm_c'") + ")")
+def q_vote_hard_even(spark, sf):
+    """N2 with two members: where they differ, the lower class wins."""
+    return rnd(N.vote_hard(preds(spark, sf).where("model <> 'm_c'")))
+
+
 @query("auc_weights", SP + ",\n" + AUC_CTE + "\nSELECT model, ROUND(roc_auc * roc_auc, 6) AS weight FROM auc")
 def q_auc_weights(spark, sf):
     return rnd(N.auc_weights(preds(spark, sf)))
@@ -257,9 +257,10 @@ FROM acm LEFT JOIN aauc USING (type, model)"""
 def all_metrics(spark, sf):
     """Metrics of the pseudo-models and their ensembles."""
     p = preds(spark, sf)
-    allp = p.select("sample_id", "model", "type", "y", "probability", "prediction").unionByName(
-        N.all_ensembles(p))
-    return rnd(T.evaluate_models(allp))
+    # the members' AUCs are their weights as well
+    members = materialize(T.evaluate_models(p), "member-metrics")
+    weights = members.select("model", F.pow("roc_auc", 2).alias("weight"))
+    return rnd(members.unionByName(T.evaluate_models(N.all_ensembles(p, weights))))
 
 
 @query("evaluate_all", SP + ",\n" + _ALL_EVAL + "\n" + _ALL_METRICS)
@@ -270,6 +271,11 @@ def q_evaluate_all(spark, sf):
 _FIRST = "first_ AS (SELECT * FROM am ORDER BY roc_auc DESC NULLS LAST, type DESC, model LIMIT 1)"
 
 
+@query("model_count_by_type", SP + ",\n" + _ALL_EVAL + ",\nam AS (" + _ALL_METRICS + ")\nSELECT type, COUNT(*) AS n_models FROM am GROUP BY type")
+def q_model_count_by_type(spark, sf):
+    return T.count_by_type(all_metrics(spark, sf))
+
+
 @query("best_model_profile", SP + ",\n" + _ALL_EVAL + ",\nam AS (" + _ALL_METRICS + "),\n" + _FIRST + "\n" + " UNION ALL ".join(
     f"SELECT model, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM first_" for m in T.PROFILE))
 def q_best_model_profile(spark, sf):

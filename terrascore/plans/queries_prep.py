@@ -140,14 +140,21 @@ def q_null_profile(spark, sf):
     return C.null_profile(samples(spark, sf))
 
 
-@query("filter_membership", Q.S + """
-SELECT s.* FROM samples s
-WHERE s.lithology IN (SELECT lithology FROM samples WHERE lithology IS NOT NULL
-                      GROUP BY lithology HAVING SUM(likely) > 0)""")
+#: many small sites, so that some have no positive sample; NULL where the category is
+SITE_SQL = "CASE WHEN lithology IS NOT NULL THEN CAST(sample_id % 5000 AS VARCHAR) END"
+
+
+def with_site(df):
+    return df.withColumn("site", F.when(F.col("lithology").isNotNull(), (F.col("sample_id") % 5000).cast("string")))
+
+
+@query("filter_membership", Q.S.rstrip() + f""",
+sited AS (SELECT *, {SITE_SQL} AS site FROM samples)
+SELECT * FROM sited WHERE site IN (SELECT site FROM sited WHERE site IS NOT NULL GROUP BY site HAVING SUM(likely) > 0)""")
 def q_filter_membership(spark, sf):
-    s = samples(spark, sf)
-    known = EN.learn_weights(s, "lithology", "likely").select("lithology")
-    return C.filter_membership(s, "lithology", known)
+    s = with_site(samples(spark, sf))
+    known = EN.learn_weights(s, "site", "likely").select("site")
+    return C.filter_membership(s, "site", known)
 
 
 @query("filter_distance", Q.S + "SELECT * FROM samples WHERE fault_dist <= 2300")
@@ -294,15 +301,16 @@ def q_learn_weights(spark, sf):
     return EN.learn_weights(clean_samples(spark, sf), "lithology", "likely")
 
 
-@query("weight_encode", Q.SC.rstrip() + ",\n" + LEARNED_W + """
-SELECT c.sample_id, c.lithology,
-       ROUND(COALESCE(CAST(w.count AS DOUBLE), 0.5) / (SELECT MAX(count) FROM w), 6) AS lithology_prospectivity
-FROM clean c LEFT JOIN w ON c.lithology = w.category""")
+@query("weight_encode", Q.SC.rstrip() + f""",
+sited AS (SELECT sample_id, likely, CAST(sample_id % 5000 AS VARCHAR) AS site FROM clean),
+w AS (SELECT site, SUM(likely) AS n FROM sited GROUP BY site HAVING SUM(likely) > 0)
+SELECT c.sample_id, c.site, ROUND(COALESCE(CAST(w.n AS DOUBLE), 0.5) / (SELECT MAX(n) FROM w), 6) AS site_prospectivity
+FROM sited c LEFT JOIN w USING (site)""")
 def q_weight_encode(spark, sf):
-    d = clean_samples(spark, sf)
-    w = EN.learn_weights(d, "lithology", "likely")
-    e = EN.weight_encode(d, "lithology", w)
-    return e.select("sample_id", "lithology", _r("lithology_prospectivity"))
+    """E1 with learned weights; sites without a positive sample are unknown."""
+    d = clean_samples(spark, sf).select("sample_id", "likely", (F.col("sample_id") % 5000).cast("string").alias("site"))
+    e = EN.weight_encode(d, "site", EN.learn_weights(d, "site", "likely"))
+    return e.select("sample_id", "site", _r("site_prospectivity"))
 
 
 @query("one_hot", Q.SC + "SELECT sample_id, " + ", ".join(
@@ -378,11 +386,19 @@ _FIXED_W = ("CASE " + " ".join(f"WHEN lithology = '{k}' THEN {float(v)}" for k,
             + f" ELSE 0.5 END / {float(max(LITHOLOGY_GOLD_COUNTS.values()))}")
 
 
-@query("weight_encode_fixed", Q.SC + f"""
-SELECT sample_id, lithology, ROUND({_FIXED_W}, 6) AS lithology_prospectivity FROM clean""")
+#: levels of the fixed map where the table has others; the rest is unknown
+_FIXED_LEVELS = {"BUILDING": "META-BASALT", "AUTOMOBILE": "ARGILLITE", "MACHINERY": "PINK GRANITE"}
+
+
+@query("weight_encode_fixed", Q.SC.rstrip() + """,
+named AS (SELECT sample_id, CASE lithology """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _FIXED_LEVELS.items()) + f""" ELSE lithology END AS lithology FROM clean)
+SELECT sample_id, lithology, ROUND({_FIXED_W}, 6) AS lithology_prospectivity FROM named""")
 def q_weight_encode_fixed(spark, sf):
     """E1 with the fixed occurrence-count map (a literal map expression, no join)."""
-    d = clean_samples(spark, sf).select("sample_id", "lithology")
+    level = F.col("lithology")
+    for k, v in _FIXED_LEVELS.items():
+        level = F.when(F.col("lithology") == k, F.lit(v)).otherwise(level)
+    d = clean_samples(spark, sf).select("sample_id", level.alias("lithology"))
     e = EN.weight_encode(d, "lithology", LITHOLOGY_GOLD_COUNTS)
     return e.select("sample_id", "lithology", _r("lithology_prospectivity"))
 

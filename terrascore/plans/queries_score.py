@@ -84,9 +84,13 @@ PRIORITY_SQL = ("CASE WHEN raw_score > 0 AND raw_score <= 0.3 THEN 'Very Low' "
 
 @query("priority_bands", SCORED + f"""
 SELECT priority, COUNT(*) AS n, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 6) AS share
-FROM (SELECT {PRIORITY_SQL} AS priority FROM scored) GROUP BY priority""")
+FROM (SELECT {PRIORITY_SQL} AS priority FROM (SELECT CASE sample_id % 50 WHEN 0 THEN 0 WHEN 1 THEN 0.3 WHEN 2 THEN 0.9 WHEN 3 THEN 1 ELSE raw_score END AS raw_score
+                                               FROM scored)) GROUP BY priority""")
 def q_priority_bands(spark, sf):
-    return rnd(C.priority_bands(scored_samples(spark, sf)))
+    """C7 over scores that also lie on the bands' edges."""
+    k, s = F.col("sample_id") % 50, F.col("raw_score")
+    edge = F.when(k == 0, F.lit(0.0)).when(k == 1, F.lit(0.3)).when(k == 2, F.lit(0.9)).when(k == 3, F.lit(1.0)).otherwise(s)
+    return rnd(C.priority_bands(scored_samples(spark, sf).withColumn("raw_score", edge)))
 
 
 def _box_sql(src: str, group: str, cols: list[str]) -> str:
