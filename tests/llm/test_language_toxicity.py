@@ -123,3 +123,37 @@ def test_scores_against_a_plain_loop(spark):
         x = toxicity.features(np.array(saved, dtype=np.int64), ratios)
         assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(x @ weights + intercept, -500, 500)))) < 1e-9
         assert r["predicted"] == int(r["score"] >= 0.7)
+
+
+def test_languages_against_exact_sets(spark):
+    """The filters' corrected counts name the language that exact sets of
+    typical trigrams name."""
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    found = langid.identify(docs, langid.fit(docs)).collect()  # fewer texts a language than the sample takes: all are learned from
+
+    def grams(text):
+        low = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        padded = " " + " ".join(low) + " " if low else ""
+        return [padded[i:i + 3] for i in range(len(padded) - 2) if padded[i:i + 2].strip() or padded[i + 1:i + 3].strip()]
+
+    counts = defaultdict(Counter)
+    for r in rows:
+        if r["lang"] is not None and r["text"] is not None:
+            counts[r["lang"]].update(grams(r["text"]))
+    rate = {lang: {g: n / sum(x for x in c.values() if x > 1) for g, n in c.items() if n > 1} for lang, c in counts.items()}
+    most = Counter()
+    for known in rate.values():
+        for g, v in known.items():
+            most[g] = max(most[g], v)
+    typical = {lang: {g for g, v in known.items() if v >= langid.TYPICAL * most[g]} for lang, known in rate.items()}
+    agree = close = 0
+    for r in found:
+        own = grams(next(x["text"] for x in rows if x["doc_id"] == r["doc_id"]))
+        hits = {lang: sum(g in s for g in own) for lang, s in typical.items()}
+        best = max(sorted(hits), key=hits.get)
+        agree += r["lang_pred"] == (best if own else langid.UNKNOWN)
+        close += abs(r["score"] - (hits[best] / len(own) if own else 0.0)) < 0.03
+    assert agree >= 0.99 * len(found) and close >= 0.98 * len(found), (agree, close, len(found))
