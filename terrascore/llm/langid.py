@@ -141,7 +141,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS, typical: float = TYPICAL) ->
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(4), "doc_id"), 12) / F.lit(float(1 << 52))
     # of a language's ids about twice as many as wanted lie below its bound, so its rank reads no more, however many rows it has
-    bounds = known.groupBy("lang").agg((F.lit(2.0 * fit_docs + 100) / F.approx_count_distinct("doc_id", 0.02)).alias("_bound"))
+    bounds = known.groupBy("lang").agg((F.lit(2.0 * fit_docs + 100) / (F.approx_count_distinct("doc_id", 0.02) + F.lit(1))).alias("_bound"))  # a NULL id is one too
     near = (join_counted(known.select("doc_id", "lang", draw.alias("_draw")), bounds, ["lang"]).where(F.col("_draw") < F.col("_bound"))
             .select("doc_id", "lang", "_draw").distinct())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id"))
