@@ -41,6 +41,7 @@ from pyspark.sql import types as T
 
 from terrascore.config import (EXTRA_TREES_GRID, GRADIENT_BOOSTING_GRID,
                                HYPERPARAMETERS, MAX_GRID_COMBINATIONS, RANDOM_STATE)
+from terrascore.operators.extratrees import ExtraTreesClassifier
 from terrascore.operators.metrics import roc_auc
 from terrascore.session import checkpoint_root, materialize
 
@@ -58,8 +59,8 @@ def _depth(v):
 
 def spark_params(name: str, p: Mapping, n_rows: int | None = None) -> dict:
     """Translate one reference parameter combination into estimator params.
-    Parameters without a Spark counterpart (solver, min_samples_split,
-    reg_alpha, reg_lambda) are dropped."""
+    Parameters without a Spark counterpart (solver, a forest's
+    min_samples_split, reg_alpha, reg_lambda) are dropped."""
     out: dict = {}
     if name == "logistic_regression":
         c = float(p.get("C", 1.0))
@@ -75,6 +76,8 @@ def spark_params(name: str, p: Mapping, n_rows: int | None = None) -> dict:
             out["minInstancesPerNode"] = int(p["min_samples_leaf"])
         if "max_features" in p:
             out["featureSubsetStrategy"] = str(p["max_features"])
+        if "min_samples_split" in p and name == "extra_trees":
+            out["minSamplesSplit"] = int(p["min_samples_split"])
     elif name in ("gradient_boosting", "xgboost"):
         if "n_estimators" in p:
             out["maxIter"] = int(p["n_estimators"])
@@ -97,9 +100,7 @@ def estimator(name: str, seed: int = RANDOM_STATE):
     if name == "random_forest":
         return RandomForestClassifier(seed=seed)
     if name == "extra_trees":
-        # No random-threshold splits in Spark: no bootstrap, sqrt features
-        # and coarse candidate thresholds stand in (approximate).
-        return RandomForestClassifier(seed=seed, bootstrap=False, featureSubsetStrategy="sqrt", maxBins=16)
+        return ExtraTreesClassifier(seed=seed, featureSubsetStrategy="sqrt")
     if name == "gradient_boosting":
         return GBTClassifier(seed=seed)
     if name == "xgboost":

@@ -105,7 +105,7 @@ def test_search_uses_the_reference_grids(monkeypatch):
     monkeypatch.setattr(M, "predict_long", lambda model, test, name: Table())
     Table.unionByName = lambda self, other: self
     monkeypatch.setattr(QM, "prepared", lambda spark, sf: Prepared())
-    want = {"logistic_regression": 5, "random_forest": 50, "extra_trees": 27, "gradient_boosting": 50, "xgboost": 50}
+    want = {"logistic_regression": 5, "random_forest": 50, "extra_trees": 50, "gradient_boosting": 50, "xgboost": 50}
     M.train_all(Table(), Table())
     assert seen == want
     for name in list(seen):
