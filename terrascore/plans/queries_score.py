@@ -15,9 +15,12 @@ from terrascore.operators import spatial as V
 from terrascore.config import TESTDATA
 from terrascore.operators import features as FE
 from terrascore.operators.clean import clean_data
+from terrascore.plans import queries_eval as EV
+from terrascore.plans import queries_select as QS
 from terrascore.plans import sqltext as Q
 from terrascore.plans.queries_eval import rnd
 from terrascore.plans.registry import query
+from terrascore.session import materialize
 from terrascore.sources.fixtures import samples
 
 RAW_SQL = "CAST((CASE WHEN likely = 1 THEN 70 ELSE 20 END) + (sample_id * 7) % 100 AS DOUBLE) / 200"
@@ -243,3 +246,41 @@ def q_predictions_csv(spark, sf):
 def q_surface_tiled(spark, sf):
     """V7 by tiles: each cell within 0.001 of ``prospectivity_surface``."""
     return V.prospectivity_surface(scored_samples(spark, sf), n=G, tolerance=1e-3)
+
+
+_SUMMARY = (EV.SP + ",\n" + Q.CLEAN.format(src="samples").rstrip() + ",\n" + Q.QUANT_CTE + ",\n" + Q.MEAN_CTE + ",\n" + Q.DENS_CTE + ",\n"
+            + QS._eng_cte() + ",\n" + QS.X_CTE + ",\n" + QS.VAR_SEL + ",\n" + EV._ALL_EVAL + ",\nam AS (" + EV._ALL_METRICS + "),\n" + EV._FIRST + f""",
+scored AS (SELECT {RAW_SQL} AS raw_score FROM samples),
+summary AS (SELECT {len(QS.FEATS)} AS candidate_features, CAST((SELECT COUNT(*) FROM vsel WHERE selected) AS INTEGER) AS selected_features,
+       {len(FE.created_features(TESTDATA))} AS engineered_features, CAST((SELECT COUNT(*) FROM am) AS INTEGER) AS models_trained,
+       (SELECT model FROM first_) AS best_model, (SELECT roc_auc FROM first_) AS best_model_auc, COUNT(*) AS samples_scored,
+       COUNT(*) FILTER (WHERE raw_score >= 0.7) AS high_potential_areas,
+       COUNT(*) FILTER (WHERE raw_score >= 0.5 AND raw_score < 0.7) AS moderate_potential_areas,
+       COUNT(*) FILTER (WHERE raw_score < 0.5) AS low_potential_areas FROM scored)""")
+
+
+def _pseudo_summary(spark, sf):
+    """The summary of a run whose models are the pseudo-models and whose
+    selector is the variance threshold."""
+    chosen = L.select_variance(QS.features_frame(spark, sf), QS.FEATS).where("selected").count()
+    metrics = materialize(EV.all_metrics(spark, sf), "metrics")
+    best = metrics.orderBy(F.desc_nulls_last("roc_auc"), F.desc("type"), F.asc("model")).first()
+    return C.summary_table(scored_samples(spark, sf), len(QS.FEATS), chosen, len(FE.created_features(TESTDATA)), metrics.count(), best["model"], best["roc_auc"])
+
+
+@query("run_summary", _SUMMARY + "\nSELECT * FROM summary")
+def q_run_summary(spark, sf):
+    """C9 the run's counts."""
+    return _pseudo_summary(spark, sf)
+
+
+@query("run_texts", _SUMMARY + """
+SELECT 'finding' AS part, 'best_model' AS item, printf('%s scored best, ROC-AUC %.4f', best_model, best_model_auc) AS text FROM summary
+UNION ALL SELECT 'finding', 'features', printf('%d features were engineered, %d of %d candidates selected', engineered_features, selected_features, candidate_features) FROM summary
+UNION ALL SELECT 'finding', 'targets', printf('%d of %d areas have high potential', high_potential_areas, samples_scored) FROM summary
+UNION ALL SELECT 'advice', 'explore', printf('explore the %d areas of high potential first', high_potential_areas) FROM summary
+UNION ALL SELECT 'advice', 'sample', printf('take more samples in the %d areas of moderate potential', moderate_potential_areas) FROM summary
+UNION ALL SELECT 'advice', 'update', 'score again when new samples come in'""")
+def q_run_texts(spark, sf):
+    """C9 its findings and advice."""
+    return C.summary_texts(_pseudo_summary(spark, sf))
