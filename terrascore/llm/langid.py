@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrascore.llm.shared import documents, fold, join_counted, worker_memo
+from terrascore.llm.shared import documents, drop_state, fold, join_counted, worker_memo
 
 #: labelled texts a language, at most, that the filters are fitted on
 FIT_DOCS = 1000
@@ -186,6 +186,7 @@ def identify(docs: DataFrame, filters: Filters, keep: Sequence[str] = ("doc_id",
                          + [T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_state()
         known = Filters.of(sent.value)
         for batch in batches:
             names, scores = [], [np.zeros(0)]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrascore.llm.components import components
-from terrascore.llm.shared import documents, worker_memo
+from terrascore.llm.shared import documents, drop_state, worker_memo
 from terrascore.session import materialize
 
 SHINGLE = 5
@@ -153,6 +153,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     import hashlib
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_state()
         for batch in batches:
             sizes, keys, bands = [], [], []
             for _, hashes, places in _texts(batch.column(1)):
@@ -172,6 +173,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """(id, text) -> id, shingles (sorted array of longs)."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_state()
         for batch in batches:
             found = []
             for _, hashes, places in _texts(batch.column(1)):

@@ -59,6 +59,17 @@ def worker_state(key, make: Callable):
     return kept.value
 
 
+def drop_state() -> None:
+    """Gives up what ``worker_state`` keeps; a task that needs none of it calls
+    this, so that a stage doesn't hold what the one before has built."""
+    import sys
+
+    kept = sys.modules.get("_terrascore_worker")
+    if getattr(kept, "value", None) is not None:
+        kept.key, kept.value = None, None
+        give_back()
+
+
 def give_back() -> None:
     """Hands memory that Python and Arrow no longer use to the system."""
     import ctypes
