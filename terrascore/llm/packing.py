@@ -32,11 +32,11 @@ from terrascore.session import materialize
 CAPACITY = 4096
 SEPARATOR = 1
 #: bytes of words and their ids, about, in each of the two halves of a worker's memo
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 48 << 20
 #: longest remembered word
 MEMO_WORD = 48
 #: characters of text encoded at once
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 class _Encoder(dict):
@@ -104,13 +104,18 @@ class _Encoder(dict):
             coded = words.values.dictionary_encode()
             found = list(map(self.__getitem__, coded.dictionary.to_pylist()))
             flat = np.frombuffer(b"".join(found), "<u4")
-            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            # a chunk has fewer than 2^31 ids, but for a single text beyond that
+            kind = np.int32 if sum(map(len, part)) < 1 << 28 else np.int64
+            sizes = np.fromiter(map(len, found), kind, len(found)) // 4
             at = coded.indices.to_numpy()
-            length, first = sizes[at], (np.cumsum(sizes) - sizes)[at]
-            ends = np.concatenate([[0], np.cumsum(length)])
+            length, first = sizes[at], (np.cumsum(sizes, dtype=kind) - sizes)[at]
+            ends = np.concatenate([[0], np.cumsum(length, dtype=kind)]).astype(kind)
             # each word's ids in their place
-            blob = flat[np.repeat(first - ends[:-1], length) + np.arange(ends[-1])].tobytes()
-            edges = (4 * ends[words.offsets.to_numpy()]).tolist()
+            place = np.repeat(first - ends[:-1], length)
+            place += np.arange(ends[-1], dtype=kind)
+            blob = flat[place].tobytes()
+            del found, flat, at, length, first, place
+            edges = (4 * ends[words.offsets.to_numpy()].astype(np.int64)).tolist()
             for i, ok in enumerate(plain):
                 yield blob[edges[i]:edges[i + 1]] if ok else array("I", self.whole.encode(part[i], add_special_tokens=False).ids).tobytes()
 
