@@ -36,3 +36,24 @@ def test_training_reads_the_rows_once(spark):
     df, seen = _watched(spark)
     prep = PL.prepare_training(df, TESTDATA, select=False)
     assert prep.train.count() == 48 and prep.test.count() == 12 and seen.value == 60
+
+
+def test_ensembles_group_the_predictions_once(spark):
+    from terrascore.operators import ensemble as N
+    from terrascore.operators import metrics as T
+
+    rows = [(i, m, i % 2, ((i * k) % 100) / 100, int((i * k) % 100 >= 50)) for i in range(40) for m, k in (("a", 7), ("b", 13), ("c", 29)) if (i, m) != (3, "a")]
+    rows += [(40, "c", 1, 0.25, 0)]  # no member with a weight
+    plain = spark.createDataFrame(rows, "sample_id long, model string, y int, probability double, prediction int")
+    seen, weights = spark.sparkContext.accumulator(0), {"a": 3.0, "b": 1.0}
+
+    def run(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    out = N.all_ensembles(plain.mapInArrow(run, plain.schema), weights)
+    metrics = T.evaluate_models(out).collect()
+    assert len(metrics) == 4 and seen.value <= 2 * len(rows)  # the range bounds' sample, and the rows
+    want = N.vote_soft(plain).unionByName(N.vote_hard(plain)).unionByName(N.weighted_average(plain, weights)).unionByName(N.rank_average(plain))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and out.count() == 4 * 41 - 1
