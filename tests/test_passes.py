@@ -57,3 +57,23 @@ def test_ensembles_group_the_predictions_once(spark):
     assert len(metrics) == 4 and seen.value <= 2 * len(rows)  # the range bounds' sample, and the rows
     want = N.vote_soft(plain).unionByName(N.vote_hard(plain)).unionByName(N.weighted_average(plain, weights)).unionByName(N.rank_average(plain))
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and out.count() == 4 * 41 - 1
+
+
+def test_fits_pass_over_even_partitions(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+
+    from terrascore.operators import select as L
+
+    cores, fitted = spark.sparkContext.defaultParallelism, []
+    for kind in (GBTClassifier, RandomForestClassifier):
+        monkeypatch.setattr(kind, "fit", lambda self, data, plain=kind.fit: (fitted.append(data.rdd.getNumPartitions()), plain(self, data))[1])
+    i = F.col("id")
+    df = spark.range(0, 40 * cores, 1, cores + 1).select((i % 7).cast("double").alias("a"), (i % 5).cast("double").alias("b"), (i % 7 > 3).cast("int").alias("y"))
+    few = L.select_rfe(df, ["a", "b"], "y", 1, num_trees=2)
+    assert fitted == [cores + 1] and few == ["a"]  # a small table stays as it is
+    fitted.clear()
+    monkeypatch.setattr(L, "ROWS_PER_TASK", 10)
+    assert L.select_rfe(df, ["a", "b"], "y", 1, num_trees=2) == ["a"]
+    assert dict(L.tree_importances(df, ["a", "b"], "y", max_iter=2))["a"] > 0.9
+    assert fitted == [cores, cores]
+    assert sorted(map(tuple, L.balanced(df).collect())) == sorted(map(tuple, df.collect()))
