@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrascore.llm.components import components
-from terrascore.llm.shared import documents, drop_state, worker_memo
+from terrascore.llm.shared import documents, drop_state, give_back, worker_memo
 from terrascore.session import materialize
 
 SHINGLE = 5
@@ -73,8 +73,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         up[0] = down[0] = 1
         return np.cumprod(up), np.cumprod(down)
 
-    # longer tables, for a text beyond CHUNK, are not kept
-    return worker_memo(("dup-powers", n), made) if n <= 2 * CHUNK else made()
+    # one table is kept; longer ones, for a text beyond CHUNK, are not
+    return worker_memo(("dup-powers", n), made) if n <= CHUNK else made()
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +94,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     ends = starts[(starts > 0) & (starts <= n)] - 1
     after[ends] = False
     last = np.flatnonzero(word & ~after)
-    size = 1 << max(16, int(n).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(CHUNK if n <= CHUNK else 1 << int(n).bit_length())
     total = np.empty(n + 1, _U)
     total[0] = 0
     np.cumsum((low.astype(_U) + _U(1)) * up[:n], out=total[1:])
@@ -165,6 +164,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>")
@@ -181,6 +181,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                           for i in range(len(places) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))],
                                              names=["id", "shingles"])
+        give_back()
 
     return docs.select("id", "text").mapInArrow(sets, "id long, shingles array<long>")
 

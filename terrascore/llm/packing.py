@@ -17,7 +17,7 @@ import re
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +25,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrascore.llm.shared import worker_state
+from terrascore.llm.shared import give_back, worker_state
 from terrascore.operators.ranks import ordinal_rank
 from terrascore.session import materialize
 
 CAPACITY = 4096
 SEPARATOR = 1
 #: bytes of words and their ids, about, in each of the two halves of a worker's memo
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 24 << 20
 #: longest remembered word
 MEMO_WORD = 48
 #: characters of text encoded at once
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 class _Encoder(dict):
@@ -95,9 +95,10 @@ class _Encoder(dict):
         """Ids as little-endian unsigned 32-bit integers."""
         return next(self.encode_all([text]))
 
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text.  The texts' words are split and made distinct
-        by Arrow, so that the memo is asked once for each distinct word."""
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text, of which a chunk is read at a time.  The texts'
+        words are split and made distinct by Arrow, so that the memo is asked
+        once for each distinct word of a chunk."""
         for part in _chunks(texts):
             plain = [self.plain(t) for t in part]
             words = pc.ascii_split_whitespace(pa.array([t.lower() if ok else "" for t, ok in zip(part, plain)], pa.string()))
@@ -114,13 +115,13 @@ class _Encoder(dict):
             place = np.repeat(first - ends[:-1], length)
             place += np.arange(ends[-1], dtype=kind)
             blob = flat[place].tobytes()
-            del found, flat, at, length, first, place
             edges = (4 * ends[words.offsets.to_numpy()].astype(np.int64)).tolist()
+            del words, coded, found, flat, sizes, at, length, first, ends, place
             for i, ok in enumerate(plain):
                 yield blob[edges[i]:edges[i + 1]] if ok else array("I", self.whole.encode(part[i], add_special_tokens=False).ids).tobytes()
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
+def _chunks(texts: Iterable[str]) -> Iterator[list[str]]:
     part, size = [], 0
     for t in texts:
         part.append(t)
@@ -153,8 +154,8 @@ def pieces(docs: DataFrame, tokenizer_file: str | None = None, capacity: int = C
         coder = _encoder(sent.value)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), coder.encode_all(texts)):
+            texts = (t.as_py() or "" for t in batch.column(1))  # a batch's texts are not all held twice
+            for ids, doc in zip(coder.encode_all(texts), batch.column(0).to_pylist()):
                 ids += end
                 for i, at in enumerate(range(0, len(ids), step)):
                     part = ids[at:at + step]
@@ -169,6 +170,7 @@ def pieces(docs: DataFrame, tokenizer_file: str | None = None, capacity: int = C
                 del out["ids"]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, type=t) for v, t in zip(out.values(), types)], names=list(out))
+        give_back()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type

@@ -34,6 +34,34 @@ def test_pieces_equal_whole_tokenizer(spark):
         assert sorted(got[i]) == want
 
 
+def test_worker_gives_up_what_earlier_stages_kept(monkeypatch):
+    import sys
+
+    from terrascore.llm import shared
+
+    monkeypatch.delitem(sys.modules, "_terrascore_worker", raising=False)
+    shared.worker_memo("table", lambda: np.zeros(9))
+    assert shared.worker_state("coder", lambda: 1) == 1
+    assert "memo" not in vars(sys.modules["_terrascore_worker"])
+    shared.worker_memo("table", lambda: 2)  # kept while the state is
+    assert shared.worker_state("coder", lambda: 3) == 1 and shared.worker_memo("table", lambda: 4) == 2
+    monkeypatch.delitem(sys.modules, "_terrascore_worker")
+
+
+def test_encoder_reads_a_chunk_at_a_time(monkeypatch):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        coder = packing._Encoder(f.read())
+    texts, read = [f"word{i % 7} and " * 200 for i in range(2000)], []
+    ids = coder.encode_all(read.append(i) or t for i, t in enumerate(texts))
+    next(ids)
+    assert len(read) * len(texts[0]) <= 1.1 * (1 << 20)
+    monkeypatch.setattr(packing, "MEMO_BYTES", 1000)  # a memo that is emptied all the time
+    again = packing._Encoder(coder.whole.to_str())
+    assert [next(ids) for _ in range(6)] == list(again.encode_all(texts[1:7]))
+
+
 def test_plan_fills_without_overlap():
     rnd = random.Random(5)
     for _ in range(30):

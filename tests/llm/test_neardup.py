@@ -91,3 +91,18 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 90)] + [(200, 201), (203, 203)], "a long, b long")
     got = {r["id"]: r["label"] for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(91)}, 200: 200, 201: 200}
+
+
+def test_one_table_of_powers_is_kept(monkeypatch):
+    import sys
+
+    import numpy as np
+
+    monkeypatch.delitem(sys.modules, "_terrascore_worker", raising=False)
+    for n in (1, 9, 1 << 16, 1 << 18, 1 << 20, (1 << 20) + 1):
+        data = np.frombuffer(b"ab " * (n // 3 + 1), np.uint8)[:n]
+        hashes, _ = neardup.word_hashes(data, np.array([0, n]))
+        assert len(np.unique(hashes[:n // 3])) <= 1 and len(hashes) == -(-n // 3)
+    kept = vars(sys.modules["_terrascore_worker"])["memo"]
+    assert [k for k in kept if k[0] == "dup-powers"] == [("dup-powers", neardup.CHUNK)]
+    monkeypatch.delitem(sys.modules, "_terrascore_worker")
