@@ -31,16 +31,17 @@ from terrascore.session import materialize
 
 CAPACITY = 4096
 SEPARATOR = 1
-#: bytes of words and their ids, about, in each of the two halves of a worker's memo
+#: bytes of pieces and their ids, about, in each of the two halves of a worker's memo
 MEMO_BYTES = 24 << 20
-#: longest remembered word
+#: longest remembered piece
 MEMO_WORD = 48
 #: characters of text encoded at once
 CHUNK = 1 << 20
 
 
 class _Encoder(dict):
-    """The tokenizer with a memo from a word between white space to its ids.
+    """The tokenizer with a memo from a piece of a word to its ids; a word
+    between white space has the ids of its pieces.
 
     The fast way holds for Latin text in NFC with plain white space and no
     special token: there the pre-tokenizer's split, made on the lower-cased
@@ -51,6 +52,7 @@ class _Encoder(dict):
     # the tokenizer's own split pattern for such text (fixed value)
     ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
     OTHER = re.compile("[^\t-\r -\x7e\xa1-ɏ‐-‧]|<\\|")
+    PLAIN = bytes([*range(9, 14), *range(32, 127)])  # what OTHER leaves of ASCII
 
     def __init__(self, tokenizer_json: str):
         import regex
@@ -65,23 +67,19 @@ class _Encoder(dict):
         self.letters = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
         self.size, self.older = 0, {}
 
-    def _split(self, word: str) -> list[str]:
-        if word.isalpha():
-            return [word]
-        if word[:-1].isalpha():
-            return [word[:-1], word[-1]]  # what no letter is stands alone
-        return (self.ASCII if word.isascii() else self.latin).findall(word)
-
     def __missing__(self, word: str) -> bytes:
+        if not word.isalpha():  # the memo keeps pieces: a word and the same with a comma are one entry
+            if word[:-1].isalpha():
+                return self[word[:-1]] + self[word[-1]]  # what no letter is stands alone
+            pieces = (self.ASCII if word.isascii() else self.latin).findall(word)
+            if len(pieces) > 1:
+                return b"".join([self[p] for p in pieces])
         ids = self.older.get(word)
         if ids is None:
-            out = []
-            for w in self._split(word):
-                mapped = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
-                out += [t.id for t in self.model.tokenize(mapped)]
-            ids = array("I", out).tobytes()
+            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         if len(word) <= MEMO_WORD:
-            if self.size > MEMO_BYTES:  # words in use come back from the older half
+            if self.size > MEMO_BYTES:  # pieces in use come back from the older half
                 self.older, self.size = dict(self), 0
                 self.clear()
             self[word] = ids
@@ -89,7 +87,9 @@ class _Encoder(dict):
         return ids
 
     def plain(self, text: str) -> bool:
-        return not self.OTHER.search(text) and (text.isascii() or unicodedata.is_normalized("NFC", text))
+        if text.isascii():  # the same test, quicker
+            return not text.encode().translate(None, self.PLAIN) and "<|" not in text
+        return not self.OTHER.search(text) and unicodedata.is_normalized("NFC", text)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -103,7 +103,7 @@ class _Encoder(dict):
             plain = [self.plain(t) for t in part]
             words = pc.ascii_split_whitespace(pa.array([t.lower() if ok else "" for t, ok in zip(part, plain)], pa.string()))
             coded = words.values.dictionary_encode()
-            found = list(map(self.__getitem__, coded.dictionary.to_pylist()))
+            found = list(map(self.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False)))
             flat = np.frombuffer(b"".join(found), "<u4")
             # a chunk has fewer than 2^31 ids, but for a single text beyond that
             kind = np.int32 if sum(map(len, part)) < 1 << 28 else np.int64

@@ -62,6 +62,25 @@ def test_encoder_reads_a_chunk_at_a_time(monkeypatch):
     assert [next(ids) for _ in range(6)] == list(again.encode_all(texts[1:7]))
 
 
+def test_a_word_with_and_without_punctuation_is_encoded_once():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        coder = packing._Encoder(f.read())
+    asked = []
+
+    class Asked:
+        def tokenize(self, piece, model=coder.model):
+            asked.append(piece)
+            return model.tokenize(piece)
+
+    coder.model = Asked()
+    texts = ["Mountain, mountain. mountain! mountain%%% mountain", "élan, élan. Élan;", "mountain's it's", "\x01 mountain", ""]
+    got = [list(memoryview(ids).cast("I")) for ids in coder.encode_all(texts)]
+    assert got == [coder.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked.count("mountain") == 1 and len(asked) == len(set(asked))
+
+
 def test_plan_fills_without_overlap():
     rnd = random.Random(5)
     for _ in range(30):
